@@ -10,10 +10,13 @@ from __future__ import annotations
 from chronotile.sources.fixtures import LABELS
 
 CTES: dict[str, tuple[list[str], str]] = {}
+RECURSIVE: set[str] = set()
 
 
-def cte(name: str, deps: list[str], sql: str) -> None:
+def cte(name: str, deps: list[str], sql: str, recursive: bool = False) -> None:
     CTES[name] = (deps, sql)
+    if recursive:
+        RECURSIVE.add(name)
 
 
 def build(body: str, *names: str) -> str:
@@ -30,7 +33,12 @@ def build(body: str, *names: str) -> str:
         visit(n)
     if not order:
         return body
-    return "WITH " + ",\n".join(f"{n} AS (\n{CTES[n][1]}\n)" for n in order) + "\n" + body
+    head = "WITH RECURSIVE " if RECURSIVE & set(order) else "WITH "
+    ctes = ",\n".join(f"{n} AS (\n{CTES[n][1]}\n)" for n in order)
+    stripped = body.lstrip()
+    if stripped.upper().startswith("WITH "):
+        return head + ctes + ",\n" + stripped[5:]
+    return head + ctes + "\n" + body
 
 
 def r9(expr: str, alias: str | None = None) -> str:
@@ -46,6 +54,11 @@ def sqn(a: str) -> str:
     return f"list_reduce(list_transform({a}, lambda x: x::DOUBLE * x::DOUBLE), lambda p, q: p + q, 0.0::DOUBLE)"
 
 
+def sqn_diff(a: str, b: str) -> str:
+    return (f"list_reduce(list_transform(list_zip({a}, {b}), lambda x: (x[1]::DOUBLE - x[2]::DOUBLE) * "
+            f"(x[1]::DOUBLE - x[2]::DOUBLE)), lambda p, q: p + q, 0.0::DOUBLE)")
+
+
 def col_to_lon(c: str) -> str:
     return f"(({c})::DOUBLE / 65536.0 * 360.0 - 180.0)"
 
@@ -228,3 +241,79 @@ def viewports_values() -> str:
 
 
 cte("viewports", [], viewports_values())
+
+
+# ---------------------------------------------------------------- masks (cell 1 / threshold 60 / min_area 4; cell 2 / 40)
+
+cte("gray", ["snapnames"], """
+  SELECT DISTINCT n.image,
+    list_transform(e.embedding, lambda v: CAST(least(255, greatest(0, floor(128.0::DOUBLE + 400.0::DOUBLE * v::DOUBLE + 0.5::DOUBLE))) AS INT)) AS px
+  FROM snapnames n JOIN embeddings e ON e.vec_id = n.vec_id""")
+
+cte("imgpairs", ["changes", "gray"], f"""
+  SELECT c.event_id, c.tile_col, c.tile_row, b.px AS a, a.px AS b
+  FROM changes c
+  JOIN gray b ON b.image = {basename('c.before_image')}
+  JOIN gray a ON a.image = {basename('c.after_image')}
+  WHERE c.before_image <> '' AND c.after_image <> ''""")
+
+
+def celldiff_cte(name: str, cell: int, threshold: float) -> None:
+    cx = 8 // cell
+    cte(name, ["imgpairs"], f"""
+  WITH px AS (SELECT event_id, tile_col, tile_row, i, abs(a[i + 1] - b[i + 1]) AS d
+              FROM imgpairs, range(64) r(i))
+  SELECT event_id, tile_col, tile_row, {cx} AS cells_x, {cx} AS cells_y,
+    ((i // 8) // {cell}) * {cx} + ((i % 8) // {cell}) AS k,
+    ((i % 8) // {cell}) AS x, ((i // 8) // {cell}) AS y,
+    sum(d)::DOUBLE / {float(cell * cell)} AS mean_diff,
+    sum(d)::DOUBLE / {float(cell * cell)} > {float(threshold)} AS changed
+  FROM px GROUP BY event_id, tile_col, tile_row, k, x, y""")
+
+
+celldiff_cte("celldiff1", 1, 60)
+celldiff_cte("celldiff2", 2, 40)
+
+cte("maskcells", ["celldiff1"], "SELECT event_id, tile_col, tile_row, cells_x, cells_y, k, x, y FROM celldiff1 WHERE changed")
+
+cte("maskedges", ["maskcells"], """
+  SELECT a.event_id, a.k AS s, b.k AS t FROM maskcells a JOIN maskcells b
+    ON a.event_id = b.event_id AND ((abs(a.x - b.x) = 1 AND a.y = b.y) OR (abs(a.y - b.y) = 1 AND a.x = b.x))""")
+
+cte("maskreach", ["maskcells", "maskedges"], """
+  SELECT event_id, k AS s, k AS t FROM maskcells
+  UNION
+  SELECT r.event_id, r.s, e.t FROM maskreach r JOIN maskedges e ON e.event_id = r.event_id AND e.s = r.t""",
+    recursive=True)
+
+cte("regions", ["maskcells", "maskreach"], """
+  WITH lab AS (SELECT event_id, s AS k, min(t) AS label FROM maskreach GROUP BY 1, 2),
+  g AS (
+    SELECT c.event_id, c.tile_col, c.tile_row, c.cells_x, c.cells_y, l.label, count(*) AS area,
+      min(c.x) AS x0, min(c.y) AS y0, max(c.x) + 1 AS x1, max(c.y) + 1 AS y1
+    FROM maskcells c JOIN lab l ON l.event_id = c.event_id AND l.k = c.k
+    GROUP BY 1, 2, 3, 4, 5, 6 HAVING count(*) >= 4)
+  SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY label) - 1 AS region_index,
+    count(*) OVER (PARTITION BY event_id) AS n_regions FROM g""")
+
+cte("masked", ["enriched", "regions"], """
+  SELECT e.*, coalesce(m.n, 0) > 0 AS has_regions,
+    CASE WHEN coalesce(m.n, 0) = 0 THEN '' WHEN m.n = 1 THEN 'Polygon' ELSE 'MultiPolygon' END AS mask_type
+  FROM enriched e LEFT JOIN (SELECT event_id, count(*) AS n FROM regions GROUP BY 1) m USING (event_id)""")
+
+# ---------------------------------------------------------------- hotspots (brute force, eps 15 km, min_samples 5)
+
+cte("hs_tiles", ["changes"], f"""
+  SELECT tile_col, tile_row, count(*) AS w,
+    ({col_to_lon('tile_col')} + {col_to_lon('tile_col + 1')}) / 2.0 AS lon,
+    ({row_to_lat('tile_row + 1')} + {row_to_lat('tile_row')}) / 2.0 AS lat
+  FROM changes GROUP BY 1, 2""")
+
+cte("hs_pts", ["hs_tiles"], """
+  SELECT t.*, t.lon * (111.32 * cos(radians(m.ml))) AS x, t.lat * 111.32 AS y
+  FROM hs_tiles t CROSS JOIN (SELECT sum(w * lat) / sum(w) AS ml FROM hs_tiles) m""")
+
+cte("hs_pairs", ["hs_pts"], """
+  SELECT a.tile_col AS a_col, a.tile_row AS a_row, b.tile_col AS b_col, b.tile_row AS b_row, b.w AS b_w,
+    (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) AS d2
+  FROM hs_pts a JOIN hs_pts b ON (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 225.0""")

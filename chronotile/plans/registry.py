@@ -37,8 +37,8 @@ R = S.rounded
 TYPES = ["Su baskını", "Doğallaşma", "Tarıma açılma", "Yeşillendirme", "Greening-unknown"]
 DATE_FROM, DATE_TO = "1993-01-01", "1997-12-31"
 WORLD = (0, 2**16 - 1, 0, 2**16 - 1)
-POINT_EVENT = 7
-POINT_TILE = (37540, 24340)
+POINT_EVENT = 6
+POINT_TILE = (38859, 25116)
 
 
 def _types_sql() -> str:
@@ -143,3 +143,7 @@ FROM enriched WHERE tile_col = {POINT_TILE[0]} AND tile_row = {POINT_TILE[1]}"""
 def q_tile_events(spark, sf):
     t = Q.tile_events(S.enriched(spark, sf), *POINT_TILE)
     return t.select("event_id", "to_date", "from_date", "episode_id", "episode_index", "episode_count")
+
+
+# the step queries register themselves into the same dictionaries
+from chronotile.plans import registry_steps  # noqa: E402,F401
