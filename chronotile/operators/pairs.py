@@ -31,9 +31,11 @@ def iso_text(x) -> Column:
     return F.when(s.isNull() | (s == ""), F.lit("")).when(ok, formatted).otherwise(s)
 
 
-def normalize_events(events: DataFrame) -> DataFrame:
+def normalize_events(events: DataFrame, fallback_ids: bool = True) -> DataFrame:
     """Raw change events -> typed rows: missing or falsy metrics become 0 / '', dates ISO text,
-    and an id that is null or 0 becomes the 0-based position in ``ORDER BY id`` (nulls first)."""
+    and an id that is null or 0 becomes the 0-based position in ``ORDER BY id`` (nulls first).
+
+    ``fallback_ids=False`` (streams, where a global position does not exist) keeps the id as it is."""
     ev = conform(events, EVENT_OPTIONAL)
     bad_id = F.col("id").isNull() | (F.col("id") == 0)
     cols = []
@@ -50,17 +52,22 @@ def normalize_events(events: DataFrame) -> DataFrame:
         F.col("to_release_id").cast("string").alias("to_release_id"),
         *cols,
     )
+    if not fallback_ids:
+        return base.select(F.col("id").alias("event_id"), *[c for c in base.columns if c != "id"])
     good = base.where(~bad_id).withColumn("event_id", F.col("id"))
     # Rows needing a fallback id: their position = rows ordered before them. Only that (normally empty)
     # subset is numbered; rows with a negative id sort before 0, so they add a scalar offset.
     bad = base.where(bad_id)
+    out_cols = ["event_id", *[c for c in base.columns if c != "id"]]
+    if not events.where(F.col("id").isNull() | (F.col("id") == 0)).select("id").take(1):
+        return good.select(*out_cols)  # the usual case: one pruned scan of the id column, no numbering pass
     n_neg = base.where(F.col("id") < 0).select(F.count(F.lit(1))).scalar()
     order = [F.col("id").asc_nulls_first(), "tile_col", "tile_row", "from_release_id", "to_release_id", "to_date"]
     numbered = with_row_number(bad, order, "pos", start=0)
     fixed = numbered.withColumn(
         "event_id", F.when(F.col("id").isNull(), F.col("pos")).otherwise(F.col("pos") + n_neg)
     ).drop("pos")
-    return good.unionByName(fixed).select("event_id", *[c for c in base.columns if c != "id"])
+    return good.unionByName(fixed).select(*out_cols)
 
 
 def _side(snaps: DataFrame, release_col: str, out: str) -> DataFrame:
@@ -72,12 +79,12 @@ def _side(snaps: DataFrame, release_col: str, out: str) -> DataFrame:
     )
 
 
-def build_pairs(events: DataFrame, snapshots: DataFrame) -> DataFrame:
+def build_pairs(events: DataFrame, snapshots: DataFrame, fallback_ids: bool = True) -> DataFrame:
     """One row per event with ``before_image`` / ``after_image`` relative names ('' when the snapshot is missing).
 
     Two left equi-joins on (release, col, row). Image bytes never enter the pair table; the snapshot
     side carries only the key and the extension (a few bytes per row)."""
-    ev = normalize_events(events)
+    ev = normalize_events(events, fallback_ids=fallback_ids)
     snaps = snapshots.select("release_id", "tile_col", "tile_row", "ext")
     keys_before = ["from_release_id", "tile_col", "tile_row"]
     keys_after = ["to_release_id", "tile_col", "tile_row"]
