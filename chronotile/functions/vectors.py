@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -34,3 +37,56 @@ def cosine(a, b) -> Column:
 
 def sq_l2(a, b) -> Column:
     return _fold_sum(F.zip_with(_c(a), _c(b), lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))))
+
+
+# Arrow-batched twins of the expressions above. Spark evaluates higher-order functions element by element
+# (interpreted, outside whole-stage codegen); for dense vector arithmetic an Arrow batch through NumPy is much
+# faster. Sums run over the vector dimension in index order, so results are bit-identical to the folds above.
+
+def _stack(s):
+    return np.stack([np.asarray(x, dtype=np.float64) for x in s]) if len(s) else np.zeros((0, 0))
+
+
+def seq_dot(a, b):
+    """Row-wise dot products of two (n, d) float64 matrices, summed in index order."""
+    acc = np.zeros(a.shape[0], dtype=np.float64)
+    for j in range(a.shape[1]):
+        acc += a[:, j] * b[:, j]
+    return acc
+
+
+def cosine_fast(a, b) -> Column:
+    """Same result as ``cosine``; one Arrow batch at a time through NumPy."""
+    @F.pandas_udf("double")
+    def cos(x: pd.Series, y: pd.Series) -> pd.Series:
+        out = np.full(len(x), np.nan)
+        ok = np.array([(u is not None) and (v is not None) for u, v in zip(x, y)], dtype=bool)
+        if ok.any():
+            A, B = _stack(x[ok]), _stack(y[ok])
+            norm = np.sqrt(seq_dot(A, A)) * np.sqrt(seq_dot(B, B))
+            d = seq_dot(A, B)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                out[ok] = np.where(norm == 0.0, 0.0, d / np.where(norm == 0.0, 1.0, norm))
+        return pd.Series(np.where(ok, out, None), dtype="object").astype("float64")
+
+    return cos(_c(a), _c(b))
+
+
+def sq_l2_fast(a, q: list[float]) -> Column:
+    """Squared L2 distance of every vector to one constant query vector (index-order sums)."""
+    qv = np.asarray(q, dtype=np.float32).astype(np.float64)
+
+    @F.pandas_udf("double")
+    def dist(x: pd.Series) -> pd.Series:
+        ok = np.array([u is not None and len(u) == len(qv) for u in x], dtype=bool)
+        out = np.full(len(x), np.nan)
+        if ok.any():
+            A = _stack(x[ok])
+            acc = np.zeros(A.shape[0])
+            for j in range(A.shape[1]):
+                d = A[:, j] - qv[j]
+                acc += d * d
+            out[ok] = acc
+        return pd.Series(out).where(ok, None)
+
+    return dist(_c(a))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chronotile.functions.images import basename
-from chronotile.functions.vectors import cosine
+from chronotile.functions.vectors import cosine_fast
 
 
 def unique_images(pairs: DataFrame) -> DataFrame:
@@ -83,7 +83,7 @@ def pair_similarity(pairs: DataFrame, embeddings: DataFrame) -> DataFrame:
         "_a", F.when(F.col("after_image") != "", basename("after_image"))
     )
     j = p.join(b, "_b", "left").join(a, "_a", "left")
-    return j.withColumn("dino_similarity", cosine("_vb", "_va")).drop("_a", "_b", "_va", "_vb")
+    return j.withColumn("dino_similarity", cosine_fast("_vb", "_va")).drop("_a", "_b", "_va", "_vb")
 
 
 def exact_median(values: DataFrame, col: str) -> DataFrame:

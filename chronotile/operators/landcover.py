@@ -7,6 +7,9 @@ scoring expression: scoring is a projection over the vector table, with no join
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -125,40 +128,51 @@ def probe_accuracy(model, labelled: DataFrame, features: str = "embedding") -> D
 def score_images(vectors: DataFrame, probe: DataFrame, p: Params, logit_scale: float = 1.0,
                  vector_col: str = "embedding") -> DataFrame:
     """Softmax over ``logit_scale * (w . v + b)``; argmax (first index wins ties); below the confidence floor
-    there is no label and confidence 0. Output: image, land_cover, land_cover_conf."""
+    there is no label and confidence 0. Output: image, land_cover, land_cover_conf.
+
+    The weights (``classes x dim``, a bounded table) are collected once and captured by an Arrow-batched UDF;
+    dot products sum over the dimension in index order."""
     cols = probe.columns
     rows = probe.orderBy("label").select("label", "label_name", "weights", *(["bias"] if "bias" in cols else [])).collect()
     cells = sum(len(r["weights"]) for r in rows)
     if cells > MAX_PROBE_CELLS:
         raise ValueError(f"probe has {cells} weights; above {MAX_PROBE_CELLS} score with model.transform instead")
-    v = F.col(vector_col)
-    logits = []
-    for r in rows:
-        w = F.array(*[F.lit(float(x)) for x in r["weights"]])
-        d = F.aggregate(F.zip_with(v, w, lambda a, b: a.cast("double") * b), F.lit(0.0).cast("double"), lambda acc, x: acc + x)
-        if "bias" in cols and r["bias"] is not None:
-            d = d + F.lit(float(r["bias"]))
-        logits.append(F.lit(float(logit_scale)) * d)
+    W = np.asarray([list(r["weights"]) for r in rows], dtype=np.float64)
+    bias = np.asarray([float(r["bias"]) if "bias" in cols and r["bias"] is not None else 0.0 for r in rows])
+    has_bias = "bias" in cols
     names = [r["label_name"] for r in rows]
-    lcols = [F.col(f"_l{i}") for i in range(len(logits))]
-    lmax = F.greatest(*lcols) if len(lcols) > 1 else lcols[0]
-    exps = [F.exp(lg - F.col("_lmax")) for lg in [F.col(f"_l{i}") for i in range(len(logits))]]
-    denom = exps[0]
-    for e in exps[1:]:
-        denom = denom + e
-    # first index attaining the maximum (ties -> smallest label id)
-    arg = F.lit(names[-1])
-    for i in reversed(range(len(logits) - 1)):
-        arg = F.when(F.col(f"_l{i}") == F.col("_lmax"), F.lit(names[i])).otherwise(arg)
-    staged = vectors.select("image", *[lg.alias(f"_l{i}") for i, lg in enumerate(logits)])
-    staged = staged.withColumn("_lmax", lmax)
-    conf = F.lit(1.0) / denom
-    ok = conf >= F.lit(p.confidence_floor)
-    return staged.select(
-        "image",
-        F.when(ok, arg).otherwise(F.lit("")).alias("land_cover"),
-        F.when(ok, conf).otherwise(F.lit(0.0)).alias("land_cover_conf"),
-    )
+    floor = float(p.confidence_floor)
+    scale = float(logit_scale)
+
+    @F.pandas_udf("land_cover string, land_cover_conf double")
+    def score(v: pd.Series) -> pd.DataFrame:
+        n = len(v)
+        label = np.array([""] * n, dtype=object)
+        conf_out = np.zeros(n)
+        ok = np.array([x is not None and len(x) == W.shape[1] for x in v], dtype=bool)
+        if ok.any():
+            V = np.stack([np.asarray(x, dtype=np.float64) for x in v[ok]])
+            logits = np.empty((V.shape[0], W.shape[0]))
+            for i in range(W.shape[0]):
+                acc = np.zeros(V.shape[0])
+                for j in range(W.shape[1]):
+                    acc += V[:, j] * W[i, j]
+                if has_bias:
+                    acc = acc + bias[i]
+                logits[:, i] = scale * acc
+            lmax = logits.max(axis=1)
+            denom = np.zeros(V.shape[0])
+            for i in range(W.shape[0]):
+                denom += np.exp(logits[:, i] - lmax)
+            conf = 1.0 / denom
+            arg = np.argmax(logits == lmax[:, None], axis=1)
+            keep = conf >= floor
+            label[ok] = np.where(keep, np.asarray(names, dtype=object)[arg], "")
+            conf_out[ok] = np.where(keep, conf, 0.0)
+        return pd.DataFrame({"land_cover": label, "land_cover_conf": conf_out})
+
+    s = score(F.col(vector_col))
+    return vectors.select("image", s.land_cover.alias("land_cover"), s.land_cover_conf.alias("land_cover_conf"))
 
 
 def classify_changes(changes: DataFrame, scores: DataFrame) -> DataFrame:

@@ -28,7 +28,11 @@ def iso_text(x) -> Column:
     frac_txt = F.when((frac == "") | (frac6 == "000000"), F.lit("")).otherwise(F.concat(F.lit("."), frac6))
     tz_txt = F.when(tz == "Z", F.lit("+00:00")).otherwise(tz)
     formatted = F.concat(day, F.lit("T"), time, frac_txt, tz_txt)
-    return F.when(s.isNull() | (s == ""), F.lit("")).when(ok, formatted).otherwise(s)
+    # Fast path without regex: 'YYYY-MM-DDTHH:MM:SS' prints back unchanged when it parses and is kept unchanged
+    # when it does not, so any 19-character text with the separators in place can pass through as is.
+    canonical = (F.length(s) == 19) & (F.substring(s, 5, 1) == "-") & (F.substring(s, 8, 1) == "-") & (
+        F.substring(s, 11, 1) == "T") & (F.substring(s, 14, 1) == ":") & (F.substring(s, 17, 1) == ":")
+    return F.when(s.isNull() | (s == ""), F.lit("")).when(canonical, s).when(ok, formatted).otherwise(s)
 
 
 def normalize_events(events: DataFrame, fallback_ids: bool = True) -> DataFrame:

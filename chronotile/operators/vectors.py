@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chronotile.functions.images import basename
-from chronotile.functions.vectors import sq_l2
+from chronotile.functions.vectors import sq_l2_fast
 
 # Metadata columns stored next to each vector.
 METADATA_COLUMNS = ["tile_col", "tile_row", "centroid_lon", "centroid_lat", "from_date", "to_date", "change_type_tr",
@@ -42,8 +42,8 @@ def similar_changes(vectors: DataFrame, event_id: int, k: int) -> DataFrame:
     row = vectors.where(F.col("event_id") == F.lit(event_id)).select("vector").limit(1).collect()
     if not row or row[0]["vector"] is None:
         return vectors.sparkSession.createDataFrame([], "rank int, event_id long, distance double")
-    q = F.array(*[F.lit(float(x)).cast("float") for x in row[0]["vector"]])
-    d = vectors.select("event_id", sq_l2(F.col("vector"), q).alias("distance")).where(F.col("distance").isNotNull())
+    d = vectors.select("event_id", sq_l2_fast(F.col("vector"), list(row[0]["vector"])).alias("distance")).where(
+        F.col("distance").isNotNull())
     top = d.orderBy("distance", "event_id").limit(k)
     w = Window.orderBy("distance", "event_id")  # at most k rows
     return top.where(F.col("event_id") != F.lit(event_id)).withColumn("rank", F.row_number().over(w)).select(
