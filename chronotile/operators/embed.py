@@ -39,12 +39,15 @@ def embed_images(
     input_col: str = "pixels",
     batch_size: int = 32,
     model: str | None = None,
+    input_shape: list[int] | None = None,
 ) -> DataFrame:
     """Batch inference with ``predict_batch_udf``: the user supplies the model factory, which runs once per
     Python worker and receives numpy batches of ``batch_size`` rows. Output rows: image, embedding, dim."""
     from pyspark.ml.functions import predict_batch_udf
 
-    embed = predict_batch_udf(make_predict_fn, return_type=T.ArrayType(T.FloatType()), batch_size=batch_size)
+    shapes = [list(input_shape)] if input_shape else None
+    embed = predict_batch_udf(make_predict_fn, return_type=T.ArrayType(T.FloatType()), batch_size=batch_size,
+                              input_tensor_shapes=shapes)
     out = images.select("image", embed(F.col(input_col)).alias("embedding"))
     out = out.withColumn("dim", F.size("embedding"))
     if model is not None:

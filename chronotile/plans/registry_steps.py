@@ -171,7 +171,7 @@ def q_cache_append(spark, sf):
 def q_embed_images(spark, sf):
     todo = EM.images_to_embed(EM.unique_images(S.pairs(spark, sf)), _cached(spark, sf))
     imgs = todo.join(_gray(spark, sf), "image")
-    return EM.embed_images(imgs, EM.block_mean_embedder(8, 8, 2), "pixels", model="block-mean-2")
+    return EM.embed_images(imgs, EM.block_mean_embedder(8, 8, 2), "pixels", model="block-mean-2", input_shape=[64])
 
 
 @register("pair_similarity", O.build("""
