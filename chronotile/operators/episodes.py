@@ -28,9 +28,15 @@ def parse_ts(col) -> F.Column:
 
 
 def episodes(changes: DataFrame) -> DataFrame:
-    base = changes.drop("episode_id", "episode_index", "episode_count")
-    staged = base.withColumn("_from_ts", parse_ts("from_date")).withColumn("_to_ts", parse_ts("to_date"))
-    numbered = with_row_number(staged, ORDER, "_rn")
+    """Adds episode_id, episode_index, episode_count. Wide rows are checkpointed once; numbering, the previous-row
+    join and the scans run on a narrow projection (id, tile, dates) and the result is joined back on event_id."""
+    from chronotile.session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(changes.sparkSession)
+    base = changes.drop("episode_id", "episode_index", "episode_count").checkpoint(eager=True)
+    narrow = base.select("event_id", "tile_col", "tile_row", "to_date",
+                         parse_ts("from_date").alias("_from_ts"), parse_ts("to_date").alias("_to_ts"))
+    numbered = with_row_number(narrow, ORDER, "_rn")
     prev = numbered.select(
         (F.col("_rn") + 1).alias("_rn"),
         F.col("tile_col").alias("_pc"),
@@ -46,14 +52,15 @@ def episodes(changes: DataFrame) -> DataFrame:
         & F.col("_pto").isNotNull()
         & (F.col("_from_ts") <= F.col("_pto"))
     )
-    j = j.withColumn("_start", ~F.coalesce(continues, F.lit(False)))
+    j = j.select("event_id", "_rn", (~F.coalesce(continues, F.lit(False))).alias("_start"))
     scanned = prefix_scan(
         j,
         ["_rn"],
         sums={"episode_id": F.col("_start").cast("long")},
         maxes={"_start_rn": F.when(F.col("_start"), F.col("_rn"))},
-    )
-    with_index = scanned.withColumn("episode_index", F.col("_rn") - F.col("_start_rn"))
-    counts = with_index.groupBy("episode_id").agg(F.count(F.lit(1)).alias("episode_count"))
-    out = with_index.join(counts, "episode_id", "inner")
-    return out.select(*base.columns, "episode_id", "episode_index", "episode_count")
+    ).select("event_id", "episode_id", (F.col("_rn") - F.col("_start_rn")).alias("episode_index"))
+    # narrow result, reused by the count and the join back: materialise it once
+    scanned = scanned.checkpoint(eager=True)
+    counts = scanned.groupBy("episode_id").agg(F.count(F.lit(1)).alias("episode_count"))
+    ep = scanned.join(counts, "episode_id")
+    return base.join(ep, "event_id").select(*base.columns, "episode_id", "episode_index", "episode_count")
