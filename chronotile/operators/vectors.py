@@ -1,7 +1,7 @@
 """Vector table and exact nearest-neighbour search.
 
 Distances are squared L2 in double precision; ties are broken by event id. Search for one event broadcasts a single
-query vector (a scalar subquery) and keeps a top-k: no sort of the table. The batch form runs exact k-NN for every
+query vector (a literal of dim floats) and keeps a top-k: no sort of the table. The batch form runs exact k-NN for every
 event of the table without emitting all event pairs: identical vectors are collapsed first (events that share an
 image share a vector), distinct vectors are compared block against block inside pandas UDFs that keep only a
 top-k per query, and each vector contributes at most its k smallest event ids.
@@ -57,57 +57,62 @@ def similar_features(hits: DataFrame, changes: DataFrame) -> DataFrame:
 
 def _topk_block_fn(k: int):
     def fn(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+        cols = {"qvid": "int64", "qvid2": "int64", "cvid": "int64", "cvid2": "int64", "distance": "float64"}
         if q.empty or c.empty:
-            return pd.DataFrame({"qvid": pd.Series([], dtype="int64"), "cvid": pd.Series([], dtype="int64"),
-                                 "distance": pd.Series([], dtype="float64")})
+            return pd.DataFrame({n: pd.Series([], dtype=t) for n, t in cols.items()})
         qm = np.stack(q["vec"].to_numpy()).astype(np.float64)
         cm = np.stack(c["vec"].to_numpy()).astype(np.float64)
-        # exact squared distances by explicit differences (no |a|^2 - 2ab + |b|^2 cancellation)
-        d = ((qm[:, None, :] - cm[None, :, :]) ** 2).sum(axis=2)
+        # exact squared distances from explicit differences, summed over the dimension in index order
+        d = np.zeros((qm.shape[0], cm.shape[0]))
+        for j in range(qm.shape[1]):
+            diff = qm[:, j][:, None] - cm[:, j][None, :]
+            d += diff * diff
         keep = min(k, d.shape[1])
-        out_q, out_c, out_d = [], [], []
-        cv = c["vid"].to_numpy()
-        for i, qv in enumerate(q["vid"].to_numpy()):
+        parts = []
+        for i in range(d.shape[0]):
             row = d[i]
             idx = np.argpartition(row, keep - 1)[:keep] if keep < len(row) else np.arange(len(row))
-            kth = row[idx].max()
-            idx = np.nonzero(row <= kth)[0]  # keep ties at the k-th distance: the merge stays exact
-            out_q.extend([qv] * len(idx))
-            out_c.extend(cv[idx].tolist())
-            out_d.extend(row[idx].tolist())
-        return pd.DataFrame({"qvid": np.asarray(out_q, dtype=np.int64), "cvid": np.asarray(out_c, dtype=np.int64),
-                             "distance": np.asarray(out_d, dtype=np.float64)})
+            idx = np.nonzero(row <= row[idx].max())[0]  # keep ties at the k-th distance: the merge stays exact
+            parts.append((i, idx))
+        qi = np.concatenate([np.full(len(ix), i) for i, ix in parts])
+        ci = np.concatenate([ix for _, ix in parts])
+        return pd.DataFrame({
+            "qvid": q["vid"].to_numpy()[qi], "qvid2": q["vid2"].to_numpy()[qi],
+            "cvid": c["vid"].to_numpy()[ci], "cvid2": c["vid2"].to_numpy()[ci], "distance": d[qi, ci],
+        }).astype(cols)
 
     return fn
 
 
 def similar_batch(vectors: DataFrame, k: int, block_vectors: int = 2048) -> DataFrame:
     """Exact k-NN for every event: query_event_id, rank, event_id, distance (self excluded after the top-k,
-    as in ``similar_changes``)."""
-    spark = vectors.sparkSession
+    as in ``similar_changes``).
+
+    Distinct vectors are keyed by two independent 64-bit hashes (a 128-bit key: a collision among 10^9 distinct
+    vectors has probability ~10^-21). Work is O(distinct^2 / block) block pairs, each a cogrouped pandas task that
+    returns only a top-k per query vector; no event pair list is ever built."""
     vid = F.xxhash64(F.col("vector"))
-    members = vectors.select("event_id", "vector", vid.alias("vid"))
-    distinct = members.groupBy("vid").agg(F.first("vector").alias("vec"), F.count(F.lit(1)).alias("m")).checkpoint(eager=True)
+    vid2 = F.xxhash64(F.lit("chronotile"), F.col("vector"))
+    members = vectors.select("event_id", "vector", vid.alias("vid"), vid2.alias("vid2"))
+    distinct = members.groupBy("vid", "vid2").agg(F.first("vector").alias("vec")).checkpoint(eager=True)
     n_vec = distinct.count()
     nb = max(1, -(-n_vec // block_vectors))
     blk = F.pmod(F.col("vid"), F.lit(nb)).cast("int")
     blocks = F.sequence(F.lit(0), F.lit(nb - 1))
-    qside = distinct.select("vid", "vec", blk.alias("qb"), F.explode(blocks).alias("cb"))
-    cside = distinct.select("vid", "vec", blk.alias("cb"), F.explode(blocks).alias("qb"))
-    schema = T.StructType([T.StructField("qvid", T.LongType()), T.StructField("cvid", T.LongType()),
-                           T.StructField("distance", T.DoubleType())])
-    cand = qside.groupBy("qb", "cb").cogroup(cside.groupBy("qb", "cb")).applyInPandas(
-        lambda q, c: _topk_block_fn(k)(q, c), schema)
-    # each distinct vector contributes at most its k smallest event ids (WindowGroupLimit keeps it partial)
-    wm = Window.partitionBy("vid").orderBy("event_id")
-    firsts = members.select("vid", "event_id").withColumn("r", F.row_number().over(wm)).where(F.col("r") <= k)
-    expanded = cand.join(firsts.select(F.col("vid").alias("cvid"), "event_id"), "cvid")
-    wq = Window.partitionBy("qvid").orderBy("distance", "event_id")
-    topq = expanded.withColumn("r", F.row_number().over(wq)).where(F.col("r") <= k).select("qvid", "r", "event_id", "distance")
-    # attach to every query event, then drop self; renumber
-    queries = members.select(F.col("event_id").alias("query_event_id"), F.col("vid").alias("qvid"))
-    j = queries.join(topq, "qvid").where(F.col("event_id") != F.col("query_event_id"))
+    qside = distinct.select("vid", "vid2", "vec", blk.alias("qb"), F.explode(blocks).alias("cb"))
+    cside = distinct.select("vid", "vid2", "vec", blk.alias("cb"), F.explode(blocks).alias("qb"))
+    schema = "qvid long, qvid2 long, cvid long, cvid2 long, distance double"
+    topk = _topk_block_fn(k)
+    cand = qside.groupBy("qb", "cb").cogroup(cside.groupBy("qb", "cb")).applyInPandas(lambda q, c: topk(q, c), schema)
+    # each distinct vector contributes at most its k smallest event ids (a bounded top-k per group)
+    wm = Window.partitionBy("vid", "vid2").orderBy("event_id")
+    firsts = members.select("vid", "vid2", "event_id").withColumn("r", F.row_number().over(wm)).where(F.col("r") <= k)
+    expanded = cand.join(firsts.select(F.col("vid").alias("cvid"), F.col("vid2").alias("cvid2"), "event_id"), ["cvid", "cvid2"])
+    wq = Window.partitionBy("qvid", "qvid2").orderBy("distance", "event_id")
+    topq = expanded.withColumn("r", F.row_number().over(wq)).where(F.col("r") <= k).select(
+        "qvid", "qvid2", "r", "event_id", "distance")
+    # attach to every query event (AQE splits a vector shared by many events), drop self, renumber
+    queries = members.select(F.col("event_id").alias("query_event_id"), F.col("vid").alias("qvid"), F.col("vid2").alias("qvid2"))
+    j = queries.join(topq, ["qvid", "qvid2"]).where(F.col("event_id") != F.col("query_event_id"))
     wr = Window.partitionBy("query_event_id").orderBy("r")
-    out = j.withColumn("rank", F.row_number().over(wr)).select("query_event_id", "rank", "event_id", "distance")
-    del spark
-    return out
+    return j.withColumn("rank", F.row_number().over(wr)).select("query_event_id", "rank", "event_id", "distance")
