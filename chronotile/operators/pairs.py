@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronotile.functions.images import image_rel_path, sniff_extension
 from chronotile.operators.numbering import with_row_number
 from chronotile.schema import EVENT_OPTIONAL, PAIR_COLUMNS, conform
 
+SMALL_SUBSET = 100_000  # rows needing a fallback id that may be ranked in one partition
+
 _ISO = r"^(\d{4}-\d{2}-\d{2})(?:[T ](\d{2}:\d{2})(:\d{2})?(?:\.(\d{1,6}))?)?(Z|[+-]\d{2}:\d{2})?$"
 
 
@@ -63,11 +65,17 @@ def normalize_events(events: DataFrame, fallback_ids: bool = True) -> DataFrame:
     # subset is numbered; rows with a negative id sort before 0, so they add a scalar offset.
     bad = base.where(bad_id)
     out_cols = ["event_id", *[c for c in base.columns if c != "id"]]
-    if not events.where(F.col("id").isNull() | (F.col("id") == 0)).select("id").take(1):
-        return good.select(*out_cols)  # the usual case: one pruned scan of the id column, no numbering pass
+    # one pruned scan of the id column (the predicate reaches the Parquet reader) sizes the subset
+    n_bad = events.where(F.col("id").isNull() | (F.col("id") == 0)).select("id").count()
+    if n_bad == 0:
+        return good.select(*out_cols)
     n_neg = base.where(F.col("id") < 0).select(F.count(F.lit(1))).scalar()
     order = [F.col("id").asc_nulls_first(), "tile_col", "tile_row", "from_release_id", "to_release_id", "to_date"]
-    numbered = with_row_number(bad, order, "pos", start=0)
+    if n_bad <= SMALL_SUBSET:
+        # size checked above: ranking this subset in one partition is bounded work
+        numbered = bad.withColumn("pos", F.row_number().over(Window.orderBy(*order)) - 1)
+    else:
+        numbered = with_row_number(bad, order, "pos", start=0)
     fixed = numbered.withColumn(
         "event_id", F.when(F.col("id").isNull(), F.col("pos")).otherwise(F.col("pos") + n_neg)
     ).drop("pos")

@@ -67,3 +67,20 @@ def test_hotspots_duplicates_and_border(spark):
     assert got[1] == got[2] == got[3] == 1
     assert got[4] == 1  # border tile within eps of the core tile
     assert got[5] == 0
+
+
+def test_hotspot_sizes_from_fixture_notes(spark):
+    """Sizes recorded for the fixtures: changes at sf0.001 (eps 15, min 5) -> 64 clusters, 248 noise rows;
+    all events at sf0.01 (eps 15, min 40) -> 25 clusters, 24 border tiles, 2,178 noise rows."""
+    h = hotspots(S.changes(spark, SF_SMALL), FIXTURE)
+    assert h.where("hotspot_id > 0").select("hotspot_id").distinct().count() == 64
+    assert h.where("hotspot_id = 0").count() == 248
+
+    from chronotile.operators.hotspots import tile_clusters
+
+    p = FIXTURE.with_(hotspot_min_samples=40)
+    ev = S.events(spark, "/root/testdata/sf0.01")
+    tc = tile_clusters(ev, p)
+    assert tc.where("hotspot_id > 0").select("hotspot_id").distinct().count() == 25
+    assert tc.where("NOT is_core AND hotspot_id > 0").count() == 24
+    assert tc.where("hotspot_id = 0").agg({"w": "sum"}).first()[0] == 2178
