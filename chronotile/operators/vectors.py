@@ -35,15 +35,18 @@ def vector_table(changes: DataFrame, embeddings: DataFrame) -> DataFrame:
     return c.join(emb, "image", "inner").select("event_id", "vector", *METADATA_COLUMNS)
 
 
-def similar_changes(vectors: DataFrame, event_id: int, k: int) -> DataFrame:
-    """Nearest events to one event: top-k with the event itself included, then itself dropped (normally k-1 rows).
-    Unknown id -> empty. Output: rank, event_id, distance."""
+def similar_changes(vectors: DataFrame, event_id: int, k: int, exclude_self_first: bool = False) -> DataFrame:
+    """Nearest events to one event: top-k with the event itself included, then itself dropped (normally k-1 rows);
+    ``exclude_self_first=True`` drops it before the limit and returns k rows. Unknown id -> empty.
+    Output: rank, event_id, distance."""
     # a point lookup: one vector of ``dim`` floats is a proven bound, so it travels as a literal
     row = vectors.where(F.col("event_id") == F.lit(event_id)).select("vector").limit(1).collect()
     if not row or row[0]["vector"] is None:
         return vectors.sparkSession.createDataFrame([], "rank int, event_id long, distance double")
     d = vectors.select("event_id", sq_l2_fast(F.col("vector"), list(row[0]["vector"])).alias("distance")).where(
         F.col("distance").isNotNull())
+    if exclude_self_first:
+        d = d.where(F.col("event_id") != F.lit(event_id))
     top = d.orderBy("distance", "event_id").limit(k)
     w = Window.orderBy("distance", "event_id")  # at most k rows
     return top.where(F.col("event_id") != F.lit(event_id)).withColumn("rank", F.row_number().over(w)).select(
