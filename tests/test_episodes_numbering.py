@@ -74,3 +74,17 @@ def test_row_number_and_prefix_scan(spark):
         assert r.s == run and r.m == mx
     n = with_row_number(df, ["k"], "rn", num_partitions=4).collect()
     assert sorted((r.k, r.rn) for r in n) == [(i, i + 1) for i in range(1000)]
+
+
+def test_episodes_small_batches_and_hot_tile(spark):
+    """One tile holding most rows, split over range partitions and small Arrow batches (carry across borders)."""
+    rows = [(i, 7 if i % 5 else i % 3, 1, f"2020-{(i % 12) + 1:02d}-01T00:00:00",
+             "" if i % 37 == 0 else f"2020-{(i * 7 % 12) + 1:02d}-{(i % 27) + 1:02d}T00:00:00") for i in range(1, 400)]
+    df = spark.createDataFrame(rows, "event_id long, tile_col int, tile_row int, from_date string, to_date string")
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = {r.event_id: (r.episode_id, r.episode_index, r.episode_count) for r in episodes(df).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    assert got == brute_episodes(rows)
