@@ -72,8 +72,9 @@ def test_row_number_and_prefix_scan(spark):
         run += r.v
         mx = r.k if r.v == 0 else mx
         assert r.s == run and r.m == mx
-    n = with_row_number(df, ["k"], "rn", num_partitions=4).collect()
-    assert sorted((r.k, r.rn) for r in n) == [(i, i + 1) for i in range(1000)]
+    for small in (0, 100_000):  # distributed scan and the size-checked single-partition path
+        n = with_row_number(df, ["k"], "rn", num_partitions=4, small_rows=small).collect()
+        assert sorted((r.k, r.rn) for r in n) == [(i, i + 1) for i in range(1000)]
 
 
 def test_episodes_small_batches_and_hot_tile(spark):
