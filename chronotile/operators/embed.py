@@ -105,7 +105,8 @@ def exact_median(values: DataFrame, col: str) -> DataFrame:
 def similarity_stats(pairs: DataFrame, threshold: float) -> DataFrame:
     """Mean, exact median and share below the threshold of non-null similarities (one row)."""
     s = F.col("dino_similarity")
-    valid = pairs.where(s.isNotNull())
+    # the narrow column is read by three jobs (count, median, moments): materialise it once
+    valid = pairs.where(s.isNotNull()).select("dino_similarity").checkpoint(eager=True)
     stats = valid.agg(
         F.count(F.lit(1)).alias("n"),
         F.avg(s).alias("mean_similarity"),

@@ -96,7 +96,8 @@ def similar_batch(vectors: DataFrame, k: int, block_vectors: int = 2048) -> Data
     returns only a top-k per query vector; no event pair list is ever built."""
     vid = F.xxhash64(F.col("vector"))
     vid2 = F.xxhash64(F.lit("chronotile"), F.col("vector"))
-    members = vectors.select("event_id", "vector", vid.alias("vid"), vid2.alias("vid2"))
+    # read by three branches (distinct vectors, per-vector first ids, query events): materialise once
+    members = vectors.select("event_id", "vector", vid.alias("vid"), vid2.alias("vid2")).checkpoint(eager=True)
     distinct = members.groupBy("vid", "vid2").agg(F.first("vector").alias("vec")).checkpoint(eager=True)
     n_vec = distinct.count()
     nb = max(1, -(-n_vec // block_vectors))
