@@ -113,7 +113,10 @@ def tile_clusters(changes: DataFrame, p: Params) -> DataFrame:
 
 
 def hotspots(changes: DataFrame, p: Params) -> DataFrame:
-    """Changes with hotspot_id and the weighted centroid of their cluster (null for noise)."""
+    """Changes with hotspot_id and the weighted centroid of their cluster (null for noise).
+
+    The input is read twice (tile weights, then the join back), so it is checkpointed once first."""
+    changes = changes.checkpoint(eager=True)
     tc = tile_clusters(changes, p).checkpoint(eager=True)
     cent = tc.where(F.col("hotspot_id") > 0).groupBy("hotspot_id").agg(
         (F.sum(F.col("w") * F.col("lon")) / F.sum("w")).alias("hotspot_centroid_lon"),
