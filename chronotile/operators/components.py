@@ -45,7 +45,8 @@ def connected_components(edges: DataFrame, nodes: DataFrame | None = None, max_r
     e = _norm(edges.select(F.col("u").cast("long"), F.col("v").cast("long"))).checkpoint(eager=True)
     for _ in range(max_rounds):
         nxt = _small_star(_large_star(e)).checkpoint(eager=True)
-        changed = nxt.exceptAll(e).limit(1).count() + e.exceptAll(nxt).limit(1).count()
+        # both set differences in one job: empty means the star graph is stable
+        changed = nxt.exceptAll(e).union(e.exceptAll(nxt)).limit(1).count()
         e = nxt
         if changed == 0:
             break
