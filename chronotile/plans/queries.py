@@ -134,8 +134,8 @@ def viewport_features(changes: DataFrame, r: Range, types=None, from_date=None,
 
 
 def viewports_top_features(changes: DataFrame, viewports: DataFrame, limit=None, p=None) -> DataFrame:
-    """Top-N per viewport for a batch of viewports: row_number <= N, which Spark plans as a partial
-    WindowGroupLimit before the shuffle (only N rows per viewport and task cross the network)."""
+    """Top-N per viewport for a batch of viewports: row_number <= N. Spark adds a partial WindowGroupLimit before the
+    shuffle when N is within ``spark.sql.optimizer.windowGroupLimitThreshold``."""
     from chronotile.params import DEFAULT
 
     p = p or DEFAULT
