@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronotile.llm import langid, mixing, pii, sentencepiece_codec, simhash, toxicity
+from chronotile.llm import ann, chunk_fingerprint, langid, lm_score, mixing, pii, sentencepiece_codec, sharding, simhash, toxicity
 from chronotile.llm.common import table
 
 
@@ -13,10 +13,19 @@ def _crc(column: str = "doc_id"):
     return F.crc32(F.col(column).cast("string"))
 
 
+def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(table(spark, sf_dir, "documents"))
+
+
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
 
+def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return ann.search(rows, rows.where(F.col("vec_id") % 20 == 0))
+
+
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.round_trip(table(spark, sf_dir, "documents"))
 
@@ -32,6 +41,10 @@ def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", held_out.alias("held_out"), "text"), model).drop("text")
 
 
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.train(docs, table(spark, sf_dir, "labels"), _crc() % 3 != 1)
@@ -45,11 +58,18 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunk_fingerprint.compare_next(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op2_pii, op4_sentencepiece, op5_mixing, op6_langid, op8_toxicity, op9_simhash, pipeline)}
+QUERIES = {f.__name__: f for f in (
+    op1_lm_score, op2_pii, op3_ann, op4_sentencepiece, op5_mixing, op6_langid, op7_sharding, op8_toxicity, op9_simhash,
+    op10_fingerprints, pipeline,
+)}
 ORACLE: dict[str, str] = {}
