@@ -9,11 +9,12 @@ with counts over all other documents (a document's own n-grams are taken out, el
 and S(w) = count(w) / words for a word that occurs elsewhere, BACKOFF / words if not (words: all of the corpus but the
 document's own, at least 1). A document's score is the sum of log S over its words.
 
-Relational form. Documents are dealt to blocks by a hash of the id. Each block lists its n-grams of all orders as
-(hash, block, count): pre-aggregated, so even the most frequent n-gram has one row per block. These rows are partitioned
-by the n-gram's hash; a window over each hash gives the corpus count, and only counts that differ from the block's own
-go back to the block, where they are joined to its documents' n-grams and summed per document. Nothing that grows with
-the corpus is broadcast or collected but the total number of words.
+Relational form. Documents are dealt to blocks by a hash of the id. Each block lists its n-grams of all orders with
+their counts: pre-aggregated, so even the most frequent n-gram has one entry per block. The lists are partitioned by the
+n-gram's hash into count tables; only counts that differ from the block's own go back, where they are joined to the
+n-grams of the block's documents and summed per document. An entry is a 64-bit hash and a count; the entries that one
+block and one partition exchange travel as one packed row (sorted, as differences), which halves the shuffle. Nothing
+that grows with the corpus is broadcast or collected but the total number of words.
 
 Cases: null text counts as empty; a text without words has 0 words and score 0.0; repeated rows count as documents of
 their own; null ids are kept (all in one block).
@@ -26,7 +27,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+import zstandard
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronotile.llm.common import byte_lengths, mix64, prepare, shuffle_partitions, utf8
@@ -95,15 +97,40 @@ def _by_block(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[i
             start = end
 
 
-def block_counts(blocks: DataFrame, order: int) -> DataFrame:
-    """(h, block, n): n-grams of all orders, counted per block as far as one task sees it at a time."""
+def pack(h: np.ndarray, n: np.ndarray) -> bytes:
+    """Sorted distinct hashes and their counts: differences and counts by byte planes, compressed."""
+    planes = [np.diff(h, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T, n.astype(np.uint32).view(np.uint8).reshape(-1, 4).T]
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(p.tobytes() for p in planes))
+
+
+def unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
+    m = len(raw) // 12
+    h = np.ascontiguousarray(raw[:8 * m].reshape(8, m).T).view(np.uint64).ravel()
+    return np.cumsum(h, dtype=np.uint64), np.ascontiguousarray(raw[8 * m:].reshape(4, m).T).view(np.uint32).ravel().astype(np.int64)
+
+
+def _sum(h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct hashes, their summed counts, index of each entry's hash)."""
+    h, at = np.unique(h, return_inverse=True)
+    return h, np.bincount(at, n, minlength=len(h)).astype(np.int64), at
+
+
+def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
+    return ((h >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+
+
+def block_counts(blocks: DataFrame, order: int, buckets: int) -> DataFrame:
+    """(bucket, block, entries): n-grams of all orders counted per block, by range of their hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush(block: int, held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-            h = np.concatenate([x for x, _ in held])
-            h, at = np.unique(h, return_inverse=True)
-            n = np.bincount(at, np.concatenate([c for _, c in held]), minlength=len(h)).astype(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.full(len(h), block, np.int32)), pa.array(n)], names=["h", "block", "n"])
+            h, n, _ = _sum(np.concatenate([x for x, _ in held]), np.concatenate([c for _, c in held]))
+            at = np.searchsorted(_bucket(h, buckets), np.arange(buckets + 1))
+            used = np.flatnonzero(np.diff(at))
+            blobs = [pack(h[at[k]:at[k + 1]], n[at[k]:at[k + 1]]) for k in used]
+            return pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(np.full(len(used), block, np.int32)), pa.array(blobs, pa.binary())],
+                                              names=["bucket", "block", "entries"])
 
         now, held = None, []
         for block, b in _by_block(batches, 4 << 20):
@@ -117,7 +144,26 @@ def block_counts(blocks: DataFrame, order: int) -> DataFrame:
         if held:
             yield flush(now, held)
 
-    return blocks.mapInArrow(run, "h long, block int, n long")
+    return blocks.mapInArrow(run, "bucket int, block int, entries binary")
+
+
+def corpus_counts(counted: DataFrame) -> DataFrame:
+    """(block, entries): for each block the corpus counts of its n-grams that other blocks have too."""
+
+    def run(group: pa.Table) -> pa.Table:
+        block = group.column("block").to_numpy()
+        parts = [unpack(x) for x in group.column("entries").to_pylist()]
+        size = np.array([len(h) for h, _ in parts])
+        n = np.concatenate([c for _, c in parts])
+        h, total, at = _sum(np.concatenate([x for x, _ in parts]), n)
+        ends, out = np.cumsum(size), []
+        for k, (e, m) in enumerate(zip(ends, size)):
+            mine = at[e - m:e]
+            shared = total[mine] != n[e - m:e]
+            out.append((block[k], pack(h[mine[shared]], total[mine[shared]])))
+        return pa.table({"block": pa.array([b for b, _ in out], pa.int32()), "entries": pa.array([x for _, x in out], pa.binary())})
+
+    return counted.groupBy("bucket").applyInArrow(run, "block int, entries binary")
 
 
 def score(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF) -> DataFrame:
@@ -126,16 +172,16 @@ def score(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF) -> Data
         raise ValueError("order must be at least 1")
     rows, n = _blocks(docs)
     dealt = rows.repartition(n, "block").sortWithinPartitions("block")
-    counted = block_counts(dealt, order)
-    every = counted.withColumn("all", F.sum("n").over(Window.partitionBy("h")))
-    back = every.where(F.col("all") != F.col("n")).select("block", "h", "all")
+    back = corpus_counts(block_counts(dealt, order, n))
     size = F.regexp_count(F.col("text"), F.lit(r"[^\x00-/:-@\[-`{-\x7f]+"))
     all_words = int(rows.agg(F.sum(size.cast("long"))).first()[0] or 0)
 
     def work(left: pa.Table, right: pa.Table) -> pa.Table:
-        h = right.column("h").to_numpy().view(np.uint64)
+        parts = [unpack(x) for x in right.column("entries").to_pylist()]
+        h = np.concatenate([x for x, _ in parts]) if parts else np.zeros(0, np.uint64)
+        known = np.concatenate([c for _, c in parts]) if parts else np.zeros(0, np.int64)
         by = np.argsort(h)
-        h, known = h[by], right.column("all").to_numpy()[by]
+        h, known = h[by], known[by]
         w, first = words(*utf8(left.column("text")))
         orders = grams(w, first, order)
         own_h, own_at, own_n = np.unique(np.concatenate(orders), return_inverse=True, return_counts=True)
