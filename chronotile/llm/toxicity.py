@@ -5,8 +5,9 @@ each gets the log ratio r of its smoothed shares in toxic and other texts; n-gra
 errors of none are left out. A logistic regression with an L2 penalty is fitted on the features scaled by r, with both
 classes of equal weight. Scoring reads whole texts: every position of every text is hashed.
 
-The fit is bounded: at most about SAMPLE labelled rows, chosen by a hash of the id (all of them when there are fewer),
-meet in one task. The model is a table of 2 ** BITS numbers and a bias.
+The fit is bounded: at most about SAMPLE labelled rows, chosen by a hash of the id (all of them when there are fewer).
+Their n-gram counts are summed in PARTS ranges; only the chosen n-grams of each row meet in the one task that fits. The
+model is a table of 2 ** BITS numbers and a bias.
 
 Cases: null text counts as empty; an empty text gets the score of no features; without training rows of both classes
 the score is the smoothed share of toxic rows, held below THRESHOLD; a labelled id that occurs more than once is toxic
@@ -19,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,6 +29,7 @@ from chronotile.llm.common import fresh, prepare, slices
 
 ORDERS = (3, 4, 5)
 BITS = 20
+PARTS = 64  # the n-gram counts are summed in as many ranges of buckets
 SAMPLE = 16_384
 THRESHOLD = 0.7
 Z_MIN, L2, ROUNDS = 3.0, 1.0, 300
@@ -64,37 +67,34 @@ def present(texts: list[str | None], useful: np.ndarray | None = None) -> tuple[
     return pairs >> BITS, pairs & ((1 << BITS) - 1)
 
 
-def fit(labels: np.ndarray, feats: list[np.ndarray]) -> tuple[np.ndarray, float]:
-    """(weight by bucket, bias) from the feature buckets of each training row."""
+def log_ratios(pos: np.ndarray, neg: np.ndarray, n_pos: int, n_neg: int) -> np.ndarray:
+    """Log ratio of the smoothed shares of texts with each n-gram; 0 where it is within Z_MIN errors of none."""
+    p, q = pos + 0.5, neg + 0.5
+    r = np.log(p / (n_pos + 1.0)) - np.log(q / (n_neg + 1.0))
+    return np.where(np.abs(r) >= Z_MIN * np.sqrt(1 / p + 1 / q), r, 0.0)
+
+
+def fit(labels: np.ndarray, feats: list[np.ndarray], used: np.ndarray, scale: np.ndarray) -> tuple[np.ndarray, float]:
+    """(weight of each used bucket, bias). feats: positions in ``used`` that each training row has."""
     y = labels.astype(bool)
-    weight = np.zeros(1 << BITS, np.float32)
     n1, n0 = int(y.sum()), int((~y).sum())
     if not n1 or not n0:
         p = min((n1 + 0.5) / (n1 + n0 + 1.0), 0.5)
-        return weight, float(np.log(p / (1 - p)))
-    col = np.concatenate(feats).astype(np.int64)
+        return np.zeros(len(used), np.float32), float(np.log(p / (1 - p)))
+    at = np.concatenate(feats).astype(np.int64)
     doc = np.repeat(np.arange(len(feats)), [len(f) for f in feats])
-    pos = np.bincount(col[y[doc]], minlength=1 << BITS) + 0.5
-    neg = np.bincount(col[~y[doc]], minlength=1 << BITS) + 0.5
-    r = np.log(pos / (n1 + 1.0)) - np.log(neg / (n0 + 1.0))
-    useful = np.abs(r) >= Z_MIN * np.sqrt(1 / pos + 1 / neg)
-    keep = useful[col]
-    doc, col = doc[keep], col[keep]
-    used, at = np.unique(col, return_inverse=True)
-    scale = r[used]
-    x, m = scale[at], len(y)
+    x, m, k = scale[at], len(y), max(1, len(used))
     cost = np.where(y, 0.5 / n1, 0.5 / n0)
     w, b = np.zeros(len(used)), 0.0
     g2w, g2b = np.full(len(used), 1e-12), 1e-12  # adaptive steps
     for _ in range(ROUNDS):
         z = np.bincount(doc, x * w[at], minlength=m) + b
         err = cost * (1 / (1 + np.exp(-np.clip(z, -35, 35))) - y)
-        gw = np.bincount(at, x * err[doc], minlength=len(used)) + L2 / len(used) * w
+        gw = np.bincount(at, x * err[doc], minlength=len(used)) + L2 / k * w
         gb = err.sum()
         g2w, g2b = g2w + gw * gw, g2b + gb * gb
         w, b = w - 0.3 * gw / np.sqrt(g2w), b - 0.3 * gb / np.sqrt(g2b)
-    weight[used] = (w * scale).astype(np.float32)
-    return weight, float(b)
+    return (w * scale).astype(np.float32), float(b)
 
 
 def train(docs: DataFrame, labels: DataFrame, usable: Column | None = None, sample: int = SAMPLE) -> dict:
@@ -111,30 +111,57 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column | None = None, samp
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(
         F.broadcast(picked), "doc_id")
 
-    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    by_label = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}  # two rows
+    n_pos, n_neg = by_label.get(1, 0), by_label.get(0, 0)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros((2, 1 << BITS), np.int32)
         for b in slices(batches, "text", 256 << 10):  # small slices sort in cache
             doc, col = present(b.column("text").to_pylist())
+            toxic = b.column("toxic").to_numpy()[doc] > 0
+            for k in (0, 1):
+                seen[k] += np.bincount(col[toxic == bool(k)], minlength=1 << BITS).astype(np.int32)
+        cut = seen.reshape(2, PARTS, -1)
+        blobs = [zstandard.compress(cut[:, k].tobytes(), 1) for k in range(PARTS)]
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(PARTS, dtype=np.int32)), pa.array(blobs, pa.binary())], names=["part", "seen"])
+
+    def choose(group: pa.Table) -> pa.Table:
+        part, total = group.column("part")[0].as_py(), 0
+        for blob in group.column("seen"):
+            total = total + np.frombuffer(zstandard.decompress(blob.as_py()), np.int32).reshape(2, -1).astype(np.int64)
+        r = log_ratios(total[1], total[0], n_pos, n_neg)
+        at = np.flatnonzero(r)
+        return pa.table({"bucket": pa.array((at + part * len(r)).astype(np.int32)), "ratio": pa.array(r[at])})
+
+    chosen = rows.mapInArrow(count, "part int, seen binary").groupBy("part").applyInArrow(choose, "bucket int, ratio double")
+    got = sorted((r["bucket"], r["ratio"]) for r in chosen.collect())  # at most 2 ** BITS rows
+    used, scale = np.array([x for x, _ in got], np.int64), np.array([x for _, x in got], np.float64)
+    shared = spark.sparkContext.broadcast((used, scale))
+
+    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mask = np.zeros(1 << BITS, bool)
+        mask[shared.value[0]] = True
+        for b in slices(batches, "text"):
+            doc, col = present(b.column("text").to_pylist(), mask)
             at = np.searchsorted(doc, np.arange(b.num_rows + 1))
-            blobs = [col[i:j].astype(np.int32).tobytes() for i, j in zip(at[:-1], at[1:])]
+            col = np.searchsorted(shared.value[0], col).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.zeros(b.num_rows, np.int32)), b.column("doc_id"), b.column("toxic"), pa.array(blobs, pa.binary())],
-                names=["one", "doc_id", "toxic", "feats"])
+                [pa.array(np.zeros(b.num_rows, np.int32)), b.column("doc_id"), b.column("toxic"),
+                 pa.array([col[i:j].tobytes() for i, j in zip(at[:-1], at[1:])], pa.binary())], names=["one", "doc_id", "toxic", "feats"])
 
     def solve(group: pa.Table) -> pa.Table:
         group = group.sort_by([("doc_id", "ascending"), ("feats", "ascending")])
         feats = [np.frombuffer(x, np.int32) for x in group.column("feats").to_pylist()]
-        weight, bias = fit(group.column("toxic").to_numpy(), feats)
-        used = np.flatnonzero(weight).astype(np.int32)
-        return pa.table({"bias": [bias], "used": [used.tobytes()], "weight": [weight[used].tobytes()]},
-                        schema=pa.schema([("bias", pa.float64()), ("used", pa.binary()), ("weight", pa.binary())]))
+        weight, bias = fit(group.column("toxic").to_numpy(), feats, *shared.value)
+        return pa.table({"bias": [bias], "weight": [weight.tobytes()]}, schema=pa.schema([("bias", pa.float64()), ("weight", pa.binary())]))
 
     cut = rows.mapInArrow(features, "one int, doc_id long, toxic int, feats binary")
-    got = cut.groupBy("one").applyInArrow(solve, "bias double, used binary, weight binary").collect()  # one row
+    solved = cut.groupBy("one").applyInArrow(solve, "bias double, weight binary").collect()  # one row
     weight = np.zeros(1 << BITS, np.float32)
-    if not got:
+    if not solved:
         return {"weight": weight, "bias": -2.0}
-    weight[np.frombuffer(got[0]["used"], np.int32)] = np.frombuffer(got[0]["weight"], np.float32)
-    return {"weight": weight, "bias": float(got[0]["bias"])}
+    weight[used] = np.frombuffer(solved[0]["weight"], np.float32)
+    return {"weight": weight, "bias": float(solved[0]["bias"])}
 
 
 def scores(texts: list[str | None], weight: np.ndarray, bias: float) -> np.ndarray:
