@@ -1,8 +1,8 @@
 """Toxicity: a linear classifier on character n-grams scaled by naive Bayes log-count ratios.
 
 Features are the hashed character n-grams (ORDERS code points, lower-cased) present in a text. On the training rows
-each gets the log ratio r of its smoothed shares in toxic and other texts; n-grams whose ratio is within Z_MIN standard
-errors of none are left out. A logistic regression with an L2 penalty is fitted on the features scaled by r, with both
+each gets the log ratio r of its smoothed shares in toxic and other texts; n-grams whose ratio is below R_MIN or within
+Z_MIN standard errors of none are left out. A logistic regression with an L2 penalty is fitted on the features scaled by r, with both
 classes of equal weight. Scoring reads whole texts: every position of every text is hashed.
 
 The fit is bounded: at most about SAMPLE labelled rows, chosen by a hash of the id (all of them when there are fewer).
@@ -32,7 +32,8 @@ BITS = 20
 PARTS = 64  # the n-gram counts are summed in as many ranges of buckets
 SAMPLE = 16_384
 THRESHOLD = 0.7
-Z_MIN, L2, ROUNDS = 3.0, 1.0, 300
+Z_MIN, R_MIN = 3.0, 1.0  # standard errors and log ratio that an n-gram must reach
+L2, ROUNDS = 1.0, 200
 _M, _K = np.uint32(0x01000193), np.uint32(0x9E3779B1)
 
 
@@ -68,10 +69,10 @@ def present(texts: list[str | None], useful: np.ndarray | None = None) -> tuple[
 
 
 def log_ratios(pos: np.ndarray, neg: np.ndarray, n_pos: int, n_neg: int) -> np.ndarray:
-    """Log ratio of the smoothed shares of texts with each n-gram; 0 where it is within Z_MIN errors of none."""
+    """Log ratio of the smoothed shares of texts with each n-gram; 0 where it is below R_MIN or Z_MIN errors."""
     p, q = pos + 0.5, neg + 0.5
     r = np.log(p / (n_pos + 1.0)) - np.log(q / (n_neg + 1.0))
-    return np.where(np.abs(r) >= Z_MIN * np.sqrt(1 / p + 1 / q), r, 0.0)
+    return np.where(np.abs(r) >= np.maximum(R_MIN, Z_MIN * np.sqrt(1 / p + 1 / q)), r, 0.0)
 
 
 def fit(labels: np.ndarray, feats: list[np.ndarray], used: np.ndarray, scale: np.ndarray) -> tuple[np.ndarray, float]:
@@ -81,8 +82,8 @@ def fit(labels: np.ndarray, feats: list[np.ndarray], used: np.ndarray, scale: np
     if not n1 or not n0:
         p = min((n1 + 0.5) / (n1 + n0 + 1.0), 0.5)
         return np.zeros(len(used), np.float32), float(np.log(p / (1 - p)))
-    at = np.concatenate(feats).astype(np.int64)
-    doc = np.repeat(np.arange(len(feats)), [len(f) for f in feats])
+    at = np.concatenate(feats)
+    doc = np.repeat(np.arange(len(feats), dtype=np.int32), [len(f) for f in feats])
     x, m, k = scale[at], len(y), max(1, len(used))
     cost = np.where(y, 0.5 / n1, 0.5 / n0)
     w, b = np.zeros(len(used)), 0.0
