@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from chronotile.session import ensure_checkpoint_dir, ship_package
 
-SLICE_BYTES = 4 << 20  # text bytes worked on at once inside a task; a longer text forms a slice of its own
+SLICE_BYTES = 2 << 20  # text bytes worked on at once inside a task; a longer text forms a slice of its own
 
 
 def prepare(spark: SparkSession) -> SparkSession:

@@ -34,7 +34,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SEED, ALPHA = 7, 1.0
 RANK_OFFSET, BYTE_WEIGHT = 10.0, 1e-7
 STEP = np.uint64(0x8CB92BA72F3D8DD7)
-CODEC_BYTES = 8 << 20  # text bytes of a slice: more of them share one lattice per distinct word
+CODEC_BYTES = 3 << 20  # text bytes of a slice: more of them share one lattice per distinct word
 _HELD: dict = {}
 
 
