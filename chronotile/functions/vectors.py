@@ -19,7 +19,9 @@ def _fold_sum(values: Column) -> Column:
 
 
 def dot(a, b) -> Column:
-    return _fold_sum(F.zip_with(_c(a), _c(b), lambda x, y: x.cast("double") * y.cast("double")))
+    """Dot product; vectors of unequal lengths raise."""
+    total = _fold_sum(F.zip_with(_c(a), _c(b), lambda x, y: x.cast("double") * y.cast("double")))
+    return F.when(F.size(_c(a)) != F.size(_c(b)), F.raise_error(F.lit("vectors of unequal lengths")).cast("double")).otherwise(total)
 
 
 def sq_norm(a) -> Column:
@@ -35,10 +37,6 @@ def cosine(a, b) -> Column:
     )
 
 
-def sq_l2(a, b) -> Column:
-    return _fold_sum(F.zip_with(_c(a), _c(b), lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))))
-
-
 # Arrow-batched twins of the expressions above. Spark evaluates higher-order functions element by element
 # (interpreted, outside whole-stage codegen); for dense vector arithmetic an Arrow batch through NumPy is much
 # faster. Sums run over the vector dimension in index order, so results are bit-identical to the folds above.
@@ -63,6 +61,8 @@ def cosine_fast(a, b) -> Column:
         ok = np.array([(u is not None) and (v is not None) for u, v in zip(x, y)], dtype=bool)
         if ok.any():
             A, B = _stack(x[ok]), _stack(y[ok])
+            if A.shape != B.shape:
+                raise ValueError("vectors of unequal lengths")
             norm = np.sqrt(seq_dot(A, A)) * np.sqrt(seq_dot(B, B))
             d = seq_dot(A, B)
             with np.errstate(divide="ignore", invalid="ignore"):

@@ -90,16 +90,16 @@ def pair_similarity(pairs: DataFrame, embeddings: DataFrame) -> DataFrame:
 
 
 def exact_median(values: DataFrame, col: str) -> DataFrame:
-    """Exact median of a numeric column without holding the column in one buffer: global ranks from the
-    prefix-numbering helper, then the one or two middle values. One row: ``median``."""
-    from chronotile.operators.numbering import with_row_number
+    """Exact median of a numeric column without holding the column in one buffer: running counts over the distinct
+    values (equal values are one row), then the one or two middle values. One row: ``median``."""
+    from chronotile.operators.numbering import prefix_scan
 
     v = values.select(F.col(col).alias("_v")).where(F.col("_v").isNotNull())
-    numbered = with_row_number(v, ["_v"], "_rn")
+    per = prefix_scan(v.groupBy("_v").agg(F.count(F.lit(1)).alias("_n")), ["_v"], sums={"_upto": F.col("_n")})
     n = v.select(F.count(F.lit(1))).scalar()
-    lo = F.floor((n + 1) / 2)
-    hi = F.floor(n / 2) + 1
-    return numbered.where((F.col("_rn") == lo) | (F.col("_rn") == hi)).agg(F.avg("_v").alias("median"))
+    held = lambda rank: F.max(F.when((F.col("_upto") >= rank) & (F.col("_upto") - F.col("_n") < rank), F.col("_v")))
+    lo, hi = F.floor((n + 1) / 2), F.floor(n / 2) + 1
+    return per.agg(((held(lo) + held(hi)) / 2).alias("median"))
 
 
 def similarity_stats(pairs: DataFrame, threshold: float) -> DataFrame:

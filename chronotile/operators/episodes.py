@@ -109,7 +109,7 @@ def _number_pass(offsets: dict):
             rn = rn0 + pos + np.arange(1, len(c) + 1, dtype=np.int64)
             eid = ep + np.cumsum(start)
             srn = pd.Series(np.where(start, rn, np.nan)).ffill().fillna(carry).to_numpy()
-            yield pd.DataFrame({"event_id": pdf["event_id"].to_numpy(), "episode_id": eid.astype(np.int64),
+            yield pd.DataFrame({"_row": pdf["_row"].to_numpy(), "episode_id": eid.astype(np.int64),
                                 "episode_index": (rn - srn).astype(np.int64)})
             ep, carry, pos = int(eid[-1]), float(srn[-1]), pos + len(c)
             last = (int(c[-1]), int(r[-1]), float(t[-1]))
@@ -130,9 +130,12 @@ def episodes(changes: DataFrame) -> DataFrame:
     from chronotile.session import ensure_checkpoint_dir
 
     ensure_checkpoint_dir(changes.sparkSession)
-    base = changes.drop("episode_id", "episode_index", "episode_count").checkpoint(eager=True)
+    base = changes.drop("episode_id", "episode_index", "episode_count")
+    names = base.columns
+    # event ids may repeat or be null, so rows are joined back by a key of their own, fixed by the checkpoint
+    base = base.withColumn("_row", F.monotonically_increasing_id()).checkpoint(eager=True)
     narrow = base.select(
-        "event_id", "tile_col", "tile_row", "to_date",
+        "_row", "event_id", "tile_col", "tile_row", "to_date",
         F.unix_micros(parse_ts("from_date")).cast("double").alias("_f"),
         F.unix_micros(parse_ts("to_date")).cast("double").alias("_t"),
     )
@@ -140,8 +143,8 @@ def episodes(changes: DataFrame) -> DataFrame:
     # one row per non-empty partition: a proven bound for the driver
     stats = ranged.mapInPandas(_stats_pass, STATS_SCHEMA).toPandas()
     offsets = _offsets(stats)
-    numbered = ranged.mapInPandas(_number_pass(offsets), "event_id long, episode_id long, episode_index long")
+    numbered = ranged.mapInPandas(_number_pass(offsets), "_row long, episode_id long, episode_index long")
     numbered = numbered.checkpoint(eager=True)  # reused by the count and the join back
     counts = numbered.groupBy("episode_id").agg(F.count(F.lit(1)).alias("episode_count"))
     ep = numbered.join(counts, "episode_id")
-    return base.join(ep, "event_id").select(*base.columns, "episode_id", "episode_index", "episode_count")
+    return base.join(ep, "_row").select(*names, "episode_id", "episode_index", "episode_count")

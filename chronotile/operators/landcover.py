@@ -82,9 +82,15 @@ def change_type(from_label, to_label) -> tuple[Column, Column]:
     return tr, en
 
 
-def probe_from_means(labelled: DataFrame, dim: int = 64, decimals: int = 8) -> DataFrame:
+def probe_from_means(labelled: DataFrame, dim: int | None = None, decimals: int = 8) -> DataFrame:
     """Fixture probe: the per-label mean vector is the weight row (label, label_name, weights array<double>).
-    One pass with ``dim`` partial averages per label (no explode)."""
+    One pass with ``dim`` partial averages per label (no explode); by default the vectors' own length, which must be
+    the same for all."""
+    if dim is None:
+        low, high = labelled.agg(F.min(F.size("embedding")), F.max(F.size("embedding"))).first()
+        if low != high:
+            raise ValueError(f"labelled vectors have lengths from {low} to {high}")
+        dim = high or 0
     agg = labelled.groupBy("label", "label_name").agg(
         *[F.round(F.avg(F.col("embedding")[i].cast("double")), decimals).alias(f"w{i}") for i in range(dim)]
     )
@@ -149,7 +155,9 @@ def score_images(vectors: DataFrame, probe: DataFrame, p: Params, logit_scale: f
         n = len(v)
         label = np.array([""] * n, dtype=object)
         conf_out = np.zeros(n)
-        ok = np.array([x is not None and len(x) == W.shape[1] for x in v], dtype=bool)
+        ok = np.array([x is not None for x in v], dtype=bool)
+        if any(len(x) != W.shape[1] for x in v[ok]):
+            raise ValueError(f"a vector's length differs from the probe's {W.shape[1]}")
         if ok.any():
             V = np.stack([np.asarray(x, dtype=np.float64) for x in v[ok]])
             logits = np.empty((V.shape[0], W.shape[0]))

@@ -116,16 +116,8 @@ def prefix_scan(
     return result
 
 
-SMALL_ROWS = 100_000  # inputs at most this large are ranked in one partition
-
-
 def with_row_number(df: DataFrame, order: Sequence, name: str = "row_no", start: int = 1,
-                    num_partitions: int | None = None, small_rows: int = SMALL_ROWS) -> DataFrame:
-    """Consecutive global row number in ``order`` (``start``-based).
-
-    One count sizes the input first: up to ``small_rows`` rows (a checked bound) a single ordered window is cheaper
-    than the distributed scan; above it the range-partitioned prefix scan keeps every task bounded."""
-    if small_rows and df.count() <= small_rows:
-        return df.withColumn(name, F.row_number().over(Window.orderBy(*order)) - 1 + start)
+                    num_partitions: int | None = None) -> DataFrame:
+    """Consecutive global row number in ``order`` (``start``-based), by the range-partitioned prefix scan."""
     out = prefix_scan(df, order, sums={name: F.lit(1)}, num_partitions=num_partitions)
     return out.withColumn(name, F.col(name) - 1 + start) if start != 1 else out

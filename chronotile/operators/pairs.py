@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronotile.functions.images import image_rel_path, sniff_extension
 from chronotile.operators.numbering import with_row_number
 from chronotile.schema import EVENT_OPTIONAL, PAIR_COLUMNS, conform
 
-SMALL_SUBSET = 100_000  # rows needing a fallback id that may be ranked in one partition
-
 _ISO = r"^(\d{4}-\d{2}-\d{2})(?:[T ](\d{2}:\d{2})(:\d{2})?(?:\.(\d{1,6}))?)?(Z|[+-]\d{2}:\d{2})?$"
 
 
@@ -49,7 +47,7 @@ def normalize_events(events: DataFrame, fallback_ids: bool = True) -> DataFrame:
         if name in ("from_date", "to_date", "detected_at"):
             cols.append(iso_text(F.col(name).cast("string")).alias(name))
         else:
-            cols.append(F.coalesce(F.col(name).cast(dtype), F.lit(default).cast(dtype)).alias(name))
+            cols.append(F.coalesce(F.col(name).try_cast(dtype), F.lit(default).cast(dtype)).alias(name))
     base = ev.select(
         F.col("id").cast("long").alias("id"),
         F.col("tile_col").cast("int").alias("tile_col"),
@@ -71,11 +69,7 @@ def normalize_events(events: DataFrame, fallback_ids: bool = True) -> DataFrame:
         return good.select(*out_cols)
     n_neg = base.where(F.col("id") < 0).select(F.count(F.lit(1))).scalar()
     order = [F.col("id").asc_nulls_first(), "tile_col", "tile_row", "from_release_id", "to_release_id", "to_date"]
-    if n_bad <= SMALL_SUBSET:
-        # size checked above: ranking this subset in one partition is bounded work
-        numbered = bad.withColumn("pos", F.row_number().over(Window.orderBy(*order)) - 1)
-    else:
-        numbered = with_row_number(bad, order, "pos", start=0)
+    numbered = with_row_number(bad, order, "pos", start=0)
     fixed = numbered.withColumn(
         "event_id", F.when(F.col("id").isNull(), F.col("pos")).otherwise(F.col("pos") + n_neg)
     ).drop("pos")

@@ -104,7 +104,7 @@ cte("snaps", ["events"], """
     SELECT from_release_id AS release_id, tile_col, tile_row FROM events
     UNION SELECT to_release_id, tile_col, tile_row FROM events),
   v AS (SELECT *, CAST(substr(release_id, 4, 4) AS INT) * 12 + CAST(substr(release_id, 9, 2) AS INT) AS m FROM r)
-  SELECT release_id, tile_col, tile_row, CAST((tile_col * 31 + tile_row * 17 + m * 7) % 500 AS BIGINT) AS vec_id,
+  SELECT release_id, tile_col, tile_row, CAST((tile_col * 31 + tile_row * 17 + m * 7) % (SELECT max(vec_id) + 1 FROM embeddings) AS BIGINT) AS vec_id,
     CASE WHEN (tile_col + m) % 3 = 0 THEN 'png' ELSE 'jpg' END AS ext
   FROM v WHERE (tile_col + tile_row + m) % 23 <> 0""")
 

@@ -55,7 +55,7 @@ def date_predicate(from_date: str | None, to_date: str | None, typed: bool = Fal
 
 
 def split_types(text: str | None) -> list[str]:
-    return [t.strip() for t in (text or "").split(",") if t.strip()]
+    return [t for t in (text or "").split(",") if t]
 
 
 def in_viewport(changes: DataFrame, r: Range, types=None, from_date=None, to_date=None, typed_dates=False) -> DataFrame:
@@ -91,9 +91,11 @@ def in_viewports(changes: DataFrame, viewports: DataFrame) -> DataFrame:
 
 
 def limit_for(limit: int | None, p) -> int:
-    """``0``/None -> default; capped at the hard limit."""
+    """``0``/None -> default; a limit below 0 or above the hard limit is refused."""
     n = int(limit or p.max_features)
-    return max(0, min(n, p.hard_limit))
+    if not 0 <= n <= p.hard_limit:
+        raise ValueError(f"limit {n} is not between 0 and {p.hard_limit}")
+    return n
 
 
 def order_key(df: DataFrame) -> list[Column]:

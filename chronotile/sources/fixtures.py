@@ -31,10 +31,6 @@ LABELS = [
     "SeaLake",
 ]
 
-# Number of distinct vectors the snapshot fixture maps images onto (FIXTURES.md).
-VECTOR_IDS = 500
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -91,12 +87,13 @@ def tile_snapshots(spark: SparkSession, sf_dir: str, events: DataFrame | None =
     )
     m = F.substring("release_id", 4, 4).cast("int") * 12 + F.substring("release_id", 9, 2).cast("int")
     v = r.withColumn("m", m)
+    vector_ids = F.lit(table(spark, sf_dir, "embeddings").agg(F.max("vec_id")).first()[0] + 1)  # all vectors are used
     col, row, mm = F.col("tile_col"), F.col("tile_row"), F.col("m")
     return v.where((col + row + mm) % 23 != 0).select(
         "release_id",
         "tile_col",
         "tile_row",
-        ((col * 31 + row * 17 + mm * 7) % VECTOR_IDS).cast("long").alias("vec_id"),
+        ((col * 31 + row * 17 + mm * 7) % vector_ids).cast("long").alias("vec_id"),
         F.when((col + mm) % 3 == 0, F.lit("png")).otherwise(F.lit("jpg")).alias("ext"),
     )
 

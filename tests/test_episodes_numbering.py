@@ -72,9 +72,17 @@ def test_row_number_and_prefix_scan(spark):
         run += r.v
         mx = r.k if r.v == 0 else mx
         assert r.s == run and r.m == mx
-    for small in (0, 100_000):  # distributed scan and the size-checked single-partition path
-        n = with_row_number(df, ["k"], "rn", num_partitions=4, small_rows=small).collect()
-        assert sorted((r.k, r.rn) for r in n) == [(i, i + 1) for i in range(1000)]
+    n = with_row_number(df, ["k"], "rn", num_partitions=4).collect()
+    assert sorted((r.k, r.rn) for r in n) == [(i, i + 1) for i in range(1000)]
+
+
+def test_episodes_keep_repeated_and_null_ids(spark):
+    rows = [(1, 5, 5, "2020-01-01T00:00:00", "2020-02-01T00:00:00"), (1, 5, 5, "2020-01-15T00:00:00", "2020-03-01T00:00:00"),
+            (None, 6, 5, "2020-01-01T00:00:00", "2020-02-01T00:00:00"), (2, 6, 6, "", "")]
+    df = spark.createDataFrame(rows, "event_id long, tile_col int, tile_row int, from_date string, to_date string")
+    got = episodes(df).collect()
+    assert sorted((r.event_id is None, r.event_id) for r in got) == sorted((r[0] is None, r[0]) for r in rows)
+    assert sorted(r.episode_count for r in got) == [1, 1, 2, 2]
 
 
 def test_episodes_small_batches_and_hot_tile(spark):
