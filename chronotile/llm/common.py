@@ -80,6 +80,14 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def segment_sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Sum of each segment values[first[i]:first[i+1]], whatever lies beside it."""
+    out, some = np.zeros(len(first) - 1), np.flatnonzero(np.diff(first) > 0)
+    if len(some):
+        out[some] = np.add.reduceat(values, first[some])
+    return out
+
+
 def unit_interval(x: np.ndarray) -> np.ndarray:
     """uint64 hashes as doubles in [0, 1)."""
     return (x >> np.uint64(11)).astype(np.float64) / float(1 << 53)

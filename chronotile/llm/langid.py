@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chronotile.llm.common import prepare, slices, utf8
+from chronotile.llm.common import prepare, segment_sums, slices, utf8
 from chronotile.llm.lattice import LONG_UNIT, arc_shares, arc_weights, cut_units, expected_uses, forward, sparse_forward
 from chronotile.llm.sentencepiece_codec import MODEL, Shared, held, rank_weights, share_vocabulary
 
@@ -109,7 +109,7 @@ def log_likelihoods(vocab, raw: np.ndarray, offsets: np.ndarray, probs: np.ndarr
             per_unit[r, k] = sparse_forward(vocab, cp, np.log(p))[0]
     out = np.zeros((len(offsets) - 1, len(probs)))
     for k in range(len(probs)):
-        out[:, k] = np.diff(np.concatenate([[0.0], np.cumsum(per_unit[u.code, k])])[u.first])
+        out[:, k] = segment_sums(per_unit[u.code, k], u.first)
     return out
 
 
@@ -128,7 +128,7 @@ def predict(docs: DataFrame, model: dict, text: str = "text", lang_pred: str = "
             raw, off = utf8(b.column(text))
             ll = log_likelihoods(vocab, raw, off, probs.value)
             best = ll.argmax(axis=1)
-            post = 1.0 / np.exp(ll - ll.max(axis=1, keepdims=True)).sum(axis=1)
+            post = np.round(1.0 / np.exp(ll - ll.max(axis=1, keepdims=True)).sum(axis=1), 9)
             data = raw.tobytes()
             letters = [any(map(str.isalpha, data[i:j].decode())) for i, j in zip(off[:-1], off[1:])]
             cols = [pa.array([langs[k] if a else "und" for k, a in zip(best, letters)], pa.string()), pa.array(np.where(letters, post, 0.0))]

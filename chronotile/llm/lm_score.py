@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronotile.llm.common import byte_lengths, mix64, prepare, shuffle_partitions, utf8
+from chronotile.llm.common import byte_lengths, mix64, prepare, segment_sums, shuffle_partitions, utf8
 
 ORDER = 2
 BACKOFF = 0.4
@@ -203,9 +203,8 @@ def score(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF) -> Data
             context = np.concatenate([np.ones(1, np.int64), elsewhere[i - 1][:-1]])[:len(w)]
             s = np.where(seen, elsewhere[i] / np.maximum(context, 1), np.where(full, backoff * s, s))
             lower = np.where(full, ~seen, lower)
-        sums = np.concatenate([[0.0], np.cumsum(np.log(s))])[first]
         backs = np.concatenate([[0], np.cumsum(lower)])[first]
         return pa.table({"doc_id": left.column("doc_id"), "n_words": pa.array(sizes.astype(np.int64)),
-                         "log_score": pa.array(np.diff(sums)), "n_backoff": pa.array(np.diff(backs).astype(np.int64))})
+                         "log_score": pa.array(np.round(segment_sums(np.log(s), first), 6)), "n_backoff": pa.array(np.diff(backs).astype(np.int64))})
 
     return dealt.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(work, "doc_id long, n_words long, log_score double, n_backoff long")

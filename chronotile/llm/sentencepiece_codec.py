@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chronotile.llm.common import fresh, mix64, prepare, slices, unit_interval, utf8
+from chronotile.llm.common import fresh, mix64, prepare, segment_sums, slices, unit_interval, utf8
 from chronotile.llm.lattice import (
     LONG_UNIT, Vocabulary, arc_shares, arc_weights, cut_units, forward, load_pieces, sparse_forward, spelled_bytes, utf8_width,
 )
@@ -97,8 +97,9 @@ def sample_slice(vocab: Vocabulary, raw: np.ndarray, offsets: np.ndarray, keys:
     for g in vocab.groups(u.chars, u.lengths):
         w = arc_weights(vocab, g, weight)
         log_total, logs = forward(g, w)
-        upto = np.cumsum(arc_shares(g, w, logs))
-        before = np.concatenate([[0.0], upto])[g.first[:-1]]  # by node
+        # whole numbers, so that a draw does not depend on the words it shares a slice with
+        upto = np.cumsum(np.rint(arc_shares(g, w, logs) * (1 << 31)).astype(np.int64))
+        before = np.concatenate([[0], upto])[g.first[:-1]]  # by node
         log_w = np.log(w)
         times = at[g.rows + 1] - at[g.rows]
         row = np.repeat(np.arange(len(g.rows)), times)
@@ -106,9 +107,9 @@ def sample_slice(vocab: Vocabulary, raw: np.ndarray, offsets: np.ndarray, keys:
         occ_log[occ] -= log_total[row]
         node = row * (g.length + 1) + g.length
         while len(occ):
-            draw = unit_interval(mix64(occ_key[occ] + (node % (g.length + 1)).astype(np.uint64) * STEP))
+            draw = (mix64(occ_key[occ] + (node % (g.length + 1)).astype(np.uint64) * STEP) >> np.uint64(33)).astype(np.int64)
             arc, last = g.first[node], g.first[node + 1] - 1
-            want = before[node] + draw * (upto[last] - before[node])
+            want = before[node] + (draw * (upto[last] - before[node]) >> 31)
             open_ = np.flatnonzero((upto[arc] <= want) & (arc < last))
             while len(open_):  # arcs of a node, longest piece first
                 arc[open_] += 1
@@ -144,8 +145,7 @@ def sample_slice(vocab: Vocabulary, raw: np.ndarray, offsets: np.ndarray, keys:
             for k in range(4):
                 has = b[:, k] >= 0
                 ids[to[~whole][has] + k] = vocab.byte_ids[b[has, k]]
-    logs = np.concatenate([[0.0], np.cumsum(occ_log)])[u.first]
-    return ids, off[u.first], np.diff(logs)
+    return ids, off[u.first], np.round(segment_sums(occ_log, u.first), 6)
 
 
 def decode_ids(vocab: Vocabulary, ids: np.ndarray, offsets: np.ndarray) -> tuple[bytes, np.ndarray]:
