@@ -11,12 +11,15 @@ from chronotile.sources.fixtures import LABELS
 
 CTES: dict[str, tuple[list[str], str]] = {}
 RECURSIVE: set[str] = set()
+HEADS: dict[str, str] = {}
 
 
-def cte(name: str, deps: list[str], sql: str, recursive: bool = False) -> None:
+def cte(name: str, deps: list[str], sql: str, recursive: bool = False, head: str | None = None) -> None:
     CTES[name] = (deps, sql)
     if recursive:
         RECURSIVE.add(name)
+    if head:
+        HEADS[name] = head
 
 
 def build(body: str, *names: str) -> str:
@@ -34,7 +37,7 @@ def build(body: str, *names: str) -> str:
     if not order:
         return body
     head = "WITH RECURSIVE " if RECURSIVE & set(order) else "WITH "
-    ctes = ",\n".join(f"{n} AS (\n{CTES[n][1]}\n)" for n in order)
+    ctes = ",\n".join(f"{HEADS.get(n, n)} AS (\n{CTES[n][1]}\n)" for n in order)
     stripped = body.lstrip()
     if stripped.upper().startswith("WITH "):
         return head + ctes + ",\n" + stripped[5:]
@@ -317,3 +320,29 @@ cte("hs_pairs", ["hs_pts"], """
   SELECT a.tile_col AS a_col, a.tile_row AS a_row, b.tile_col AS b_col, b.tile_row AS b_row, b.w AS b_w,
     (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) AS d2
   FROM hs_pts a JOIN hs_pts b ON (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 225.0""")
+
+cte("hs_core", ["hs_tiles", "hs_pairs"], """
+  SELECT a_col AS tile_col, a_row AS tile_row, row_number() OVER (ORDER BY a_col, a_row) AS id
+  FROM hs_pairs GROUP BY 1, 2 HAVING sum(b_w) >= 5""")
+
+cte("hs_core_edges", ["hs_core", "hs_pairs"], """
+  SELECT a.id AS a, b.id AS b FROM hs_pairs p
+  JOIN hs_core a ON a.tile_col = p.a_col AND a.tile_row = p.a_row
+  JOIN hs_core b ON b.tile_col = p.b_col AND b.tile_row = p.b_row WHERE a.id <> b.id""")
+
+# smallest core number that each core reaches
+cte("hs_reach", ["hs_core", "hs_core_edges"], """
+  SELECT id, id FROM hs_core
+  UNION
+  SELECT e.b, min(r.label) FROM hs_reach r JOIN hs_core_edges e ON e.a = r.node
+    JOIN recurring.hs_reach k ON k.node = e.b WHERE r.label < k.label GROUP BY e.b""",
+    recursive=True, head="hs_reach(node, label) USING KEY (node)")
+
+cte("hs_of_tile", ["hs_core", "hs_reach", "hs_pairs", "hs_tiles"], """
+  WITH c AS (SELECT c.tile_col, c.tile_row, dense_rank() OVER (ORDER BY r.label) AS cluster
+             FROM hs_core c JOIN hs_reach r ON r.node = c.id),
+  near AS (SELECT p.a_col, p.a_row, min(c.cluster) AS cluster FROM hs_pairs p
+           JOIN c ON c.tile_col = p.b_col AND c.tile_row = p.b_row GROUP BY 1, 2)
+  SELECT t.*, coalesce(c.cluster, near.cluster, 0) AS hotspot_id FROM hs_tiles t
+  LEFT JOIN c USING (tile_col, tile_row)
+  LEFT JOIN near ON near.a_col = t.tile_col AND near.a_row = t.tile_row""")

@@ -225,20 +225,23 @@ def ai_confirmed(changes: DataFrame) -> DataFrame:
     return changes.where(F.col("ai_is_real") == F.lit(True))
 
 
-def map_layer(changes: DataFrame, r: Range, zoom: int, p=None, types=None, from_date=None, to_date=None) -> DataFrame:
-    """Grid when the cell is > 1 or the viewport holds more than ``max_features`` rows, else features.
-    The decision needs one count; both layers are returned in one schema (layer, feature JSON)."""
+def map_layer(changes: DataFrame, r: Range, zoom: int, layer: str | None = None, p=None, types=None, from_date=None,
+              to_date=None) -> DataFrame:
+    """The map's layer ("grid" or "features") in one schema (layer, feature JSON). By default the zoom decides: the grid
+    when a block is larger than a tile. A caller that prefers the grid above some number of rows asks ``viewport_count``."""
     from chronotile.params import DEFAULT
 
     p = p or DEFAULT
     cell = max(1, 2 ** max(0, 16 - zoom))
-    n = viewport_count(changes, r, types=types, from_date=from_date, to_date=to_date).first()["n"]
-    if cell > 1 or n > p.max_features:
+    layer = layer or ("grid" if cell > 1 else "features")
+    if layer == "grid":
         g = grid(changes, r, cell, types, from_date, to_date)
         ring = geo.ring(F.col("west"), F.col("south"), F.col("east"), F.col("north"))
         feat = F.to_json(F.struct(F.lit("Feature").alias("type"), geo.polygon_struct(F.array(ring)).alias("geometry"),
                                   F.struct(F.col("n").alias("count")).alias("properties")))
         return g.select(F.lit("grid").alias("layer"), feat.alias("feature"))
+    if layer != "features":
+        raise ValueError(f"unknown layer: {layer}")
     f = viewport_features(changes, r, types, from_date, to_date, p=p)
     return f.select(F.lit("features").alias("layer"), F.to_json(feature(f)).alias("feature"))
 

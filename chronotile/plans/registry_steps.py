@@ -113,13 +113,14 @@ def q_image_store(spark, sf):
     return st.select("image_path", "release_id", "tile_col", "tile_row", F.length("data").alias("n_bytes"))
 
 
-@register("image_formats")
+@register("image_formats", O.build("SELECT image, ext, ext AS sniffed FROM snapnames", "snapnames"))
 def q_image_formats(spark, sf):
     s = _snap_images(spark, sf)
     return s.select("image", "ext", sniff_extension("data").alias("sniffed"))
 
 
-@register("snapshot_formats")
+@register("snapshot_formats", O.build("""
+SELECT release_id, tile_col, tile_row, CASE WHEN ext = 'png' THEN 'image/png' ELSE 'image/jpeg' END AS content_type FROM snaps""", "snaps"))
 def q_snapshot_formats(spark, sf):
     return SE.snapshot_formats(_snap_images(spark, sf))
 
@@ -167,11 +168,19 @@ def q_cache_append(spark, sf):
     return EM.embedding_cache_append(cache, new).select("image", "dim").distinct()
 
 
-@register("embed_images")
+@register("embed_images", O.build(f"""
+SELECT image, 16 AS dim, 'block-mean-2' AS model, array_to_string(list_transform(range(16), lambda j: CAST(round(
+  ((px[(j // 4) * 16 + (j % 4) * 2 + 1] + px[(j // 4) * 16 + (j % 4) * 2 + 2] + px[(j // 4) * 16 + (j % 4) * 2 + 9]
+    + px[(j // 4) * 16 + (j % 4) * 2 + 10])::FLOAT / 4::FLOAT / 255::FLOAT)::DOUBLE * 1000000) AS BIGINT)::VARCHAR), ',') AS millionths
+FROM gray WHERE image IN (
+    SELECT {O.basename('x')} FROM (SELECT before_image AS x FROM pairs UNION ALL SELECT after_image FROM pairs) WHERE x <> '')
+  AND image NOT IN (SELECT image FROM snapnames WHERE vec_id % 10 < 8)""", "pairs", "gray", "snapnames"))
 def q_embed_images(spark, sf):
     todo = EM.images_to_embed(EM.unique_images(S.pairs(spark, sf)), _cached(spark, sf))
     imgs = todo.join(_gray(spark, sf), "image")
-    return EM.embed_images(imgs, EM.block_mean_embedder(8, 8, 2), "pixels", model="block-mean-2", input_shape=[64])
+    out = EM.embed_images(imgs, EM.block_mean_embedder(8, 8, 2), "pixels", model="block-mean-2", input_shape=[64])
+    whole = F.transform("embedding", lambda x: F.round(x.cast("double") * 1000000).cast("long").cast("string"))
+    return out.select("image", "dim", "model", F.array_join(whole, ",").alias("millionths"))
 
 
 @register("pair_similarity", O.build("""
@@ -271,10 +280,17 @@ def q_hotspot_core(spark, sf):
     return cores.select("tile_col", "tile_row", "w", "n", "is_core")
 
 
-@register("hotspots")
+@register("hotspots", O.build("""
+WITH cent AS (SELECT hotspot_id, sum(w * lon) / sum(w) AS lon, sum(w * lat) / sum(w) AS lat FROM hs_of_tile
+              WHERE hotspot_id > 0 GROUP BY 1)
+SELECT c.event_id, c.tile_col, c.tile_row, t.hotspot_id, round(cent.lon, 6) AS hotspot_centroid_lon,
+  round(cent.lat, 6) AS hotspot_centroid_lat
+FROM changes c JOIN hs_of_tile t USING (tile_col, tile_row) LEFT JOIN cent ON cent.hotspot_id = t.hotspot_id""",
+                              "changes", "hs_of_tile"))
 def q_hotspots(spark, sf):
     h = HS.hotspots(S.changes(spark, sf), HOT_P)
-    return R(h.select("event_id", "tile_col", "tile_row", "hotspot_id", "hotspot_centroid_lon", "hotspot_centroid_lat"))
+    # centroids are float sums, whose order differs between engines: 6 decimals
+    return R(h.select("event_id", "tile_col", "tile_row", "hotspot_id", "hotspot_centroid_lon", "hotspot_centroid_lat"), 6)
 
 
 # ---------------------------------------------------------------- geo functions
@@ -367,12 +383,14 @@ def _image_pairs(spark, sf):
     return MK.image_pairs(S.changes(spark, sf), _gray(spark, sf))
 
 
-@register("gray_images")
+@register("gray_images", O.build(
+    "SELECT image, array_to_string(list_transform(px, lambda v: v::VARCHAR), ',') AS pixels FROM gray", "gray"))
 def q_gray_images(spark, sf):
     g = _gray(spark, sf)
     # BGR bytes with b = g = r = gray decode back to the same gray level
     bgr = g.select("image", F.concat(*[F.unhex(F.lpad(F.hex(F.col("pixels")[i]), 2, "0")) for i in range(64) for _ in range(3)]).alias("data"))
-    return bgr.select("image", MK.gray_from_bgr(F.col("data"), F.lit(3)).alias("pixels"))
+    pixels = MK.gray_from_bgr(F.col("data"), F.lit(3))
+    return bgr.select("image", F.array_join(pixels.cast("array<string>"), ",").alias("pixels"))
 
 
 @register("cell_diff", O.build("""
@@ -410,10 +428,12 @@ def q_mask_polygons(spark, sf):
                       F.col("ring")[2][0].alias("east"), F.col("ring")[2][1].alias("north")), 7)
 
 
-@register("mask_overlay")
+@register("mask_overlay", O.build("""
+SELECT event_id, 8 AS width, 8 AS height, string_agg(CASE WHEN changed THEN '0000FF96' ELSE '0000FF00' END, '' ORDER BY k) AS rgba
+FROM celldiff1 WHERE event_id IN (SELECT event_id FROM regions) GROUP BY event_id""", "celldiff1", "regions"))
 def q_mask_overlay(spark, sf):
     o = MK.mask_overlay(S.changes(spark, sf), _gray(spark, sf), MASK_P)
-    return o.select("event_id", "width", "height", F.length("rgba").alias("n_bytes"))
+    return o.select("event_id", "width", "height", F.hex("rgba").alias("rgba"))
 
 
 @register("feature_geometry", O.build("""
@@ -507,11 +527,17 @@ def q_ai_confirmed(spark, sf):
     return Q.ai_confirmed(VD.apply_verdicts(S.changes(spark, sf), _verdicts(spark, sf))).select("event_id")
 
 
-@register("vision_requests")
+@register("vision_requests", O.build("""
+WITH u AS (
+  SELECT image_path, CASE WHEN ext = 'png' THEN 'data:image/png;base64,' || to_base64(from_hex('89504E470D0A1A0A') || encode(vec_id::VARCHAR))
+                          ELSE 'data:image/jpeg;base64,' || to_base64(from_hex('FFD8FFE0') || encode(vec_id::VARCHAR)) END AS url
+  FROM snapnames)
+SELECT c.event_id, (b.url IS NOT NULL)::INT + (a.url IS NOT NULL)::INT AS n_images, concat_ws(' ', b.url, a.url) AS image_urls
+FROM changes c LEFT JOIN u b ON b.image_path = c.before_image LEFT JOIN u a ON a.image_path = c.after_image""", "changes", "snapnames"))
 def q_vision_requests(spark, sf):
     img = _snap_images(spark, sf).select("image", "data")
     r = VD.vision_requests(S.changes(spark, sf), img)
-    return r.select("event_id", F.size("image_urls").alias("n_images"), F.length(F.concat_ws("", "image_urls")).alias("url_chars"))
+    return r.select("event_id", F.size("image_urls").alias("n_images"), F.concat_ws(" ", "image_urls").alias("image_urls"))
 
 
 # ---------------------------------------------------------------- vectors
@@ -588,15 +614,41 @@ def q_export_geojson(spark, sf):
                          F.get_json_object(f, "$.properties.ai_is_real").cast("boolean").alias("ai_is_real")))
 
 
-@register("export_ndjson")
-def q_export_ndjson(spark, sf):
-    return EX.feature_rows(_masked(spark, sf)).select("feature")
+EXPORTED = {
+    "event_id": "long", "tile_col": "int", "tile_row": "int", "centroid_lon": "double", "centroid_lat": "double",
+    "from_release_id": "string", "from_date": "string", "to_release_id": "string", "to_date": "string", "detected_at": "string",
+    "ssim_score": "double", "change_ratio": "double", "largest_run": "int", "dino_similarity": "double",
+    "land_cover_from": "string", "land_cover_to": "string", "change_type_tr": "string", "change_type_en": "string",
+    "importance": "double", "episode_id": "long", "episode_index": "long", "episode_count": "long", "before_image": "string",
+    "after_image": "string",
+}
 
 
-@register("export_geoparquet")
+@register("export_ndjson", O.build(f"""
+SELECT 'Feature' AS type, CASE WHEN m.has_regions THEN m.mask_type ELSE 'Polygon' END AS geometry_type,
+  round(CASE WHEN m.has_regions THEN {O.col_to_lon('r.tile_col + r.x0::DOUBLE / r.cells_x')} ELSE {O.col_to_lon('m.tile_col')} END, 7) AS west,
+  round(CASE WHEN m.has_regions THEN {O.row_to_lat('r.tile_row + r.y1::DOUBLE / r.cells_y')} ELSE {O.row_to_lat('m.tile_row + 1')} END, 7) AS south,
+  {", ".join(f"round(m.{c}, 9) AS {c}" if t == "double" else f"m.{c}" for c, t in EXPORTED.items())}
+FROM masked m LEFT JOIN regions r ON r.event_id = m.event_id AND r.region_index = 0""", "masked", "regions"))
+def q_export_ndjson(spark, sf):
+    """The exported lines, read back: geometry type, first corner and properties."""
+    f = F.col("feature")
+    props = F.from_json(F.get_json_object(f, "$.properties"), ", ".join(f"{c} {t}" for c, t in EXPORTED.items()))
+    rows = EX.feature_rows(_masked(spark, sf)).select(
+        F.get_json_object(f, "$.type").alias("type"), F.get_json_object(f, "$.geometry.type").alias("geometry_type"),
+        F.get_json_object(f, "$.geometry.coordinates").alias("at"), props.alias("p"))
+    # the first number pair of a polygon or multipolygon is the south-west corner of its first box
+    first = F.split(F.regexp_extract("at", r"^[\[\s]*([^\]]+)\]", 1), ",")
+    corner = [F.round(F.trim(first[i]).cast("double"), 7).alias(c) for i, c in enumerate(("west", "south"))]
+    return rows.select("type", "geometry_type", *corner, *[F.round(f"p.{c}", 9).alias(c) if t == "double" else f"p.{c}" for c, t in EXPORTED.items()])
+
+
+@register("export_geoparquet", O.build("""
+SELECT m.event_id, CASE WHEN n.n > 1 THEN 9 + 93 * n.n ELSE 93 END AS wkb_bytes, CASE WHEN n.n > 1 THEN '06' ELSE '03' END AS wkb_type
+FROM masked m LEFT JOIN (SELECT event_id, count(*) AS n FROM regions GROUP BY 1) n USING (event_id)""", "masked", "regions"))
 def q_export_geoparquet(spark, sf):
     w = EX.with_wkb(_masked(spark, sf))
-    return w.select("event_id", F.length("geometry").alias("wkb_bytes"))
+    return w.select("event_id", F.length("geometry").cast("long").alias("wkb_bytes"), F.hex(F.substring("geometry", 2, 1)).alias("wkb_type"))
 
 
 @register("summary", O.build("""
@@ -605,30 +657,58 @@ SELECT count(*) AS total_changes, count(DISTINCT (tile_col, tile_row)) AS distin
   coalesce(max(CASE WHEN to_date <> '' THEN to_date END), '') AS date_to,
   count(*) FILTER (WHERE land_cover_from <> '' AND land_cover_to <> '') AS labeled,
   count(*) FILTER (WHERE has_regions) AS with_mask, count(DISTINCT episode_id) AS episodes,
-  0::BIGINT AS hotspots, 0::BIGINT AS hotspot_clusters FROM masked""", "masked"))
+  count(*) FILTER (WHERE t.hotspot_id > 0) AS hotspots, count(DISTINCT t.hotspot_id) FILTER (WHERE t.hotspot_id > 0) AS hotspot_clusters
+FROM masked JOIN hs_of_tile t USING (tile_col, tile_row)""", "masked", "hs_of_tile"))
 def q_summary(spark, sf):
-    return EX.summary(_masked(spark, sf))
+    return EX.summary(HS.hotspots(_masked(spark, sf), HOT_P))
+
+
+@register("summary_maps", O.build("""
+SELECT 'type' AS kind, change_type_tr AS key, count(*) AS n FROM classified GROUP BY 2
+UNION ALL
+SELECT 'year', substr(to_date, 1, 4), count(*) FROM classified WHERE to_date <> '' GROUP BY 2""", "classified"))
+def q_summary_maps(spark, sf):
+    maps = EX.summary_maps(S.classified(spark, sf))
+    rows = [maps.select(F.lit(kind).alias("kind"), F.explode(c).alias("key", "n")) for kind, c in (("type", "change_types"), ("year", "by_year"))]
+    return rows[0].union(rows[1])
 
 
 @register("step_metrics", O.build("""
 SELECT (SELECT count(*) FROM pairs) AS pairs, count(*) AS changes,
   count(*) FILTER (WHERE land_cover_from <> '' AND land_cover_to <> '') AS labelled,
-  count(*) FILTER (WHERE has_regions) AS with_mask, 0::BIGINT AS judged, count(DISTINCT episode_id) AS episodes,
-  0::BIGINT AS in_hotspots,
+  count(*) FILTER (WHERE has_regions) AS with_mask, count(v.ai_is_real) AS judged, count(DISTINCT episode_id) AS episodes,
+  count(*) FILTER (WHERE t.hotspot_id > 0) AS in_hotspots,
   round(count(*) FILTER (WHERE land_cover_from <> '' AND land_cover_to <> '')::DOUBLE / greatest(count(*), 1), 9) AS labelled_share
-FROM masked""", "masked", "pairs"))
+FROM masked JOIN hs_of_tile t USING (tile_col, tile_row) LEFT JOIN verdicts v USING (event_id)""", "masked", "pairs", "hs_of_tile", "verdicts"))
 def q_step_metrics(spark, sf):
-    return R(EX.step_metrics(S.pairs(spark, sf), _masked(spark, sf)))
+    judged = VD.apply_verdicts(HS.hotspots(_masked(spark, sf), HOT_P), _verdicts(spark, sf))
+    return R(EX.step_metrics(S.pairs(spark, sf), judged))
 
 
-@register("map_layer")
+@register("map_layer", O.build(f"""
+WITH g AS (SELECT tile_col // 64 * 64 AS c, tile_row // 64 * 64 AS r, count(*) AS n FROM changes GROUP BY 1, 2)
+SELECT 'grid' AS layer, round({O.col_to_lon('c')}, 7) AS west, round({O.row_to_lat('r + 64')}, 7) AS south,
+  round({O.col_to_lon('c + 64')}, 7) AS east, round({O.row_to_lat('r')}, 7) AS north, n FROM g""", "changes"))
 def q_map_layer(spark, sf):
-    return Q.map_layer(S.enriched(spark, sf), (0, 2**16 - 1, 0, 2**16 - 1), 10, FIXTURE)
-
-
-@register("pipeline_end_to_end")
+    """The map's features, read back: corners of each grid block and its count."""
+    rows = Q.map_layer(S.enriched(spark, sf), (0, 2**16 - 1, 0, 2**16 - 1), 10, p=FIXTURE)
+    at = lambda i, k: F.get_json_object("feature", f"$.geometry.coordinates[0][{i}][{k}]").cast("double")
+    return R(rows.select("layer", at(0, 0).alias("west"), at(0, 1).alias("south"), at(2, 0).alias("east"), at(2, 1).alias("north"),
+                         F.get_json_object("feature", "$.properties.count").cast("long").alias("n")), 7)
+
+
+@register("pipeline_end_to_end", O.build("""
+SELECT m.event_id, m.before_image, m.after_image, round(m.dino_similarity, 9) AS dino_similarity, m.land_cover_from, m.land_cover_to,
+  m.change_type_tr, m.change_type_en, CASE WHEN m.has_regions THEN m.mask_type ELSE '' END AS mask_type,
+  'Polygon' AS geometry_type, round(m.centroid_lon, 9) AS centroid_lon, round(m.centroid_lat, 9) AS centroid_lat, m.episode_id,
+  m.episode_index, m.episode_count, round(m.importance, 9) AS importance, t.hotspot_id
+FROM masked m JOIN hs_of_tile t USING (tile_col, tile_row)""", "masked", "hs_of_tile"))
 def q_pipeline(spark, sf):
     from chronotile.plans.pipeline import run_pipeline
 
-    return run_pipeline(spark, sf)
+    out = run_pipeline(spark, sf)
+    return R(out.select("event_id", "before_image", "after_image", "dino_similarity", "land_cover_from", "land_cover_to", "change_type_tr",
+                        "change_type_en", F.coalesce(F.get_json_object("geometry_mask", "$.type"), F.lit("")).alias("mask_type"),
+                        F.get_json_object("geometry", "$.type").alias("geometry_type"), "centroid_lon", "centroid_lat", "episode_id",
+                        "episode_index", "episode_count", "importance", "hotspot_id"))
 

@@ -8,7 +8,8 @@ import pytest
 from conftest import SF_SMALL
 
 KEYS = ["viewport_features", "episodes", "importance", "change_type", "hotspot_core_tiles", "mask_regions",
-        "parse_verdicts", "similar_batch", "summary", "year_playback", "grid_density", "build_pairs"]
+        "parse_verdicts", "similar_batch", "summary", "summary_maps", "year_playback", "grid_density", "build_pairs", "hotspots",
+        "export_ndjson", "map_layer", "mask_overlay", "embed_images", "vision_requests"]
 
 
 @pytest.fixture(scope="module")
