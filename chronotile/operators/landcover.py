@@ -46,7 +46,7 @@ CHANGE_TYPES = {
     ("su", "yapili"): ("Dolgu/yapılaşma", "Landfill and development"),
 }
 
-# Display name of each group (declared by the reference, not used in its outputs).
+# Display name of each group.
 GROUP_DISPLAY = {"dogal": "Doğal alan", "tarim": "Tarım", "yapili": "Yapılı alan", "su": "Su"}
 
 MAX_PROBE_CELLS = 1_000_000  # classes x dim bound for carrying weights as literals
@@ -59,6 +59,13 @@ def _map_lit(d: dict) -> Column:
     return F.create_map(*items)
 
 
+def group_name(label) -> Column:
+    """Display name of a label's group; '' for an empty or unknown label."""
+    names = _map_lit({k: GROUP_DISPLAY[g] for k, g in GROUP.items()})
+    label = F.col(label) if isinstance(label, str) else label
+    return F.coalesce(F.try_element_at(names, label), F.lit(""))
+
+
 def change_type_dimension(spark) -> DataFrame:
     """The transition table as a DataFrame (for inspection and joins by users)."""
     rows = [(fg, tg, tr, en) for (fg, tg), (tr, en) in CHANGE_TYPES.items()]

@@ -136,14 +136,19 @@ def viewport_features(changes: DataFrame, r: Range, types=None, from_date=None,
 
 
 def viewports_top_features(changes: DataFrame, viewports: DataFrame, limit=None, p=None) -> DataFrame:
-    """Top-N per viewport for a batch of viewports: row_number <= N. Spark adds a partial WindowGroupLimit before the
-    shuffle when N is within ``spark.sql.optimizer.windowGroupLimitThreshold``."""
+    """Top-N per viewport for a batch of viewports, in two steps: the N first rows of each share of a viewport (by a hash
+    of the event id), then the N first of those, so that no task holds a whole viewport."""
     from chronotile.params import DEFAULT
 
     p = p or DEFAULT
     tagged = in_viewports(changes, viewports)
-    w = Window.partitionBy("viewport_id").orderBy(*order_key(tagged))
-    return tagged.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit_for(limit, p))
+    n = limit_for(limit, p)
+    shares = max(1, int(changes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    tagged = tagged.withColumn("_share", F.pmod(F.xxhash64("event_id"), F.lit(shares)))
+    for keys in (["viewport_id", "_share"], ["viewport_id"]):
+        w = Window.partitionBy(*keys).orderBy(*order_key(tagged))
+        tagged = tagged.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+    return tagged.drop("_share")
 
 
 def grid(changes: DataFrame, r: Range, cell: int, types=None, from_date=None, to_date=None, zoom: int = 16) -> DataFrame:

@@ -11,10 +11,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chronotile.functions import geo
 from chronotile.params import FIXTURE
 from chronotile.plans import oracle as O
 from chronotile.plans import queries as Q
 from chronotile.plans import stages as S
+from chronotile.plans.store import stored, write_changes, write_pairs
 from chronotile.sources import fixtures as fx
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -69,7 +71,7 @@ FROM enriched e JOIN viewports v
 WHERE e.change_type_tr IN ({_types_sql()}) AND e.to_date >= '{DATE_FROM}' AND e.to_date <= '{DATE_TO}'
 GROUP BY v.viewport_id""", "enriched", "viewports"))
 def q_viewport_count(spark, sf):
-    ch = S.enriched(spark, sf)
+    ch = S.classified(spark, sf)
     sel = ch.where(Q.type_predicate(ch, TYPES) & Q.date_predicate(DATE_FROM, DATE_TO))
     tagged = Q.in_viewports(sel, Q.viewports_frame(spark, fx.viewports()))
     return tagged.groupBy("viewport_id").agg(F.count(F.lit(1)).alias("n"))
@@ -79,19 +81,19 @@ def q_viewport_count(spark, sf):
 SELECT count(*) AS total, count(DISTINCT (tile_col, tile_row)) AS tiles, min(to_date) AS min_to,
   max(to_date) AS max_to, min(from_date) AS min_from FROM enriched""", "enriched"))
 def q_overview(spark, sf):
-    return Q.overview(S.enriched(spark, sf))
+    return Q.overview(S.changes(spark, sf))
 
 
 @register("counts_by_type", O.build("""
 SELECT change_type_tr AS type, count(*) AS count FROM enriched WHERE change_type_tr <> '' GROUP BY 1""", "enriched"))
 def q_counts_by_type(spark, sf):
-    return Q.counts_by_type(S.enriched(spark, sf))
+    return Q.counts_by_type(S.classified(spark, sf))
 
 
 @register("counts_by_year", O.build("""
 SELECT substr(to_date, 1, 4) AS year, count(*) AS count FROM enriched GROUP BY 1""", "enriched"))
 def q_counts_by_year(spark, sf):
-    return Q.counts_by_year(S.enriched(spark, sf))
+    return Q.counts_by_year(S.changes(spark, sf))
 
 
 @register("year_playback", O.build("""
@@ -100,7 +102,7 @@ FROM (SELECT DISTINCT substr(to_date, 1, 4) AS year FROM enriched WHERE to_date
 JOIN enriched e ON e.to_date <= y.year || '-12-31'
 GROUP BY y.year""", "enriched"))
 def q_year_playback(spark, sf):
-    return Q.year_playback(S.enriched(spark, sf))
+    return Q.year_playback(S.changes(spark, sf))
 
 
 def _grid_sql(cell: int, density: bool = False) -> str:
@@ -121,12 +123,12 @@ FROM ({base}) g""", "enriched")
 
 @register("grid", _grid_sql(16))
 def q_grid(spark, sf):
-    return R(Q.grid(S.enriched(spark, sf), WORLD, 16))
+    return R(Q.grid(S.changes(spark, sf), WORLD, 16))
 
 
 @register("grid_density", _grid_sql(64, density=True))
 def q_grid_density(spark, sf):
-    return R(Q.grid_density(Q.grid(S.enriched(spark, sf), WORLD, 64)))
+    return R(Q.grid_density(Q.grid(S.changes(spark, sf), WORLD, 64)))
 
 
 @register("event_by_id", O.build(f"""
@@ -145,5 +147,35 @@ def q_tile_events(spark, sf):
     return t.select("event_id", "to_date", "from_date", "episode_id", "episode_index", "episode_count")
 
 
+@register("type_list_count", O.build(f"""
+SELECT count(*) AS n FROM classified WHERE change_type_tr IN ({_types_sql()})""", "classified"))
+def q_type_list_count(spark, sf):
+    return Q.viewport_count(S.classified(spark, sf), WORLD, types=Q.split_types(",,".join(TYPES) + ","))
+
+
+@register("zoom_cells", O.build("""
+SELECT id AS event_id, CAST(id % 20 AS INT) AS zoom, CAST(greatest(1, pow(2, greatest(0, 16 - id % 20))) AS INT) AS cell FROM events""", "events"))
+def q_zoom_cells(spark, sf):
+    zoom = (F.col("id") % 20).cast("int")
+    return S.events(spark, sf).select(F.col("id").alias("event_id"), zoom.alias("zoom"), geo.cell_for_zoom(zoom).alias("cell"))
+
+
+@register("served_viewport", O.build(f"""
+SELECT event_id, tile_col, tile_row, to_date, change_type_tr, round(importance, 9) AS importance, episode_id
+FROM enriched WHERE tile_col BETWEEN {fx.viewports()[0][1]} AND {fx.viewports()[0][2]}
+  AND tile_row BETWEEN {fx.viewports()[0][3]} AND {fx.viewports()[0][4]}
+ORDER BY enriched.importance DESC, event_id LIMIT 4000""", "enriched"))
+def q_served_viewport(spark, sf):
+    """One viewport asked of the stored table, where the tile range reaches the Parquet scan."""
+    served = stored(S.enriched(spark, sf), "changes", write_changes)
+    top = Q.viewport_features(served, fx.viewports()[0][1:], p=FIXTURE)
+    return R(top.select("event_id", "tile_col", "tile_row", "to_date", "change_type_tr", "importance", "episode_id"))
+
+
+@register("pairs_store", O.build("SELECT * FROM pairs", "pairs"))
+def q_pairs_store(spark, sf):
+    return stored(S.pairs(spark, sf), "pairs", write_pairs)
+
+
 # the step queries register themselves into the same dictionaries
 from chronotile.plans import registry_steps  # noqa: E402,F401

@@ -234,6 +234,16 @@ def q_change_type(spark, sf):
                                             "land_cover_conf_to", "change_type_tr", "change_type_en"))
 
 
+@register("group_names", O.build("""
+WITH d AS (SELECT g.label, n.name FROM groups g
+           JOIN (VALUES ('dogal', 'Doğal alan'), ('tarim', 'Tarım'), ('yapili', 'Yapılı alan'), ('su', 'Su')) n(grp, name) USING (grp))
+SELECT c.event_id, coalesce(f.name, '') AS from_group, coalesce(t.name, '') AS to_group
+FROM classified c LEFT JOIN d f ON f.label = c.land_cover_from LEFT JOIN d t ON t.label = c.land_cover_to""", "classified", "groups"))
+def q_group_names(spark, sf):
+    name = LC.group_name
+    return S.classified(spark, sf).select("event_id", name("land_cover_from").alias("from_group"), name("land_cover_to").alias("to_group"))
+
+
 @register("train_probe")
 def q_train_probe(spark, sf):
     model = LC.train_probe(fx.labelled_vectors(spark, sf), FIXTURE.with_(probe_max_iter=50))
@@ -540,6 +550,12 @@ def q_vision_requests(spark, sf):
     return r.select("event_id", F.size("image_urls").alias("n_images"), F.concat_ws(" ", "image_urls").alias("image_urls"))
 
 
+@register("vision_requests_limit", O.build("SELECT event_id FROM changes ORDER BY event_id LIMIT 50", "changes"))
+def q_vision_requests_limit(spark, sf):
+    img = _snap_images(spark, sf).select("image", "data")
+    return VD.vision_requests(S.changes(spark, sf), img, limit=50).select("event_id")
+
+
 # ---------------------------------------------------------------- vectors
 
 def _vectors(spark, sf):
@@ -691,7 +707,7 @@ SELECT 'grid' AS layer, round({O.col_to_lon('c')}, 7) AS west, round({O.row_to_l
   round({O.col_to_lon('c + 64')}, 7) AS east, round({O.row_to_lat('r')}, 7) AS north, n FROM g""", "changes"))
 def q_map_layer(spark, sf):
     """The map's features, read back: corners of each grid block and its count."""
-    rows = Q.map_layer(S.enriched(spark, sf), (0, 2**16 - 1, 0, 2**16 - 1), 10, p=FIXTURE)
+    rows = Q.map_layer(S.changes(spark, sf), (0, 2**16 - 1, 0, 2**16 - 1), 10, p=FIXTURE)
     at = lambda i, k: F.get_json_object("feature", f"$.geometry.coordinates[0][{i}][{k}]").cast("double")
     return R(rows.select("layer", at(0, 0).alias("west"), at(0, 1).alias("south"), at(2, 0).alias("east"), at(2, 1).alias("north"),
                          F.get_json_object("feature", "$.properties.count").cast("long").alias("n")), 7)

@@ -7,8 +7,13 @@ min/max statistics. Each step writes a new versioned path (Spark cannot overwrit
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
+from chronotile.session import ensure_checkpoint_dir
+
 SORT = ["tile_col", "tile_row", "to_date", "event_id"]
 
 
@@ -18,5 +23,17 @@ def write_changes(changes: DataFrame, path: str, files: int | None = None) -> No
      .write.mode("overwrite").parquet(path))
 
 
+def write_pairs(pairs: DataFrame, path: str) -> None:
+    """The pairs table (S6), as its tasks hold it: every step reads it whole."""
+    pairs.write.mode("overwrite").parquet(path)
+
+
+def stored(df: DataFrame, name: str, write: Callable[[DataFrame, str], None]) -> DataFrame:
+    """Write a table to a new path of the shared checkpoint folder and read it back."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    write(df, path)
+    return read_changes(df.sparkSession, path)
+
+
 def read_changes(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
