@@ -7,9 +7,10 @@ with counts over all other documents (a document's own n-grams are taken out, el
                BACKOFF * S(w | c shortened by its first word)   else
 
 and S(w) = count(w) / words for a word that occurs elsewhere, BACKOFF / words if not (words: all of the corpus but the
-document's own, at least 1). A document's score is the sum of log S over its words.
+document's own, at least 1). A document's score is the sum of log S over its words, each log as whole billionths, so that
+the sum does not depend on its order, cut down to millionths.
 
-Relational form. Documents are dealt to blocks by a hash of the id. Each block lists its n-grams of all orders with
+Relational form. Documents are dealt to blocks by a hash of id and text. Each block lists its n-grams of all orders with
 their counts: pre-aggregated, so even the most frequent n-gram has one entry per block. The lists are partitioned by the
 n-gram's hash into count tables; only counts that differ from the block's own go back, where they are joined to the
 n-grams of the block's documents and summed per document. An entry is a 64-bit hash and a count; the entries that one
@@ -17,7 +18,7 @@ block and one partition exchange travel as one packed row (sorted, as difference
 that grows with the corpus is broadcast or collected but the total number of words.
 
 Cases: null text counts as empty; a text without words has 0 words and score 0.0; repeated rows count as documents of
-their own; null ids are kept (all in one block).
+their own; null ids are kept.
 """
 
 from __future__ import annotations
@@ -80,7 +81,7 @@ def _blocks(docs: DataFrame) -> tuple[DataFrame, int]:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(shuffle_partitions(spark), -(-size // BLOCK_BYTES))
-    return rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int")).select("block", "doc_id", "text"), n
+    return rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int")).select("block", "doc_id", "text"), n
 
 
 def _by_block(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[int, pa.RecordBatch]]:
@@ -204,7 +205,8 @@ def score(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF) -> Data
             s = np.where(seen, elsewhere[i] / np.maximum(context, 1), np.where(full, backoff * s, s))
             lower = np.where(full, ~seen, lower)
         backs = np.concatenate([[0], np.cumsum(lower)])[first]
+        logs = np.rint(np.log(s) * 1e9).astype(np.int64)
         return pa.table({"doc_id": left.column("doc_id"), "n_words": pa.array(sizes.astype(np.int64)),
-                         "log_score": pa.array(np.round(segment_sums(np.log(s), first), 6)), "n_backoff": pa.array(np.diff(backs).astype(np.int64))})
+                         "log_score": pa.array(np.floor(segment_sums(logs, first) / 1000) / 1e6), "n_backoff": pa.array(np.diff(backs).astype(np.int64))})
 
     return dealt.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(work, "doc_id long, n_words long, log_score double, n_backoff long")

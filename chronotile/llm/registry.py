@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from chronotile.llm import ann, chunk_fingerprint, langid, lm_score, mixing, pii, sentencepiece_codec, sharding, simhash, toxicity
 from chronotile.llm.common import table
+from chronotile.llm.oracle import ORACLE  # noqa: F401 - read by the entry point
 
 
 def _crc(column: str = "doc_id"):
@@ -72,4 +73,3 @@ QUERIES = {f.__name__: f for f in (
     op1_lm_score, op2_pii, op3_ann, op4_sentencepiece, op5_mixing, op6_langid, op7_sharding, op8_toxicity, op9_simhash,
     op10_fingerprints, pipeline,
 )}
-ORACLE: dict[str, str] = {}

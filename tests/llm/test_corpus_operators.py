@@ -41,6 +41,23 @@ def test_stupid_backoff(spark, documents, odd, order):
     assert lm_score.score(odd.limit(0)).count() == 0
 
 
+def test_lm_score_matches_its_sql(spark, documents, odd, tmp_path):
+    import duckdb
+    from chronotile.llm.oracle import LM_SCORE
+    from chronotile.llm.registry import op1_lm_score
+    from tools.check_oracle import digest
+
+    for i, df in enumerate((documents, odd.select("doc_id", "text"), odd.limit(0))):
+        sf = str(tmp_path / str(i))
+        df.write.parquet(f"{sf}/documents.parquet")
+        con = duckdb.connect()
+        con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{sf}/documents.parquet/*.parquet')")
+        rel = con.sql(LM_SCORE)
+        want = [dict(zip(rel.columns, r)) for r in rel.fetchall()]
+        got = [r.asDict() for r in op1_lm_score(spark, sf).collect()]
+        assert digest(got, sorted(rel.columns))[0] == digest(want, sorted(rel.columns))[0]
+
+
 def test_ann_recall_and_exact_scores(spark):
     rows = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").select("vec_id", "embedding")
     r = ann.search(rows, rows.where("vec_id % 20 = 0")).toPandas()
