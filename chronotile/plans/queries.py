@@ -73,21 +73,28 @@ def viewport_count(changes: DataFrame, r: Range, **kw) -> DataFrame:
 
 
 def viewports_frame(spark, ranges: Sequence[tuple]) -> DataFrame:
-    """A bounded table of viewports (viewport_id, min_col, max_col, min_row, max_row)."""
-    if len(ranges) > 100_000:
-        raise ValueError("viewport batches are broadcast; split batches above 100k viewports")
+    """A table of viewports (viewport_id, min_col, max_col, min_row, max_row)."""
     return spark.createDataFrame(list(ranges), "viewport_id int, min_col int, max_col int, min_row int, max_row int")
 
 
 def in_viewports(changes: DataFrame, viewports: DataFrame) -> DataFrame:
-    """Changes tagged with every viewport containing them. The viewport table is a bounded parameter list,
-    broadcast; the big side is never shuffled."""
-    v = F.broadcast(viewports)
-    cond = (
-        changes["tile_col"].between(v["min_col"], v["max_col"])
-        & changes["tile_row"].between(v["min_row"], v["max_row"])
-    )
-    return changes.join(v, cond, "inner").drop("min_col", "max_col", "min_row", "max_row")
+    """Changes tagged with every viewport containing them: an equi-join on square blocks of tiles.
+
+    The side of a viewport's blocks is the power of two above its longer span, so it meets at most four blocks; a
+    change is looked up once per side that occurs (at most one per bit of a tile number)."""
+    span = F.greatest(F.col("max_col") - F.col("min_col"), F.col("max_row") - F.col("min_row")).cast("long")
+    v = viewports.where("max_col >= min_col AND max_row >= min_row").withColumn("v_side", F.call_function("shiftleft", F.lit(1).cast("long"), F.length(F.bin(span))))
+    sides = sorted(r[0] for r in v.select("v_side").distinct().collect())  # at most one per bit
+
+    def block(c: str) -> Column:
+        return F.floor(F.col(c) / F.col("v_side")).cast("long")
+
+    v = v.withColumn("v_col", F.explode(F.sequence(block("min_col"), block("max_col"))))
+    v = v.withColumn("v_row", F.explode(F.sequence(block("min_row"), block("max_row"))))
+    rows = changes.withColumn("v_side", F.explode(F.array(*[F.lit(s).cast("long") for s in sides]).cast("array<long>")))
+    rows = rows.withColumn("v_col", block("tile_col")).withColumn("v_row", block("tile_row"))
+    hit = F.col("tile_col").between(F.col("min_col"), F.col("max_col")) & F.col("tile_row").between(F.col("min_row"), F.col("max_row"))
+    return rows.join(v, ["v_side", "v_col", "v_row"]).where(hit).drop("v_side", "v_col", "v_row", "min_col", "max_col", "min_row", "max_row")
 
 
 def limit_for(limit: int | None, p) -> int:

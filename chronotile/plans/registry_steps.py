@@ -286,7 +286,7 @@ FROM hs_tiles t JOIN (SELECT a_col, a_row, sum(b_w) AS n FROM hs_pairs GROUP BY
 def q_hotspot_core(spark, sf):
     ch = S.changes(spark, sf)
     pts = HS.tile_points(ch, HOT_P)
-    cores = HS.core_tiles(pts, HS.neighbour_pairs(pts, HOT_P), HOT_P)
+    cores = HS.core_tiles(pts, HOT_P)
     return cores.select("tile_col", "tile_row", "w", "n", "is_core")
 
 
