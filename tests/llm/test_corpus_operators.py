@@ -84,6 +84,29 @@ def test_ann_exact_when_all_lists_are_probed_with_ties_and_odd_rows(spark):
     assert [r.vec_id for r in got] == list(range(20))
 
 
+@pytest.mark.parametrize("norm", [1e4, 1e20, 1e-20])
+def test_ann_one_row_of_far_norm_leaves_the_others_exact(spark, norm):
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((600, 24))
+    x /= np.sqrt((x * x).sum(axis=1))[:, None]
+    x[7] *= norm
+    x = x.astype(np.float32).astype(float)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    r = ann.search(rows, rows.where("vec_id % 20 = 0"), lists=1).toPandas()
+    hits = []
+    for q in range(0, 600, 20):
+        s = x @ x[q]
+        s[q] = -np.inf
+        hits.append(len(set(np.argsort(-s)[:20]) & set(r[r.query_id == q].vec_id)) / 20)
+    assert np.mean(hits) >= 0.99
+
+
+def test_ann_many_ties_keep_the_smallest_ids(spark):
+    rows = spark.createDataFrame([(1000 - i, [1.0, float(i)]) for i in range(1, 301)] + [(2000, [1.0, 0.0])], "vec_id long, embedding array<float>")
+    got = ann.search(rows, rows.where("vec_id = 2000"), lists=1).orderBy("rank").collect()
+    assert [(r.vec_id, r.score) for r in got] == [(i, 1.0) for i in range(700, 720)]
+
+
 def brute_components(fps, bits):
     part = list(range(len(fps)))
 
