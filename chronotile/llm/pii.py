@@ -4,6 +4,10 @@ Regular expressions propose spans, validators confirm them (ranges of an address
 phones, mod-97 for IBANs), and words near a span adjust its score. Base kinds: email, ip, card, phone. Added kinds:
 iban (mod-97), ssn (kept only if a nearby word lifts its score to KEEP_SCORE; base spans stay at any score).
 
+An IBAN is proposed at the length of its country code; the match itself takes only the country code and check digits and
+looks ahead for the rest, so that a proposal that fails hides none that starts inside it. Valid IBANs that overlap are all
+returned.
+
 Places come from the texts between matches: ``split`` by a pattern and ``regexp_extract_all`` walk the same matches, so
 a match starts where the texts and matches before it end. Sums run in two levels (RUN matches, then runs), so a text
 with very many matches stays near linear. The patterns consume whole runs and never go back into one, which keeps
@@ -30,7 +34,15 @@ EMAIL = rf"(?:\G|(?<!{_LOCAL})){_LOCAL}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])"
+IBAN_LENGTHS = {  # characters without spaces, of the IBAN registry and of the countries that use IBANs without an entry in it
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+    24: "AD CZ DZ ES MD PK RO SA SE SK TN VG", 25: "AO CV GW LY MZ PT ST", 26: "DZ IR IS TR",
+    27: "BI CF CG CM DJ FR GA GQ GR IT KM MC MG MR SM TD", 28: "AL AZ BF BJ BY CI CY DO GT HN HU LB MA ML NE NI PL SN SV TG",
+    29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+IBAN = r"(?<![A-Za-z0-9])(?=((?:{})(?![A-Za-z0-9])))[A-Z]{{2}}[0-9]{{2}}".format(  # group 1 is the whole
+    "|".join(rf"(?:{'|'.join(c.split())})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n - 4}}}" for n, c in IBAN_LENGTHS.items()))
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 IP_PART = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 
@@ -78,6 +90,7 @@ KINDS = (
     ("ssn", SSN, "-", lambda m: F.lit(True), 0.3, "ssn|social security", 0.5),
 )
 BASE = ("email", "ip", "card", "phone")
+TAKEN = {"iban": 4}  # code points that a match takes from the text where the rest is only looked at; its span is group 1
 _SPAN = "array<struct<kind:int,start:int,end:int,score:double>>"
 
 
@@ -100,10 +113,10 @@ def _spans_of(df: DataFrame, text: str, k: int) -> tuple[DataFrame, str]:
     hit, gap, at, span = (fresh(df, f"{x}_{kind}") for x in ("hit", "gap", "at", "span"))
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     none = F.array().cast("array<string>")
-    hits = F.regexp_extract_all(body, F.lit(pattern), F.lit(0))
+    hits = F.regexp_extract_all(body, F.lit(pattern), F.lit(1 if kind in TAKEN else 0))
     df = df.withColumn(hit, hits if need is None else F.when(F.contains(body, F.lit(need)), hits).otherwise(none))
     df = df.withColumn(gap, F.when(F.size(hit) > 0, F.split(body, pattern, -1)).otherwise(none))
-    sizes = F.flatten(F.zip_with(hit, F.slice(gap, 1, F.size(hit)), lambda h, g: F.array(F.length(g), F.length(h))))
+    sizes = F.flatten(F.zip_with(hit, F.slice(gap, 1, F.size(hit)), lambda h, g: F.array(F.length(g), F.lit(TAKEN[kind]) if kind in TAKEN else F.length(h))))
     df = df.withColumn(at, F.when(F.size(hit) > 0, _offsets(sizes)).otherwise(F.array().cast("array<int>")))
 
     def judged(i: Column) -> Column:

@@ -57,6 +57,18 @@ def test_pii_added_kinds_and_scores(spark):
     assert got == {1: (1, 0, "1.00"), 2: (0, 0, ""), 3: (0, 1, "0.80"), 4: (0, 0, "")}
 
 
+def test_pii_ibans_beside_other_words(spark):
+    a, b = "DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432"
+    texts = [f"IBAN {a} BIC COBADEFFXXX", "DE89370400440532013000 2024-01-02", f"{a} {b} 7", f"{a} 12 NO9386011117947",
+             f"AT12 {a}", f"AT12 {a} {b}", a[:-1], a + "X", f"MA64 0115 1900 0001 2050 0053 4921 {b}"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: [tuple(map(int, x.split(":")[1:])) for x in r.spans.split(",") if x.startswith("iban")] for r in pii.report(df).collect()}
+    want = [[a], ["DE89370400440532013000"], [a, b], [a, "NO9386011117947"], [a], [a, b], [], [], ["MA64 0115 1900 0001 2050 0053 4921", b]]
+    assert [[t[s:e] for s, e in got[i]] for i, t in enumerate(texts)] == want
+    red = {r.doc_id: r.text for r in pii.redact(df).collect()}
+    assert red[0] == "IBAN <IBAN> BIC COBADEFFXXX" and red[2] == "<IBAN> <IBAN> 7" and red[5] == "AT12 <IBAN> <IBAN>"
+
+
 def test_forward_total_equals_sum_over_segmentations(spark):
     vocab = Vocabulary(load_pieces(sentencepiece_codec.MODEL))
     w = sentencepiece_codec.rank_weights(vocab, 1.0)
