@@ -27,6 +27,7 @@ from chronotile.llm.common import fresh, prepare
 
 RUN = 64
 CONTEXT = 40  # code points before and after a span in which words count
+LONGEST_IBAN = 66  # with spaces
 KEEP_SCORE = 0.5
 
 _LOCAL = "[A-Za-z0-9._%+-]"
@@ -110,18 +111,35 @@ def _offsets(sizes: Column) -> Column:
 def _spans_of(df: DataFrame, text: str, k: int) -> tuple[DataFrame, str]:
     """Add the spans of one kind in steps, so that each expression is computed once; returns the new column's name."""
     kind, pattern, need, valid, score, words, lift = KINDS[k]
-    hit, gap, at, span = (fresh(df, f"{x}_{kind}") for x in ("hit", "gap", "at", "span"))
+    hit, gap, at, tails, heads, span = (fresh(df, f"{x}_{kind}") for x in ("hit", "gap", "at", "tails", "heads", "span"))
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     none = F.array().cast("array<string>")
     hits = F.regexp_extract_all(body, F.lit(pattern), F.lit(1 if kind in TAKEN else 0))
     df = df.withColumn(hit, hits if need is None else F.when(F.contains(body, F.lit(need)), hits).otherwise(none))
     df = df.withColumn(gap, F.when(F.size(hit) > 0, F.split(body, pattern, -1)).otherwise(none))
     sizes = F.flatten(F.zip_with(hit, F.slice(gap, 1, F.size(hit)), lambda h, g: F.array(F.length(g), F.lit(TAKEN[kind]) if kind in TAKEN else F.length(h))))
-    df = df.withColumn(at, F.when(F.size(hit) > 0, _offsets(sizes)).otherwise(F.array().cast("array<int>")))
+    # Context comes from the ends of the texts between matches and of the matches, in turn: every match takes at least two
+    # code points, so ``reach`` + 1 pieces hold ``reach`` of them. What a match only looks at lies in the pieces after it.
+    took = TAKEN.get(kind)
+    reach = CONTEXT + (LONGEST_IBAN - took if took else 0)
+
+    def pieces(cut) -> Column:
+        taken = F.transform(hit, lambda h: cut(F.left(h, F.lit(took)) if took else h))
+        whole = F.flatten(F.zip_with(F.transform(gap, cut), taken, lambda g, h: F.array(g, F.coalesce(h, F.lit("")))))
+        return F.when(F.size(hit) > 0, whole).otherwise(none)
+
+    df = df.withColumns({
+        at: F.when(F.size(hit) > 0, _offsets(sizes)).otherwise(F.array().cast("array<int>")),
+        tails: pieces(lambda x: F.right(x, F.lit(CONTEXT))), heads: pieces(lambda x: F.left(x, F.lit(reach))),
+    })
 
     def judged(i: Column) -> Column:
-        m, left, right, start = F.col(hit)[i], F.col(gap)[i], F.col(gap)[i + 1], F.col(at)[i * 2 + 1]
-        near = F.lower(F.concat(F.right(left, F.lit(CONTEXT)), F.lit(" "), F.left(right, F.lit(CONTEXT))))
+        m, start = F.col(hit)[i], F.col(at)[i * 2 + 1]
+        first = F.greatest(i * 2 - CONTEXT, F.lit(0))
+        left = F.array_join(F.slice(tails, first + 1, i * 2 - first + 1), "")
+        right = F.array_join(F.slice(heads, i * 2 + 3, F.lit(reach + 1)), "")
+        skip = F.length(m) - took if took else F.lit(0)
+        near = F.lower(F.concat(F.right(left, F.lit(CONTEXT)), F.lit(" "), F.substr(right, skip + 1, F.lit(CONTEXT))))
         points = F.round(F.lit(score) + F.when(near.rlike(words), F.lit(lift)).otherwise(F.lit(0.0)), 3)
         ok = valid(m) if kind in BASE else valid(m) & (points >= KEEP_SCORE)
         whole = F.struct(F.lit(k).alias("kind"), start.alias("start"), (start + F.length(m)).alias("end"), points.alias("score"))

@@ -69,6 +69,27 @@ def test_pii_ibans_beside_other_words(spark):
     assert red[0] == "IBAN <IBAN> BIC COBADEFFXXX" and red[2] == "<IBAN> <IBAN> 7" and red[5] == "AT12 <IBAN> <IBAN>"
 
 
+def test_pii_context_reaches_across_matches(spark):
+    listed = "SSN: 123-45-6789, 234-56-7890, 345-67-8901"
+    texts = [listed, listed + ", 456-78-9012", "123-45-6789, 234-56-7890, 345-67-8901 are ssn", "ssn 😀 123-45-6789\n😀234-56-7890",
+             "call +4930123456, +4930123457", "1.2.3.4 5.6.7.8 host", "DE89370400440532013000, GB82WEST12345698765432 konto",
+             "GB82WEST12345698765432" + "." * 35 + "konto", "GB82WEST12345698765432" + "." * 36 + "konto",
+             "ssn" + "." * 37 + "123-45-6789", "ssn" + "." * 38 + "123-45-6789"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.spans, r.scores) for r in pii.report(df).collect()}
+    for i, t in enumerate(texts):
+        want = []
+        for k, (kind, pattern, lift) in enumerate([("ip", r"(?:\d+\.){3}\d+", ("host", 0.6, 0.3)), ("phone", r"\+\d+", ("call", 0.6, 0.3)),
+                                                   ("iban", r"[A-Z]{2}\d\d[A-Z0-9]{18}", ("konto", 0.9, 0.1)), ("ssn", r"\d{3}-\d\d-\d{4}", ("ssn", 0.3, 0.5))]):
+            for m in re.finditer(pattern, t):
+                near = f"{t[max(0, m.start() - 40):m.start()]} {t[m.end():m.end() + 40]}".lower()
+                score = lift[1] + lift[2] * (lift[0] in near)
+                if score >= 0.5:
+                    want.append((f"{kind}:{m.start()}:{m.end()}", f"{score:.2f}"))
+        assert got[i] == (",".join(w[0] for w in want), ",".join(w[1] for w in want))
+    assert got[0][0].count("ssn") == 3 and pii.redact(df.where("doc_id = 0")).first().text == "SSN: <SSN>, <SSN>, <SSN>"
+
+
 def test_forward_total_equals_sum_over_segmentations(spark):
     vocab = Vocabulary(load_pieces(sentencepiece_codec.MODEL))
     w = sentencepiece_codec.rank_weights(vocab, 1.0)
