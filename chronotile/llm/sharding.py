@@ -5,9 +5,10 @@ stand in an ordered tree keyed by remaining capacity. With a fixed number of sha
 all bytes, after groups too large for such a part got a shard of their own; what fits nowhere enters the emptiest bin.
 Without a number of shards, a group that fits nowhere opens a new bin.
 
-Scale: a group of at least 1/ITEMS_PER_SHARD of a shard is an item of its own, so there are at most ITEMS_PER_SHARD times
-the shards of these; smaller groups join one of BUNDLES bundles by hash, which are packed like groups. The packing task
-and the broadcast assignments hold at most that many rows at any input size. The bound on uneven shards is one bundle.
+Scale: packing needs only the sizes and how many groups have each. A bin that a size fits best takes groups of that size
+until it is full, so a size enters the bins in runs, and the group of a rank among those of its size belongs to the run
+that covers the rank. There are at most sqrt(2 * bytes) different sizes, and the one packing task and the broadcast tables
+hold a row for each, for each run and for each SLOT_ROWS groups. Every group is packed alike at every input size.
 Slots are numbered in sub-buckets of about SLOT_ROWS rows with offsets from their counts.
 
 Cases: null text counts as empty (size 1, crc32 of nothing) and forms one group with empty texts; an empty table gives
@@ -25,74 +26,81 @@ from pyspark.sql import functions as F
 from chronotile.llm.common import prepare
 
 SHARDS = 16
-ITEMS_PER_SHARD = 4096
-BUNDLES = 8192
 SLOT_ROWS = 4096
 
 
-def best_fit_decreasing(sizes: list[int], shards: int | None = None, capacity: int | None = None) -> list[int]:
-    """Bin of each size. Sizes must come largest first."""
-    out = [0] * len(sizes)
+def best_fit_runs(sizes: list[int], counts: list[int], shards: int | None = None, capacity: int | None = None) -> list[tuple[int, int, int, int]]:
+    """(index of the size, first rank, rank after the last, bin). Sizes must come largest first, counts are items of each."""
+    out: list[tuple[int, int, int, int]] = []
     if not sizes:
         return out
-    first, count = 0, shards or 0
+    done, open_bins, opened = [0] * len(sizes), shards or 0, 0
     if shards:
-        left = sum(sizes)
-        while first < len(sizes) and count > 1 and sizes[first] * count > left:
-            out[first] = shards - count  # more than an equal part: a shard of its own
-            left, count, first = left - sizes[first], count - 1, first + 1
-        capacity = -(-left // count)
+        left, i = sum(x * n for x, n in zip(sizes, counts)), 0
+        while i < len(sizes) and open_bins > 1 and sizes[i] * open_bins > left:
+            out.append((i, done[i], done[i] + 1, shards - open_bins))  # more than an equal part: a shard of its own
+            left, open_bins, done[i] = left - sizes[i], open_bins - 1, done[i] + 1
+            i += done[i] == counts[i]
+        capacity = -(-left // open_bins)
     elif not capacity:
         raise ValueError("a number of shards or a capacity is needed")
-    tree = [(capacity, shards - count + i) for i in range(count)] if shards else []
-    opened = 0
-    for i in range(first, len(sizes)):
-        k = bisect_left(tree, (sizes[i], -1))
-        if k == len(tree):
-            if shards:
-                k -= 1  # the emptiest
-            else:
-                tree.append((max(capacity, sizes[i]), opened))
-                tree.sort()
-                opened += 1
-                k = bisect_left(tree, (sizes[i], -1))
-        room, name = tree.pop(k)
-        insort(tree, (room - sizes[i], name))
-        out[i] = name
+    tree = [(capacity, shards - open_bins + i) for i in range(open_bins)] if shards else []
+    for i, size in enumerate(sizes):
+        while done[i] < counts[i]:
+            k = bisect_left(tree, (size, -1))
+            if k == len(tree):
+                if shards:
+                    k -= 1  # the emptiest
+                else:
+                    insort(tree, (max(capacity, size), opened))
+                    opened += 1
+                    k = bisect_left(tree, (size, -1))
+            room, name = tree.pop(k)
+            n = min(counts[i] - done[i], max(1, room // size))  # it stays the best fit while it holds one more
+            insort(tree, (room - n * size, name))
+            out.append((i, done[i], done[i] + n, name))
+            done[i] += n
     return out
 
 
-def _pack(items: DataFrame, shards: int) -> DataFrame:
-    """items: (bundle boolean, key, check, bytes), bounded; adds the shard."""
+def best_fit_decreasing(sizes: list[int], shards: int | None = None, capacity: int | None = None) -> list[int]:
+    """Bin of each size. Sizes must come largest first."""
+    return [name for *_, name in sorted(best_fit_runs(sizes, [1] * len(sizes), shards, capacity))]
+
+
+def _pack(classes: DataFrame, shards: int | None, capacity: int | None) -> DataFrame:
+    """classes: (bytes, n), a row for each size; gives (bytes, first, after, shard)."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["bytes", "bundle", "key", "check"], ascending=[False, True, True, True])
-        pdf["shard"] = pd.Series(best_fit_decreasing(pdf["bytes"].tolist(), shards), index=pdf.index, dtype="int32")
-        return pdf[["bundle", "key", "check", "shard"]]
+        pdf = pdf.sort_values("bytes", ascending=False)
+        sizes = pdf["bytes"].tolist()
+        runs = best_fit_runs(sizes, pdf["n"].tolist(), shards, capacity)
+        return pd.DataFrame([(sizes[i], a, b, name) for i, a, b, name in runs], columns=["bytes", "first", "after", "shard"])
 
-    return items.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(run, "bundle boolean, key long, check long, shard int")
+    return classes.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(run, "bytes long, first long, after long, shard int")
 
 
-def assign(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
-    """(doc_id, size, text_crc32, key, check, shard) for every row; equal texts share a shard."""
+def assign(docs: DataFrame, shards: int | None = SHARDS, capacity: int | None = None) -> DataFrame:
+    """(doc_id, size, text_crc32, key, check, shard) for every row; equal texts share a shard. With a capacity in bytes,
+    shards are opened as needed and ``shards`` does not count."""
     prepare(docs.sparkSession)
     body = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(body) + 1).cast("long").alias("size"),
                        F.crc32(body).alias("text_crc32"), F.xxhash64(body).alias("key"))
     rows = rows.withColumn("check", F.col("text_crc32") * (1 << 31) + F.col("size")).checkpoint(eager=True)  # no texts
-    groups = rows.groupBy("key", "check").agg(F.sum("size").alias("bytes"))
-    total = rows.agg(F.sum("size")).first()[0] or 0
-    large = F.col("bytes") * (shards * ITEMS_PER_SHARD) >= total
-    own = groups.where(large).select(F.lit(False).alias("bundle"), "key", "check", "bytes")
-    bundle = F.pmod("key", F.lit(BUNDLES).cast("long"))
-    rest = groups.where(~large).groupBy(bundle.alias("key")).agg(F.sum("bytes").alias("bytes"))
-    packed = _pack(own.unionByName(rest.select(F.lit(True).alias("bundle"), "key", F.lit(0).cast("long").alias("check"), "bytes")), shards)
-    packed = packed.checkpoint(eager=True)
-    # at most shards * ITEMS_PER_SHARD and BUNDLES rows
-    of_group = F.broadcast(packed.where(~F.col("bundle")).select("key", "check", F.col("shard").alias("own_shard")))
-    of_bundle = F.broadcast(packed.where("bundle").select(F.col("key").alias("in_bundle"), F.col("shard").alias("bundle_shard")))
-    out = rows.join(of_group, ["key", "check"], "left").withColumn("in_bundle", bundle).join(of_bundle, "in_bundle", "left")
-    return out.select("doc_id", "size", "text_crc32", "key", "check", F.coalesce("own_shard", "bundle_shard").alias("shard"))
+    groups = rows.groupBy("key", "check").agg(F.sum("size").alias("bytes")).checkpoint(eager=True)
+    classes = groups.groupBy("bytes").agg(F.count(F.lit(1)).alias("n")).checkpoint(eager=True)
+    runs = _pack(classes, None if capacity else shards, capacity).checkpoint(eager=True)
+    subs = F.broadcast(classes.select("bytes", F.ceil(F.col("n") / SLOT_ROWS).alias("subs")))
+    groups = groups.join(subs, "bytes").withColumn("sub", F.pmod("key", "subs")).drop("subs")
+    before = Window.partitionBy("bytes").orderBy("sub").rowsBetween(Window.unboundedPreceding, -1)
+    parts = groups.groupBy("bytes", "sub").agg(F.count(F.lit(1)).alias("n"))
+    parts = parts.withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    pieces = parts.join(F.broadcast(runs), "bytes").where((F.col("first") < F.col("offset") + F.col("n")) & (F.col("after") > F.col("offset")))
+    inside = F.row_number().over(Window.partitionBy("bytes", "sub").orderBy("key", "check")) - 1
+    dealt = groups.withColumn("inside", inside).join(F.broadcast(pieces.drop("n")), ["bytes", "sub"]).withColumn("rank", F.col("offset") + F.col("inside"))
+    dealt = dealt.where((F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("after"))).select("key", "check", "shard")
+    return rows.join(dealt, ["key", "check"]).select("doc_id", "size", "text_crc32", "key", "check", "shard")
 
 
 def numbered(assigned: DataFrame, slot_rows: int = SLOT_ROWS) -> DataFrame:
@@ -108,8 +116,8 @@ def numbered(assigned: DataFrame, slot_rows: int = SLOT_ROWS) -> DataFrame:
     return rows.withColumn("inside", inside).join(offsets, ["shard", "sub"]).withColumn("slot", F.col("offset") + F.col("inside") - 1)
 
 
-def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
-    """Every row with its shard and slot under the law `bytes`: sizes of the shards are near equal."""
-    return numbered(assign(docs, shards)).select(
+def shard(docs: DataFrame, shards: int | None = SHARDS, capacity: int | None = None) -> DataFrame:
+    """Every row with its shard and slot under the law `bytes`: sizes of the shards are near equal, or within a capacity."""
+    return numbered(assign(docs, shards, capacity)).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"))

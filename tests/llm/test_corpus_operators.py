@@ -199,3 +199,33 @@ def test_sharding_sizes_slots_and_groups(spark, documents, odd):
 def test_best_fit_decreasing():
     assert sharding.best_fit_decreasing([6, 5, 4, 3, 2], capacity=10) == [0, 1, 0, 1, 1]
     assert len(set(sharding.best_fit_decreasing([9] + [1] * 30, shards=4))) == 4
+
+
+def one_by_one(sizes, capacity):
+    room, out = [], []
+    for x in sizes:
+        fits = [i for i, r in enumerate(room) if r >= x]
+        if not fits:
+            room.append(max(capacity, x))
+        out.append(min(fits, key=lambda i: (room[i], i)) if fits else len(room) - 1)
+        room[out[-1]] -= x
+    return out
+
+
+def test_sharding_packs_every_group_by_size(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    for _ in range(50):
+        sizes = sorted(rng.integers(1, 12, 60).tolist(), reverse=True)
+        assert sharding.best_fit_decreasing(sizes, capacity=10) == one_by_one(sizes, 10)
+    monkeypatch.setattr(sharding, "SLOT_ROWS", 64)
+    texts = [f"{i:05d}" + "x" * int(n) for i, n in enumerate(rng.integers(0, 20, 3000))] + ["same"] * 500
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    group = Counter()
+    for t in texts:
+        group[t] += len(t) + 1
+    sizes = sorted(group.values(), reverse=True)
+    for kind, want in (({"capacity": 4000}, one_by_one(sizes, 4000)), ({"shards": 5}, sharding.best_fit_decreasing(sizes, 5))):
+        got = sharding.assign(docs, **kind).collect()
+        assert len(got) == len(texts) and len({(r.key, r.check, r.shard) for r in got}) == len(group)
+        bins = {texts[r.doc_id]: r.shard for r in got}
+        assert Counter((group[t], b) for t, b in bins.items()) == Counter(zip(sizes, want))
