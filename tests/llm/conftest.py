@@ -5,7 +5,6 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
 
-SMALL = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, size int, score double, fp string, row_key int"
 
 
@@ -17,8 +16,13 @@ def spark():
 
 
 @pytest.fixture(scope="session")
-def documents(spark):
-    return spark.read.parquet(f"{SMALL}/documents.parquet")
+def sf_small():
+    return "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="session")
+def documents(spark, sf_small):
+    return spark.read.parquet(f"{sf_small}/documents.parquet")
 
 
 @pytest.fixture(scope="session")
