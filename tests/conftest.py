@@ -5,11 +5,14 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-SF_SMALL = "/root/testdata/sf0.001"
-
 
 @pytest.fixture(scope="session")
 def spark():
     from chronotile.session import local_session
 
     return local_session("*", 8)
+
+
+@pytest.fixture(scope="session")
+def sf_small():
+    return "/root/testdata/sf0.001"

@@ -6,11 +6,10 @@ from chronotile.operators.importance import importance
 from chronotile.params import FIXTURE
 from chronotile.plans import export as EX
 from chronotile.plans import stages as S
-from conftest import SF_SMALL
 
 
-def test_enrich_on_zero_rows(spark):
-    empty = S.classified(spark, SF_SMALL).limit(0)
+def test_enrich_on_zero_rows(spark, sf_small):
+    empty = S.classified(spark, sf_small).limit(0)
     out = hotspots(importance(episodes(S.with_tile_geometry(empty)), FIXTURE), FIXTURE)
     assert out.count() == 0
     for c in ("episode_id", "episode_index", "episode_count", "importance", "hotspot_id", "hotspot_centroid_lon"):

@@ -5,7 +5,6 @@ import numpy as np
 from chronotile.operators.hotspots import hotspots
 from chronotile.params import FIXTURE
 from chronotile.plans import stages as S
-from conftest import SF_SMALL
 
 Z = 2**16
 
@@ -49,8 +48,8 @@ def brute_dbscan(cols, rows, eps, min_samples):
     return {(int(a), int(b)): int(l) + 1 for a, b, l in zip(cols, rows, labels)}
 
 
-def test_hotspots_match_brute_force(spark):
-    ch = S.changes(spark, SF_SMALL)
+def test_hotspots_match_brute_force(spark, sf_small):
+    ch = S.changes(spark, sf_small)
     pdf = ch.select("tile_col", "tile_row").toPandas()
     want = brute_dbscan(pdf.tile_col.to_numpy(), pdf.tile_row.to_numpy(), 15.0, 5)
     got = {(r.tile_col, r.tile_row): r.hotspot_id for r in hotspots(ch, FIXTURE).select("tile_col", "tile_row", "hotspot_id").distinct().collect()}
@@ -69,10 +68,10 @@ def test_hotspots_duplicates_and_border(spark):
     assert got[5] == 0
 
 
-def test_hotspot_sizes_from_fixture_notes(spark):
+def test_hotspot_sizes_from_fixture_notes(spark, sf_small):
     """Sizes recorded for the fixtures: changes at sf0.001 (eps 15, min 5) -> 64 clusters, 248 noise rows;
     all events at sf0.01 (eps 15, min 40) -> 25 clusters, 24 border tiles, 2,178 noise rows."""
-    h = hotspots(S.changes(spark, SF_SMALL), FIXTURE)
+    h = hotspots(S.changes(spark, sf_small), FIXTURE)
     assert h.where("hotspot_id > 0").select("hotspot_id").distinct().count() == 64
     assert h.where("hotspot_id = 0").count() == 248
 

@@ -5,27 +5,25 @@ import os
 import duckdb
 import pytest
 
-from conftest import SF_SMALL
-
 KEYS = ["viewport_features", "episodes", "importance", "change_type", "hotspot_core_tiles", "mask_regions",
         "parse_verdicts", "similar_batch", "summary", "summary_maps", "year_playback", "grid_density", "build_pairs", "hotspots",
         "export_ndjson", "map_layer", "mask_overlay", "embed_images", "vision_requests"]
 
 
 @pytest.fixture(scope="module")
-def duck():
+def duck(sf_small):
     con = duckdb.connect()
     for t in ("orders", "embeddings"):
-        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{os.path.join(SF_SMALL, t)}.parquet')")
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{os.path.join(sf_small, t)}.parquet')")
     return con
 
 
 @pytest.mark.parametrize("key", KEYS)
-def test_query_matches_oracle(spark, duck, key):
+def test_query_matches_oracle(spark, duck, sf_small, key):
     import __spark_entry__ as E
     from tools.check_oracle import digest
 
-    sdf = E.queries()[key](spark, SF_SMALL)
+    sdf = E.queries()[key](spark, sf_small)
     srows = [r.asDict(recursive=True) for r in sdf.collect()]
     rel = duck.sql(E.oracle_sql()[key])
     drows = [dict(zip(rel.columns, r)) for r in rel.fetchall()]

@@ -4,12 +4,11 @@ import tempfile
 from chronotile.plans import queries as Q
 from chronotile.plans import stages as S
 from chronotile.plans.store import read_changes, write_changes
-from conftest import SF_SMALL
 
 
-def test_viewport_predicate_reaches_parquet(spark):
+def test_viewport_predicate_reaches_parquet(spark, sf_small):
     path = os.path.join(tempfile.mkdtemp(prefix="chronotile-store-"), "changes_v1")
-    ch = S.enriched(spark, SF_SMALL)
+    ch = S.enriched(spark, sf_small)
     write_changes(ch, path, files=4)
     served = read_changes(spark, path)
     r = (37540, 37660, 24340, 24460)
