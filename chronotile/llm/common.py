@@ -91,3 +91,17 @@ def segment_sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
 def unit_interval(x: np.ndarray) -> np.ndarray:
     """uint64 hashes as doubles in [0, 1)."""
     return (x >> np.uint64(11)).astype(np.float64) / float(1 << 53)
+
+
+def ascii_words(raw: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """(words between ASCII white space, number of words before each text); offsets as from ``utf8``."""
+    gap = (raw == 32) | ((raw >= 9) & (raw <= 13))
+    keep = ~gap
+    begins = keep.copy()
+    begins[1:] &= gap[:-1]
+    edges = offsets[:-1][np.diff(offsets) > 0]
+    begins[edges] = keep[edges]
+    before = np.concatenate([[0], np.cumsum(begins)])
+    starts = np.append(np.flatnonzero(begins[keep]), int(keep.sum())).astype(np.int64)
+    words = pa.LargeStringArray.from_buffers(len(starts) - 1, pa.py_buffer(starts.tobytes()), pa.py_buffer(raw[keep].tobytes()))
+    return words, before[offsets]

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronotile.llm import ann, chunk_fingerprint, langid, lm_score, mixing, pii, sentencepiece_codec, sharding, simhash, toxicity
+from chronotile.llm import ann, chunk_fingerprint, langid, lm_score, merkle, mixing, pii, runs, sentencepiece_codec, sequence_packing, sharding, simhash
+from chronotile.llm import toxicity
 from chronotile.llm.common import table
 from chronotile.llm.oracle import ORACLE  # noqa: F401 - read by the entry point
 
@@ -63,6 +64,18 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk_fingerprint.compare_next(table(spark, sf_dir, "documents"))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verify_manifest(table(spark, sf_dir, "documents"))
+
+
+def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.report(table(spark, sf_dir, "documents"))
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sequence_packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -71,5 +84,5 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_lm_score, op2_pii, op3_ann, op4_sentencepiece, op5_mixing, op6_langid, op7_sharding, op8_toxicity, op9_simhash,
-    op10_fingerprints, pipeline,
+    op10_fingerprints, op11_merkle, op12_runs, op13_packing, pipeline,
 )}
