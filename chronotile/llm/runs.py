@@ -240,13 +240,13 @@ def find_runs(docs: DataFrame, text: str = "text", runs: str = "runs", collapsed
             np.add.at(change, end, -1)
             kept = np.cumsum(change[:-1]) == 0
             upto = np.concatenate([[0], np.cumsum(kept)])[first]
-            lists = pa.LargeListArray.from_arrays(pa.array(upto), words.filter(pa.array(kept)))
+            lists = pa.ListArray.from_arrays(pa.array(upto.astype(np.int32)), words.filter(pa.array(kept)).cast(pa.string()))
             text_of = of[start] if len(start) else start
             cols = [start - first[text_of], end - start, period]
             structs = pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["start", "length", "period"])
             offsets = np.searchsorted(text_of, np.arange(b.num_rows + 1)).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [*[b.column(c) for c in names], pa.ListArray.from_arrays(pa.array(offsets), structs), pc.binary_join(lists, " ").cast(pa.string())],
+                [*[b.column(c) for c in names], pa.ListArray.from_arrays(pa.array(offsets), structs), pc.binary_join(lists, " ")],
                 names=[*names, runs, collapsed])
 
     return docs.select(*names).mapInArrow(run, schema)
