@@ -24,12 +24,15 @@ texts keep a piece each; other columns, whatever their names, are not read.
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -37,7 +40,7 @@ from pyspark.sql import functions as F
 from chronotile.llm.common import ascii_words, prepare, slices, utf8
 
 TOKENIZER, CAPACITY, END_ID = "word_bpe_49k.json", 2048, 0
-KNOWN_WORDS, JOINED_WORDS = 600_000, 500  # memory of a worker; words encoded in one call
+KNOWN_WORDS, JOINED_WORDS, TEXT_BYTES = 1_000_000, 500, 4 << 20  # kept by a worker; in one call; text at once
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _TOKENIZERS: dict[int, object] = {}
 
@@ -48,40 +51,90 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+def _strings(words: pa.Array) -> list[str]:
+    """The words as Python strings; as none holds white space, one decoded line is cut."""
+    if not len(words):
+        return []
+    one = pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words.cast(pa.string()))
+    return pc.binary_join(one, " ")[0].as_py().split(" ")
+
+
+def _splitter(spec: dict) -> Callable[[str], list[str]] | None:
+    """What finds the parts of a lower-case printable ASCII word that the tokenizer encodes one by one, if the tokenizer does
+    nothing else to such a word: Unicode composition, white space and case are its only normal forms, one pattern its split."""
+    form, split = spec.get("normalizer") or {}, spec.get("pre_tokenizer") or {}
+    forms = [x.get("type") for x in form.get("normalizers", [])]
+    steps = split.get("pretokenizers", [])
+    if forms != ["NFC", "Replace", "Lowercase"] or [x.get("type") for x in steps] != ["Split", "ByteLevel"]:
+        return None
+    if form["normalizers"][1]["pattern"] != {"Regex": "\\s+"} or steps[0]["behavior"] != "Removed" or not steps[0]["invert"]:
+        return None
+    if steps[1]["add_prefix_space"] or steps[1]["use_regex"] or "Regex" not in steps[0]["pattern"]:
+        return None
+    return regex.compile(steps[0]["pattern"]["Regex"]).findall
+
+
 class Encoder:
     """Ids of many texts at once. The tokenizer drops white space and no token spans it, so each different word is encoded
-    once, new words together, and its ids are kept, for at most KNOWN_WORDS words."""
+    once and its ids are kept, for at most KNOWN_WORDS words. Printable ASCII words are cut by the tokenizer's own pattern
+    and each different part is given to its model once; other words are encoded whole, many in one call."""
 
     def __init__(self, spec: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(spec)
+        self.model, read = self.tokenizer.model, json.loads(spec)
+        self.split = _splitter(read)
+        marks = "".join(regex.escape(t["content"][0], special_only=False) for t in read.get("added_tokens", []))
+        self.plain = regex.compile(rf"(?V1)[[!-~]--[{marks} ]]+").fullmatch  # printable ASCII without the start of an added token
         self.forget()
 
     def forget(self) -> None:
         self.known: dict[str, int] = {}
+        self.parts: dict[str, list[int]] = {}
         self.flat, self.end = np.array([END_ID], np.uint32), np.array([0, 1], np.int64)  # entry 0 is the end id
 
-    def learn(self, words: list[str]) -> None:
-        size, flat = [], []
+    def _plain(self, words: list[str]) -> tuple[list[int], list[int]]:
+        """(ids, how many each word has) of words that the pattern splits."""
+        parts, ids, size = self.parts, [], []
+        for w in words:
+            n = 0
+            for p in self.split(w.lower()):
+                known = parts.get(p)
+                if known is None:
+                    known = parts[p] = [t.id for t in self.model.tokenize(p)]
+                ids += known
+                n += len(known)
+            size.append(n)
+        return ids, size
+
+    def _whole(self, words: list[str]) -> tuple[list[int], list[int]]:
+        ids, size = [], []
         for i in range(0, len(words), JOINED_WORDS):
             some = words[i:i + JOINED_WORDS]
             begin = np.cumsum([0] + [len(w) + 1 for w in some])
             e = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
             at = np.array([a for a, _ in e.offsets], np.int64)
-            size.append(np.bincount(np.searchsorted(begin, at, side="right") - 1, minlength=len(some)))
-            flat.append(np.array(e.ids, np.uint32))
-        n = len(self.end) - 1
-        self.known.update(zip(words, range(n, n + len(words))))
-        self.end = np.concatenate([self.end, self.end[-1] + np.cumsum(np.concatenate(size))])
-        self.flat = np.concatenate([self.flat, *flat])
+            size += np.bincount(np.searchsorted(begin, at, side="right") - 1, minlength=len(some)).tolist()
+            ids += e.ids
+        return ids, size
+
+    def learn(self, words: list[str]) -> None:
+        plain = [self.plain(w) is not None for w in words] if self.split else [False] * len(words)
+        for group, encode in (([w for w, a in zip(words, plain) if a], self._plain), ([w for w, a in zip(words, plain) if not a], self._whole)):
+            if group:
+                ids, size = encode(group)
+                n = len(self.end) - 1
+                self.known.update(zip(group, range(n, n + len(group))))
+                self.end = np.concatenate([self.end, self.end[-1] + np.cumsum(size)])
+                self.flat = np.concatenate([self.flat, np.array(ids, np.uint32)])
 
     def ids(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each with its end id; where each text begins)."""
         words, first = ascii_words(*utf8(column))
         enc = words.dictionary_encode()
-        different = enc.dictionary.to_pylist()
+        different = _strings(enc.dictionary)
         if len(self.known) > KNOWN_WORDS:
             self.forget()
         known = self.known
@@ -123,7 +176,7 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, k
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(shared)
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", TEXT_BYTES):
             ids, first = encoder.ids(b.column("text"))
             n = -(-np.diff(first) // capacity)
             row = np.repeat(np.arange(b.num_rows), n)
