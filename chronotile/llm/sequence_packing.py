@@ -33,7 +33,6 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -318,7 +317,7 @@ def pack(rows: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in held.schema.fields)
 
     def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, part = np.zeros(capacity + 1, np.int64), TaskContext.get().partitionId()
+        seen = np.zeros(capacity + 1, np.int64)
         for b in batches:
             size = b.column("length").to_numpy(zero_copy_only=False)
             order = np.argsort(size, kind="stable")
@@ -327,9 +326,9 @@ def pack(rows: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             inside[order] = np.arange(len(size)) - np.repeat(first, n)
             inside += seen[size]
             seen[sizes] += n
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(len(size), part, np.int32)), pa.array(inside)], names=[*names, "part_", "inside_"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(inside)], names=[*names, "part_", "inside_"])
 
-    ranked = held.mapInArrow(rank, f"{fields}, part_ int, inside_ long")
+    ranked = held.withColumn("part_", F.spark_partition_id()).mapInArrow(rank, f"{fields}, part_ int, inside_ long")
     per_part = held.groupBy(F.spark_partition_id().alias("part_"), "length").agg(F.count(F.lit(1)).alias("n_")).checkpoint(eager=True)
     counts = {r["length"]: r["n"] for r in per_part.groupBy("length").agg(F.sum("n_").alias("n")).collect()}  # a row per length
     plan = plan_bins(counts, capacity)
