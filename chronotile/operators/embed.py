@@ -36,7 +36,7 @@ def images_to_embed(images: DataFrame, cache: DataFrame, model: str | None = Non
 def embed_images(
     images: DataFrame,
     make_predict_fn: Callable,
-    input_col: str = "pixels",
+    input_col: str = "data",
     batch_size: int = 32,
     model: str | None = None,
     input_shape: list[int] | None = None,
@@ -56,13 +56,13 @@ def embed_images(
 
 
 def block_mean_embedder(height: int = 8, width: int = 8, block: int = 2) -> Callable:
-    """Deterministic stand-in model for tests: mean of ``block x block`` pixel blocks, scaled to 0..1."""
+    """Deterministic stand-in model for tests: mean of ``block x block`` pixel blocks of gray bytes, scaled to 0..1."""
 
     def make_predict_fn():
         import numpy as np
 
         def predict(x):
-            arr = np.asarray(x, dtype=np.float32).reshape(-1, height // block, block, width // block, block)
+            arr = np.frombuffer(b"".join(x), np.uint8).astype(np.float32).reshape(-1, height // block, block, width // block, block)
             return (arr.mean(axis=(2, 4)) / 255.0).reshape(arr.shape[0], -1)
 
         return predict

@@ -1,22 +1,24 @@
 """Change masks: cell differences, connected regions, region polygons and overlays.
 
 Per event the work is bounded by the image size (a 256x256 tile with 16-pixel cells is 256 cells), so each row is
-independent: no shuffle beyond joining the two gray images to the event. Cell means and the region flood fill are
-Arrow-batched NumPy passes (``mapInPandas``); polygons are Spark higher-order functions over the few regions.
+independent: no shuffle beyond joining the two gray images to the event. Images and masks are bytes; cell means, region
+labels and overlays are Arrow passes over all rows of a batch that share a shape; polygons are Spark higher-order
+functions over the few regions.
 """
 
 from __future__ import annotations
 
-import json
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chronotile.functions import geo
 from chronotile.functions.images import basename
+from chronotile.operators.raster import shape_groups, stacked
 from chronotile.params import Params
 
 REGION = T.StructType([
@@ -26,134 +28,96 @@ REGION = T.StructType([
 ])
 
 
-def gray_from_bgr(data: Column, n_channels: Column) -> Column:
-    """Gray level of Spark ``image``-source bytes (BGR order): (19595 R + 38470 G + 7471 B + 32768) >> 16."""
-    px = F.sequence(F.lit(0), F.floor(F.length(data) / n_channels).cast("int") - 1)
-
-    def byte(i):
-        return F.conv(F.hex(F.substring(data, i + 1, 1)), 16, 10).cast("int")
-
-    def gray(k):
-        base = k * n_channels
-        b, g, r = byte(base), byte(base + 1), byte(base + 2)
-        return F.shiftright(F.lit(19595) * r + F.lit(38470) * g + F.lit(7471) * b + F.lit(32768), 16)
-
-    return F.transform(px, gray)
-
-
-def gray_images_from_source(images: DataFrame) -> DataFrame:
-    """Decoded images from ``spark.read.format('image')`` -> image (file name), height, width, pixels."""
-    img = F.col("image")
-    return images.select(
-        basename(img.origin).alias("image"),
-        img.height.alias("height"),
-        img.width.alias("width"),
-        F.when(img.nChannels == 1, F.transform(
-            F.sequence(F.lit(0), F.length(img.data) - 1),
-            lambda i: F.conv(F.hex(F.substring(img.data, i + 1, 1)), 16, 10).cast("int")))
-        .otherwise(gray_from_bgr(img.data, img.nChannels)).alias("pixels"),
-    ).where(F.col("height") > 0)
-
-
 def image_pairs(changes: DataFrame, gray: DataFrame) -> DataFrame:
-    """Events with both gray images: event_id, tile_col, tile_row, ha, wa, a, hb, wb, b (a = before)."""
-    g = gray.select("image", "height", "width", "pixels")
-    before = g.select(F.col("image").alias("_bi"), F.col("height").alias("ha"), F.col("width").alias("wa"), F.col("pixels").alias("a"))
-    after = g.select(F.col("image").alias("_ai"), F.col("height").alias("hb"), F.col("width").alias("wb"), F.col("pixels").alias("b"))
+    """Events with both gray images: event_id, tile_col, tile_row, ha, wa, a, hb, wb, b (a = before; a, b are bytes)."""
+    g = gray.select("image", "height", "width", "data")
+    before = g.select(F.col("image").alias("_bi"), F.col("height").alias("ha"), F.col("width").alias("wa"), F.col("data").alias("a"))
+    after = g.select(F.col("image").alias("_ai"), F.col("height").alias("hb"), F.col("width").alias("wb"), F.col("data").alias("b"))
     c = changes.where((F.col("before_image") != "") & (F.col("after_image") != "")).select(
         "event_id", "tile_col", "tile_row", basename("before_image").alias("_bi"), basename("after_image").alias("_ai"))
     return c.join(before, "_bi").join(after, "_ai").drop("_bi", "_ai")
 
 
-def _cell_diff_pass(cell: int, threshold: float):
-    def run(batches):
-        for pdf in batches:
-            hs, ws, cys, cxs, means, masks = [], [], [], [], [], []
-            for ha, wa, a, hb, wb, b in zip(pdf["ha"], pdf["wa"], pdf["a"], pdf["hb"], pdf["wb"], pdf["b"]):
-                h, w = min(int(ha), int(hb)), min(int(wa), int(wb))
-                cy, cx = h // cell, w // cell
-                hs.append(h)
-                ws.append(w)
-                cys.append(cy)
-                cxs.append(cx)
-                if cy == 0 or cx == 0:
-                    means.append(np.zeros(0))
-                    masks.append(np.zeros(0, dtype=bool))
-                    continue
-                av = np.asarray(a, dtype=np.int64).reshape(int(ha), int(wa))[: cy * cell, : cx * cell]
-                bv = np.asarray(b, dtype=np.int64).reshape(int(hb), int(wb))[: cy * cell, : cx * cell]
-                sums = np.abs(av - bv).reshape(cy, cell, cx, cell).sum(axis=(1, 3))
-                m = (sums.astype(np.float64) / float(cell * cell)).reshape(-1)
-                means.append(m)
-                masks.append(m > float(threshold))
-            yield pdf.assign(h=hs, w=ws, cells_y=cys, cells_x=cxs, cell_means=means, mask=masks)
-
-    return run
-
-
 def cell_diff(pairs: DataFrame, cell: int, threshold: float) -> DataFrame:
     """Crop both images to the common size, drop partial edge cells, mean |a - b| per cell; a cell changes when
-    its mean is strictly above the threshold. Adds h, w, cells_y, cells_x, cell_means, mask (row-major).
-
-    Per row the work is bounded by the image size; it runs as one Arrow-batched NumPy pass (block sums by reshape),
-    which stays fast for 256x256 tiles where an element-wise expression would not."""
-    schema = T.StructType(list(pairs.schema.fields) + [
-        T.StructField("h", T.IntegerType()), T.StructField("w", T.IntegerType()),
-        T.StructField("cells_y", T.IntegerType()), T.StructField("cells_x", T.IntegerType()),
-        T.StructField("cell_means", T.ArrayType(T.DoubleType())), T.StructField("mask", T.ArrayType(T.BooleanType())),
-    ])
-    return pairs.mapInPandas(_cell_diff_pass(cell, threshold), schema)
-
-
-def _label_regions(mask: np.ndarray, min_area: int) -> list[dict]:
-    """4-neighbour connected regions in scan order of their first cell; regions below min_area dropped."""
-    hgt, wid = mask.shape
-    seen = np.zeros_like(mask, dtype=bool)
-    out = []
-    for y in range(hgt):
-        for x in range(wid):
-            if not mask[y, x] or seen[y, x]:
-                continue
-            stack = [(y, x)]
-            seen[y, x] = True
-            ys, xs = [], []
-            while stack:
-                cy, cx = stack.pop()
-                ys.append(cy)
-                xs.append(cx)
-                for ny, nx in ((cy - 1, cx), (cy + 1, cx), (cy, cx - 1), (cy, cx + 1)):
-                    if 0 <= ny < hgt and 0 <= nx < wid and mask[ny, nx] and not seen[ny, nx]:
-                        seen[ny, nx] = True
-                        stack.append((ny, nx))
-            if len(ys) >= min_area:
-                out.append({"x0": min(xs), "y0": min(ys), "x1": max(xs) + 1, "y1": max(ys) + 1, "area": len(ys)})
-    return out
-
-
-def _regions_pass(min_area: int):
-    def run(batches):
-        for pdf in batches:
-            res = []
-            for m, cx, cy in zip(pdf["mask"], pdf["cells_x"], pdf["cells_y"]):
-                if m is None or not cx or not cy:
-                    res.append([])
-                    continue
-                res.append(_label_regions(np.asarray(m, dtype=bool).reshape(int(cy), int(cx)), min_area))
-            pdf["regions"] = res
-            yield pdf
-
-    return run
+    its mean is strictly above the threshold. Replaces a and b by h, w, cells_y, cells_x, cell_means and mask (a byte for each
+    cell, 0 or 1, row-major). All pairs of a batch that have one shape are one array."""
+    kept = [f for f in pairs.schema.fields if f.name not in ("a", "b")]
+    sizes = ["h", "w", "cells_y", "cells_x"]
+    schema = T.StructType([*kept, *[T.StructField(c, T.IntegerType()) for c in sizes], T.StructField("cell_means", T.ArrayType(T.DoubleType())),
+                           T.StructField("mask", T.BinaryType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for (ha, wa, hb, wb), rows in shape_groups(*[batch.column(c) for c in ("ha", "wa", "hb", "wb")]):
+                h, w, n = min(ha, hb), min(wa, wb), len(rows)
+                cy, cx = h // cell, w // cell
+                a = stacked(batch.column("a"), rows, ha * wa).reshape(n, ha, wa)[:, :cy * cell, :cx * cell].astype(np.int16)
+                b = stacked(batch.column("b"), rows, hb * wb).reshape(n, hb, wb)[:, :cy * cell, :cx * cell]
+                sums = np.abs(a - b).reshape(n, cy, cell, cx, cell).sum(axis=(2, 4), dtype=np.int64)
+                means = sums.reshape(n, cy * cx) / float(cell * cell)
+                mask = (means > float(threshold)).astype(np.uint8)
+                ends = (np.arange(n + 1) * cy * cx).astype(np.int32)
+                cols = [batch.column(f.name).take(pa.array(rows)) for f in kept] + [pa.array(np.full(n, x, np.int32)) for x in (h, w, cy, cx)]
+                cols.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(means.reshape(-1))))
+                cols.append(pa.BinaryArray.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(mask.tobytes())]))
+                yield pa.RecordBatch.from_arrays(cols, names=schema.names)
+
+    return pairs.mapInArrow(run, schema)
+
+
+def label_regions(masks: np.ndarray, min_area: int) -> dict[str, np.ndarray]:
+    """4-neighbour connected regions of many masks (mask, y, x): arrays row, x0, y0, x1, y1 (exclusive), area, by mask and first
+    cell in scan order; regions below min_area dropped. Every cell takes the smallest number around it, then the number of
+    the cell that it names, until nothing changes."""
+    n, hgt, wid = masks.shape
+    outside = masks.size
+    own = np.arange(outside).reshape(masks.shape)
+    label = np.where(masks, own, outside)
+    while True:
+        low = label.copy()
+        for here, there in (((slice(None), slice(1, None)), (slice(None), slice(None, -1))), ((slice(None), slice(None, -1)), (slice(None), slice(1, None))),
+                            ((slice(None), slice(None), slice(1, None)), (slice(None), slice(None), slice(None, -1))),
+                            ((slice(None), slice(None), slice(None, -1)), (slice(None), slice(None), slice(1, None)))):
+            low[here] = np.minimum(low[here], label[there])
+        low = np.where(masks, low, outside)
+        low = np.append(low.reshape(-1), outside)[low]
+        if (low == label).all():
+            break
+        label = low
+    cell = np.flatnonzero(masks)
+    order = np.argsort(label.reshape(-1)[cell], kind="stable")
+    cell = cell[order]
+    names, first, area = np.unique(label.reshape(-1)[cell], return_index=True, return_counts=True)
+    if not len(names):
+        return {k: np.zeros(0, np.int64) for k in ("row", "x0", "y0", "x1", "y1", "area")}
+    y, x = cell // wid % hgt, cell % wid
+    out = {"row": names // (hgt * wid), "x0": np.minimum.reduceat(x, first), "y0": np.minimum.reduceat(y, first),
+           "x1": np.maximum.reduceat(x, first) + 1, "y1": np.maximum.reduceat(y, first) + 1, "area": area}
+    return {k: v[area >= min_area] for k, v in out.items()}
+
+
+def _masks(batch: pa.RecordBatch, *more: str) -> Iterator[tuple[np.ndarray, np.ndarray, tuple[int, ...]]]:
+    """Masks of a batch by shape: (row numbers, masks, sizes of the named columns)."""
+    for (cy, cx, *sizes), rows in shape_groups(*[batch.column(c) for c in ("cells_y", "cells_x", *more)]):
+        yield rows, stacked(batch.column("mask"), rows, cy * cx).reshape(len(rows), cy, cx) > 0, tuple(sizes)
 
 
 def mask_regions(diffs: DataFrame, min_area: int) -> DataFrame:
-    """Adds ``regions`` array<struct<x0,y0,x1,y1,area>> (exclusive max, scan order of the first cell).
-
-    An Arrow-batched ``mapInPandas`` pass: a plan node of its own, so later higher-order functions over the regions
-    stay JVM-side expressions."""
+    """Adds ``regions`` array<struct<x0,y0,x1,y1,area>> (exclusive max, scan order of the first cell)."""
     cols = ["event_id", "tile_col", "tile_row", "ha", "wa", "cells_x", "cells_y", "mask"]
     slim = diffs.select(*cols)
-    schema = T.StructType(list(slim.schema.fields) + [T.StructField("regions", T.ArrayType(REGION))])
-    return slim.mapInPandas(_regions_pass(min_area), schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, masks, _ in _masks(batch):
+                found = label_regions(masks, min_area)
+                boxes = pa.StructArray.from_arrays([pa.array(found[f.name].astype(np.int32)) for f in REGION.fields], names=REGION.names)
+                ends = np.searchsorted(found["row"], np.arange(len(rows) + 1)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([*[batch.column(c).take(pa.array(rows)) for c in cols], pa.ListArray.from_arrays(pa.array(ends), boxes)],
+                                                 names=[*cols, "regions"])
+
+    return slim.mapInArrow(run, T.StructType([*slim.schema.fields, T.StructField("regions", T.ArrayType(REGION))]))
 
 
 def region_polygons(df: DataFrame, zoom: int = 16) -> DataFrame:
@@ -195,21 +159,17 @@ def mask_changes(changes: DataFrame, gray: DataFrame, p: Params) -> DataFrame:
                     F.coalesce("mask_image", F.lit("")).alias("mask_image"))
 
 
-def _overlay_pass(cell: int):
-    def run(batches):
-        for pdf in batches:
-            out = []
-            for m, cx, cy, hh, ww in zip(pdf["mask"], pdf["cells_x"], pdf["cells_y"], pdf["ha"], pdf["wa"]):
-                hh, ww = int(hh), int(ww)
-                grid = np.asarray(m, dtype=np.uint8).reshape(int(cy), int(cx)) if cx and cy else np.zeros((0, 0), np.uint8)
-                up = np.kron(grid, np.ones((cell, cell), dtype=np.uint8))[:hh, :ww]
-                full = np.zeros((hh, ww), dtype=np.uint8)  # pad with transparent pixels when size is not a multiple
-                full[: up.shape[0], : up.shape[1]] = up
-                rgba = np.zeros((hh, ww, 4), dtype=np.uint8)
+def _overlays(cell: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, masks, (h, w) in _masks(batch, "ha", "wa"):
+                up = masks.repeat(cell, axis=1).repeat(cell, axis=2)[:, :h, :w]
+                rgba = np.zeros((len(rows), h, w, 4), np.uint8)  # what the cells do not cover stays transparent
                 rgba[..., 2] = 255
-                rgba[..., 3] = np.where(full > 0, 150, 0)
-                out.append(rgba.tobytes())
-            yield pd.DataFrame({"event_id": pdf["event_id"], "width": pdf["wa"], "height": pdf["ha"], "rgba": out})
+                rgba[:, :up.shape[1], :up.shape[2], 3] = np.where(up, 150, 0)
+                take = pa.array(rows)
+                yield pa.RecordBatch.from_arrays([batch.column(c).take(take) for c in ("event_id", "wa", "ha")] + [pa.array([x.tobytes() for x in rgba], pa.binary())],
+                                                 names=["event_id", "width", "height", "rgba"])
 
     return run
 
@@ -218,8 +178,5 @@ def mask_overlay(changes: DataFrame, gray: DataFrame, p: Params) -> DataFrame:
     """RGBA overlay per event with regions: event_id, width, height, rgba (changed cells blue, alpha 150)."""
     d = mask_regions(cell_diff(image_pairs(changes, gray), p.cell_size, p.diff_threshold), p.min_area)
     d = d.where(F.size("regions") > 0)
-    return d.mapInPandas(_overlay_pass(p.cell_size), "event_id long, width int, height int, rgba binary")
-
+    return d.mapInArrow(_overlays(p.cell_size), "event_id long, width int, height int, rgba binary")
 
-def regions_json(regions: list[dict]) -> str:  # edge helper for callers that want text
-    return json.dumps(regions)

@@ -34,9 +34,6 @@ def _num_partitions(df: DataFrame, requested: int | None) -> int:
 
 def _scan_fn(sum_cols: list[str], max_cols: list[str]):
     def scan(batches):
-        from pyspark import TaskContext
-
-        pid = TaskContext.get().partitionId()
         carry_sum = {c: 0 for c in sum_cols}
         carry_max = {c: float("nan") for c in max_cols}
         for pdf in batches:
@@ -54,7 +51,6 @@ def _scan_fn(sum_cols: list[str], max_cols: list[str]):
                 last = cm.iloc[-1]
                 carry_max[c] = last
                 pdf[c] = cm
-            pdf[PID] = pid
             yield pdf
 
     return scan
@@ -100,10 +96,11 @@ def prefix_scan(
         *[F.max(c).over(before).alias(f"_off{c}") for c in m_cols],
     )
 
+    # the partition number comes from the plan: a task's own number is another one where a union puts this plan second
+    ranged = ranged.withColumn(PID, F.spark_partition_id())
     out_fields = list(ranged.schema.fields)
     out_schema = T.StructType(
         [f if f.name not in m_cols else T.StructField(f.name, T.DoubleType(), True) for f in out_fields]
-        + [T.StructField(PID, T.IntegerType(), False)]
     )
     local = ranged.mapInPandas(_scan_fn(s_cols, m_cols), out_schema)
     # offsets has one row per partition: a proven bound, so broadcasting it is safe at any data size.

@@ -63,11 +63,11 @@ def normalize_events(events: DataFrame, fallback_ids: bool = True) -> DataFrame:
     # subset is numbered; rows with a negative id sort before 0, so they add a scalar offset.
     bad = base.where(bad_id)
     out_cols = ["event_id", *[c for c in base.columns if c != "id"]]
-    # one pruned scan of the id column (the predicate reaches the Parquet reader) sizes the subset
-    n_bad = events.where(F.col("id").isNull() | (F.col("id") == 0)).select("id").count()
-    if n_bad == 0:
+    # one pruned scan of the id column (the predicate reaches the Parquet reader) sizes both
+    seen = events.where(F.col("id").isNull() | (F.col("id") <= 0)).agg(F.count_if(bad_id).alias("bad"), F.count_if(F.col("id") < 0).alias("neg")).first()
+    if seen["bad"] == 0:
         return good.select(*out_cols)
-    n_neg = base.where(F.col("id") < 0).select(F.count(F.lit(1))).scalar()
+    n_neg = F.lit(seen["neg"])
     order = [F.col("id").asc_nulls_first(), "tile_col", "tile_row", "from_release_id", "to_release_id", "to_date"]
     numbered = with_row_number(bad, order, "pos", start=0)
     fixed = numbered.withColumn(

@@ -3,8 +3,8 @@
 Distances are squared L2 in double precision; ties are broken by event id. Search for one event broadcasts a single
 query vector (a literal of dim floats) and keeps a top-k: no sort of the table. The batch form runs exact k-NN for every
 event of the table without emitting all event pairs: identical vectors are collapsed first (events that share an
-image share a vector), distinct vectors are compared block against block inside pandas UDFs that keep only a
-top-k per query, and each vector contributes at most its k smallest event ids.
+image share a vector), distinct vectors are parted by pivots, and blocks are compared only where the triangle inequality
+leaves a chance; each vector contributes at most its k smallest event ids.
 """
 
 from __future__ import annotations
@@ -58,56 +58,128 @@ def similar_features(hits: DataFrame, changes: DataFrame) -> DataFrame:
     return hits.join(changes, "event_id", "inner").orderBy("rank")
 
 
-def _topk_block_fn(k: int):
+def _squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Squared distances of all rows of a and b, from explicit differences summed over the dimension in index order."""
+    d = np.zeros((len(a), len(b)))
+    for j in range(a.shape[1]):
+        diff = a[:, j][:, None] - b[:, j][None, :]
+        d += diff * diff
+    return d
+
+
+def _matrix(column: pd.Series) -> np.ndarray:
+    return np.stack(column.to_numpy()).astype(np.float64)
+
+
+#: Names in the result of a search between two blocks; q is the query's vector, c the candidate's.
+FOUND = "qvid long, qvid2 long, cvid long, cvid2 long, distance double"
+
+
+class Pivots:
+    """At most ``most`` vectors (those of smallest hash) that part the distinct vectors into cells by nearest pivot, each with
+    its radii. Bounded by ``most``, not by the table."""
+
+    def __init__(self, distinct: DataFrame, n: int, block: int, most: int):
+        rows = distinct.orderBy("vid", "vid2").limit(min(most, max(1, -(-n // block)))).select("vec").collect()
+        self.vectors = np.array([r["vec"] for r in rows], dtype=np.float64)
+
+    def assign(self, distinct: DataFrame, block: int) -> DataFrame:
+        """Add cell and sub: cells of more than ``block`` vectors are split by hash."""
+        held = distinct.sparkSession.sparkContext.broadcast(self.vectors)
+
+        def run(batches):
+            for pdf in batches:
+                d = _squared(_matrix(pdf["vec"]), held.value)
+                cell = d.argmin(axis=1)
+                yield pdf.assign(cell=cell.astype("int32"), radius=np.sqrt(d[np.arange(len(d)), cell]))
+
+        fields = T.StructType([*distinct.schema.fields, T.StructField("cell", T.IntegerType()), T.StructField("radius", T.DoubleType())])
+        rows = distinct.mapInPandas(run, fields).checkpoint(eager=True)
+        cells = rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("radius").alias("lo"), F.max("radius").alias("hi")).collect()
+        self.cells = sorted((r["cell"], r["n"], r["lo"], r["hi"], -(-r["n"] // block)) for r in cells)
+        subs = F.create_map(*[F.lit(x) for c, *_, s in self.cells for x in (c, s)])
+        return rows.withColumn("sub", F.pmod("vid2", F.element_at(subs, F.col("cell"))).cast("int"))
+
+    def openings(self, rows: DataFrame) -> DataFrame:
+        """A row for each cell that can hold a vector nearer than a query's bound ``tau`` (squared), by the triangle
+        inequality: a member lies at least |distance to the pivot - its own radius| away. The query's cell is always one."""
+        held = rows.sparkSession.sparkContext.broadcast((self.vectors, np.array([[lo, hi] for _, _, lo, hi, _ in self.cells]), [c[0] for c in self.cells]))
+
+        def run(batches):
+            pivots, radii, names = held.value
+            for pdf in batches:
+                d = np.sqrt(_squared(_matrix(pdf["vec"]), pivots[names]))
+                least = np.maximum(0.0, np.maximum(d - radii[:, 1], radii[:, 0] - d))
+                open_ = least * (1 - 1e-9) - 1e-9 <= np.sqrt(pdf["tau"].to_numpy())[:, None]  # rounding opens a cell too many, never too few
+                q, c = np.nonzero(open_)
+                yield pdf.iloc[q].assign(opened=np.asarray(names, dtype="int32")[c])
+
+        return rows.mapInPandas(run, T.StructType([*rows.schema.fields, T.StructField("opened", T.IntegerType())]))
+
+
+def _bounds_fn(k: int):
+    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
+        m = _matrix(pdf["vec"])
+        d = _squared(m, m)
+        tau = np.partition(d, k - 1, axis=1)[:, k - 1] if len(m) >= k else np.full(len(m), np.inf)
+        return pdf.assign(tau=tau)
+
+    return fn
+
+
+def _search_fn(k: int):
     def fn(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        cols = {"qvid": "int64", "qvid2": "int64", "cvid": "int64", "cvid2": "int64", "distance": "float64"}
         if q.empty or c.empty:
-            return pd.DataFrame({n: pd.Series([], dtype=t) for n, t in cols.items()})
-        qm = np.stack(q["vec"].to_numpy()).astype(np.float64)
-        cm = np.stack(c["vec"].to_numpy()).astype(np.float64)
-        # exact squared distances from explicit differences, summed over the dimension in index order
-        d = np.zeros((qm.shape[0], cm.shape[0]))
-        for j in range(qm.shape[1]):
-            diff = qm[:, j][:, None] - cm[:, j][None, :]
-            d += diff * diff
-        keep = min(k, d.shape[1])
-        parts = []
-        for i in range(d.shape[0]):
-            row = d[i]
-            idx = np.argpartition(row, keep - 1)[:keep] if keep < len(row) else np.arange(len(row))
-            idx = np.nonzero(row <= row[idx].max())[0]  # keep ties at the k-th distance: the merge stays exact
-            parts.append((i, idx))
-        qi = np.concatenate([np.full(len(ix), i) for i, ix in parts])
-        ci = np.concatenate([ix for _, ix in parts])
-        return pd.DataFrame({
-            "qvid": q["vid"].to_numpy()[qi], "qvid2": q["vid2"].to_numpy()[qi],
-            "cvid": c["vid"].to_numpy()[ci], "cvid2": c["vid2"].to_numpy()[ci], "distance": d[qi, ci],
-        }).astype(cols)
+            return pd.DataFrame({x.split()[0]: pd.Series([], dtype="int64" if "long" in x else "float64") for x in FOUND.split(", ")})
+        d = _squared(_matrix(q["vec"]), _matrix(c["vec"]))
+        worst = q["tau"].to_numpy()
+        if d.shape[1] > k:
+            worst = np.minimum(worst, np.partition(d, k - 1, axis=1)[:, k - 1])
+        qi, ci = np.nonzero(d <= worst[:, None])  # ties at the bound stay: the merge decides them by event id
+        return pd.DataFrame({"qvid": q["vid"].to_numpy()[qi], "qvid2": q["vid2"].to_numpy()[qi], "cvid": c["vid"].to_numpy()[ci],
+                             "cvid2": c["vid2"].to_numpy()[ci], "distance": d[qi, ci]})
 
     return fn
 
 
-def similar_batch(vectors: DataFrame, k: int, block_vectors: int = 2048) -> DataFrame:
+def _distinct(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(members (event_id, vid, vid2, vector), distinct vectors (vid, vid2, vec)); two independent 64-bit hashes are the key
+    (a collision among 10^9 distinct vectors has probability ~10^-21)."""
+    key = [F.xxhash64(F.col("vector")).alias("vid"), F.xxhash64(F.lit("chronotile"), F.col("vector")).alias("vid2")]
+    members = vectors.where(F.col("vector").isNotNull()).select("event_id", "vector", *key).checkpoint(eager=True)
+    return members, members.groupBy("vid", "vid2").agg(F.first("vector").alias("vec")).checkpoint(eager=True)
+
+
+def _opened(distinct: DataFrame, k: int, block: int, most: int) -> tuple[DataFrame, DataFrame, Pivots]:
+    """(vectors with cell and sub, queries by opened cell with their bound, pivots): the first round bounds every vector's
+    k-th distance inside its own block, the second opens the cells that can improve it."""
+    pivots = Pivots(distinct, distinct.count(), block, most)
+    placed = pivots.assign(distinct, block).checkpoint(eager=True)
+    bounded = placed.groupBy("cell", "sub").applyInPandas(_bounds_fn(k), T.StructType([*placed.schema.fields, T.StructField("tau", T.DoubleType())]))
+    return placed, pivots.openings(bounded.checkpoint(eager=True)), pivots
+
+
+def similar_batch(vectors: DataFrame, k: int, block: int = 2048, pivots: int = 4096) -> DataFrame:
     """Exact k-NN for every event: query_event_id, rank, event_id, distance (self excluded after the top-k,
-    as in ``similar_changes``).
-
-    Distinct vectors are keyed by two independent 64-bit hashes (a 128-bit key: a collision among 10^9 distinct
-    vectors has probability ~10^-21). Work is O(distinct^2 / block) block pairs, each a cogrouped pandas task that
-    returns only a top-k per query vector; no event pair list is ever built."""
-    vid = F.xxhash64(F.col("vector"))
-    vid2 = F.xxhash64(F.lit("chronotile"), F.col("vector"))
-    # read by three branches (distinct vectors, per-vector first ids, query events): materialise once
-    members = vectors.select("event_id", "vector", vid.alias("vid"), vid2.alias("vid2")).checkpoint(eager=True)
-    distinct = members.groupBy("vid", "vid2").agg(F.first("vector").alias("vec")).checkpoint(eager=True)
-    n_vec = distinct.count()
-    nb = max(1, -(-n_vec // block_vectors))
-    blk = F.pmod(F.col("vid"), F.lit(nb)).cast("int")
-    blocks = F.sequence(F.lit(0), F.lit(nb - 1))
-    qside = distinct.select("vid", "vid2", "vec", blk.alias("qb"), F.explode(blocks).alias("cb"))
-    cside = distinct.select("vid", "vid2", "vec", blk.alias("cb"), F.explode(blocks).alias("qb"))
-    schema = "qvid long, qvid2 long, cvid long, cvid2 long, distance double"
-    topk = _topk_block_fn(k)
-    cand = qside.groupBy("qb", "cb").cogroup(cside.groupBy("qb", "cb")).applyInPandas(lambda q, c: topk(q, c), schema)
+    as in ``similar_changes``). Rows without a vector take no part.
+
+    Distinct vectors are parted by nearest pivot. Two rounds: each block (part of a cell, about ``block`` vectors) gives its
+    members an upper bound of their k-th distance; then a block of queries meets the blocks of a cell only if a lower
+    bound of some query beats its upper one. A task holds two blocks; no event pair list is built. Vectors without structure
+    open all cells, which costs what comparing all blocks costs."""
+    members, distinct = _distinct(vectors)
+    schema = "query_event_id long, rank int, event_id long, distance double"
+    if distinct.isEmpty():
+        return vectors.sparkSession.createDataFrame([], schema)
+    placed, opened, piv = _opened(distinct, k, block, pivots)
+    opened = opened.select("vid", "vid2", "vec", "tau", F.col("cell").alias("qcell"), F.col("sub").alias("qsub"), F.col("opened").alias("cell")).checkpoint(eager=True)
+    subs = F.create_map(*[F.lit(x) for c, *_, s in piv.cells for x in (c, s)])
+    qside = opened.withColumn("sub", F.explode(F.sequence(F.lit(0), F.element_at(subs, F.col("cell")) - 1)))
+    meetings = opened.select(*[F.col(c).alias(c) for c in ("qcell", "qsub", "cell")]).distinct()
+    cside = placed.select("vid", "vid2", "vec", "cell", "sub").join(meetings, "cell")
+    keys = ["qcell", "qsub", "cell", "sub"]
+    search = _search_fn(k)
+    cand = qside.groupBy(*keys).cogroup(cside.groupBy(*keys)).applyInPandas(lambda q, c: search(q, c), FOUND)
     # each distinct vector contributes at most its k smallest event ids (a bounded top-k per group)
     wm = Window.partitionBy("vid", "vid2").orderBy("event_id")
     firsts = members.select("vid", "vid2", "event_id").withColumn("r", F.row_number().over(wm)).where(F.col("r") <= k)
@@ -120,3 +192,14 @@ def similar_batch(vectors: DataFrame, k: int, block_vectors: int = 2048) -> Data
     j = queries.join(topq, ["qvid", "qvid2"]).where(F.col("event_id") != F.col("query_event_id"))
     wr = Window.partitionBy("query_event_id").orderBy("r")
     return j.withColumn("rank", F.row_number().over(wr)).select("query_event_id", "rank", "event_id", "distance")
+
+
+def compared_share(vectors: DataFrame, k: int, block: int = 2048, pivots: int = 4096) -> DataFrame:
+    """What ``similar_batch`` compares: distinct vectors, pairs compared in both rounds, share of all pairs (one row)."""
+    _, distinct = _distinct(vectors)
+    placed, opened, piv = _opened(distinct, k, block, pivots)
+    size = F.create_map(*[F.lit(x) for c, n, *_ in piv.cells for x in (c, n)])
+    first = placed.groupBy("cell", "sub").agg(F.count(F.lit(1)).alias("n")).select(F.sum(F.col("n") * F.col("n"))).scalar()
+    every = placed.select(F.count(F.lit(1))).scalar()
+    pairs = opened.agg(F.sum(F.element_at(size, F.col("opened"))).alias("n")).select((F.col("n") + first).alias("pairs"))
+    return pairs.select(every.alias("vectors"), "pairs", (F.col("pairs") / (every * every)).alias("share"))

@@ -249,8 +249,9 @@ cte("viewports", [], viewports_values())
 # ---------------------------------------------------------------- masks (cell 1 / threshold 60 / min_area 4; cell 2 / 40)
 
 cte("gray", ["snapnames"], """
-  SELECT DISTINCT n.image,
-    list_transform(e.embedding, lambda v: CAST(least(255, greatest(0, floor(128.0::DOUBLE + 400.0::DOUBLE * v::DOUBLE + 0.5::DOUBLE))) AS INT)) AS px
+  SELECT DISTINCT n.image, list_transform(
+    list_transform(e.embedding, lambda v: CAST(least(255, greatest(0, floor(128.0::DOUBLE + 400.0::DOUBLE * v::DOUBLE + 0.5::DOUBLE))) AS INT)),
+    lambda x: (19595 * least(255, x + 20) + 38470 * x + 7471 * (x * 7 % 256) + 32768) >> 16) AS px
   FROM snapnames n JOIN embeddings e ON e.vec_id = n.vec_id""")
 
 cte("imgpairs", ["changes", "gray"], f"""

@@ -17,14 +17,17 @@ from chronotile.operators import verdicts as VD
 from chronotile.operators.episodes import episodes
 from chronotile.operators.importance import importance
 from chronotile.operators.noise import noise_filter
+from chronotile.operators.raster import labelled_images
 from chronotile.params import FIXTURE
 from chronotile.plans import export as EX
 from chronotile.plans import oracle as O
 from chronotile.plans import queries as Q
 from chronotile.plans import stages as S
 from chronotile.plans.registry import POINT_EVENT, register
+from chronotile.plans.store import fresh_path, stored, write_pairs
 from chronotile.sources import events as SE
 from chronotile.sources import fixtures as fx
+from chronotile.sources.ranged import read_ranges, write_ranges
 
 R = S.rounded
 MASK_P = FIXTURE.with_(cell_size=1, diff_threshold=60, min_area=4)
@@ -61,6 +64,28 @@ def q_scan(spark, sf):
     return SE.scan_change_events(S.events(spark, sf))
 
 
+RANGE = 1024
+
+
+def _range_files(spark, sf):
+    path = fresh_path(spark, "event-ranges")
+    write_ranges(S.events(spark, sf), path, "id", RANGE)
+    return path
+
+
+@register("source_scan", O.build(f"SELECT *, id // {RANGE} * {RANGE} AS first_of_range FROM events", "events"))
+def q_source_scan(spark, sf):
+    """Event files by id range, every row beside the first id of the range it was read from."""
+    return read_ranges(spark, _range_files(spark, sf), range_column="first_of_range")
+
+
+@register("source_scan_range", O.build("SELECT * FROM events WHERE id BETWEEN 700 AND 5000 AND tile_col < 40000", "events"))
+def q_source_scan_range(spark, sf):
+    """The id range selects files before any task starts."""
+    where = [("id", ">=", 700), ("id", "<=", 5000), ("tile_col", "<", 40000)]
+    return SE.scan_change_events(read_ranges(spark, _range_files(spark, sf), where=where))
+
+
 @register("normalize_events", O.build("""
 SELECT id AS event_id, tile_col, tile_row, from_release_id, to_release_id, from_date, to_date, detected_at,
   ssim_score, change_ratio, largest_run, 0 AS land_windows, 0 AS water_windows, 0.0::DOUBLE AS ssim_min,
@@ -173,12 +198,10 @@ SELECT image, 16 AS dim, 'block-mean-2' AS model, array_to_string(list_transform
   ((px[(j // 4) * 16 + (j % 4) * 2 + 1] + px[(j // 4) * 16 + (j % 4) * 2 + 2] + px[(j // 4) * 16 + (j % 4) * 2 + 9]
     + px[(j // 4) * 16 + (j % 4) * 2 + 10])::FLOAT / 4::FLOAT / 255::FLOAT)::DOUBLE * 1000000) AS BIGINT)::VARCHAR), ',') AS millionths
 FROM gray WHERE image IN (
-    SELECT {O.basename('x')} FROM (SELECT before_image AS x FROM pairs UNION ALL SELECT after_image FROM pairs) WHERE x <> '')
-  AND image NOT IN (SELECT image FROM snapnames WHERE vec_id % 10 < 8)""", "pairs", "gray", "snapnames"))
+    SELECT {O.basename('x')} FROM (SELECT before_image AS x FROM pairs UNION ALL SELECT after_image FROM pairs) WHERE x <> '')""", "pairs", "gray"))
 def q_embed_images(spark, sf):
-    todo = EM.images_to_embed(EM.unique_images(S.pairs(spark, sf)), _cached(spark, sf))
-    imgs = todo.join(_gray(spark, sf), "image")
-    out = EM.embed_images(imgs, EM.block_mean_embedder(8, 8, 2), "pixels", model="block-mean-2", input_shape=[64])
+    imgs = EM.unique_images(S.pairs(spark, sf)).join(_gray(spark, sf), "image")
+    out = EM.embed_images(imgs, EM.block_mean_embedder(8, 8, 2), model="block-mean-2")
     whole = F.transform("embedding", lambda x: F.round(x.cast("double") * 1000000).cast("long").cast("string"))
     return out.select("image", "dim", "model", F.array_join(whole, ",").alias("millionths"))
 
@@ -214,9 +237,18 @@ def q_noise_filter_ratio(spark, sf):
 # ---------------------------------------------------------------- land cover
 
 @register("labelled_images", O.build("""
+SELECT 'Forest_' || e.vec_id || '.png' AS path, e.label, n.label_name, '89504E470D0A1A0A' || hex(encode(e.vec_id::VARCHAR)) AS bytes
+FROM embeddings e LEFT JOIN labelnames n USING (label) WHERE e.vec_id % 17 <> 0 AND e.vec_id % 19 <> 0""", "labelnames"))
+def q_labelled(spark, sf):
+    """Labelled image files, written as Parquet and read as such; those without bytes drop out."""
+    files = stored(fx.labelled_files(spark, sf), "labelled", write_pairs)
+    return labelled_images(files, fx.label_names(spark)).select("path", "label", "label_name", F.hex("bytes").alias("bytes"))
+
+
+@register("labelled_vectors", O.build("""
 SELECT e.vec_id, e.label, n.label_name FROM embeddings e JOIN labelnames n USING (label)
 WHERE e.embedding IS NOT NULL AND len(e.embedding) > 0""", "labelnames"))
-def q_labelled(spark, sf):
+def q_labelled_vectors(spark, sf):
     return fx.labelled_vectors(spark, sf).select("vec_id", "label", "label_name")
 
 
@@ -394,13 +426,10 @@ def _image_pairs(spark, sf):
 
 
 @register("gray_images", O.build(
-    "SELECT image, array_to_string(list_transform(px, lambda v: v::VARCHAR), ',') AS pixels FROM gray", "gray"))
+    "SELECT image, 8 AS height, 8 AS width, array_to_string(list_transform(px, lambda v: lpad(printf('%X', v), 2, '0')), '') AS data FROM gray", "gray"))
 def q_gray_images(spark, sf):
-    g = _gray(spark, sf)
-    # BGR bytes with b = g = r = gray decode back to the same gray level
-    bgr = g.select("image", F.concat(*[F.unhex(F.lpad(F.hex(F.col("pixels")[i]), 2, "0")) for i in range(64) for _ in range(3)]).alias("data"))
-    pixels = MK.gray_from_bgr(F.col("data"), F.lit(3))
-    return bgr.select("image", F.array_join(pixels.cast("array<string>"), ",").alias("pixels"))
+    """Gray levels of rasters whose three channels differ."""
+    return _gray(spark, sf).select("image", "height", "width", F.hex("data").alias("data"))
 
 
 @register("cell_diff", O.build("""
@@ -409,8 +438,8 @@ SELECT event_id, any_value(cells_x) AS cells_x, any_value(cells_y) AS cells_y,
 FROM celldiff2 GROUP BY event_id""", "celldiff2"))
 def q_cell_diff(spark, sf):
     d = MK.cell_diff(_image_pairs(spark, sf), CELL2_P.cell_size, CELL2_P.diff_threshold)
-    return d.select("event_id", "cells_x", "cells_y", F.size(F.filter("mask", lambda m: m)).cast("long").alias("n_changed"),
-                    F.array_join(F.transform("mask", lambda m: F.when(m, "1").otherwise("0")), "").alias("mask_bits"))
+    bits = F.regexp_replace(F.hex("mask"), "0(.)", "$1")
+    return d.select("event_id", "cells_x", "cells_y", F.length(F.regexp_replace(bits, "0", "")).cast("long").alias("n_changed"), bits.alias("mask_bits"))
 
 
 @register("mask_regions", O.build("""

@@ -28,9 +28,14 @@ def write_pairs(pairs: DataFrame, path: str) -> None:
     pairs.write.mode("overwrite").parquet(path)
 
 
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared checkpoint folder."""
+    return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def stored(df: DataFrame, name: str, write: Callable[[DataFrame, str], None]) -> DataFrame:
     """Write a table to a new path of the shared checkpoint folder and read it back."""
-    path = f"{ensure_checkpoint_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = fresh_path(df.sparkSession, name)
     write(df, path)
     return read_changes(df.sparkSession, path)
 

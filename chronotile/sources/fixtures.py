@@ -6,7 +6,8 @@ Everything here is derived by Spark from the parquet tables in ``sf_dir``, so th
 * ``tile_snapshots`` <- the releases the events name (image identity only; some snapshots are missing)
 * ``image_embeddings`` <- snapshots joined to ``embeddings.vec_id`` (one vector per image name)
 * ``labelled_vectors`` <- ``embeddings`` with the label id mapped to a land-cover name
-* ``gray_images``    <- 8x8 gray rasters derived from the image vectors
+* ``raster_images``  <- 8x8 rasters of three channels derived from the image vectors, ``gray_images`` their gray levels
+* ``labelled_files`` <- labelled image files, some without bytes
 * ``model_answers``  <- raw vision-model answer texts built from the event id
 """
 
@@ -126,20 +127,42 @@ def labelled_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).select("vec_id", "embedding", "label", "label_name")
 
 
-def gray_pixels(embedding: Column) -> Column:
-    """8x8 gray raster (row-major array<int>) from a 64-float vector: clamp(floor(128 + 400 v + 0.5), 0, 255)."""
-    return F.transform(
-        embedding, lambda v: F.least(F.lit(255), F.greatest(F.lit(0), F.floor(F.lit(128.0) + F.lit(400.0) * v.cast("double") + 0.5))).cast("int")
-    )
+def raster_images(spark: SparkSession, sf_dir: str, snapshots: DataFrame) -> DataFrame:
+    """Raw 8x8 rasters from 64-float vectors: with x = clamp(floor(128 + 400 v + 0.5), 0, 255), blue is 7 x mod 256, green is
+    x, red is min(255, x + 20). Columns image, height, width, channels, data (BGR bytes)."""
+    emb = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    names = snapshot_images(snapshots).select("image", "vec_id").distinct()
+
+    def level(v: Column) -> Column:
+        return F.least(F.lit(255), F.greatest(F.lit(0), F.floor(F.lit(128.0) + F.lit(400.0) * v.cast("double") + 0.5))).cast("int")
+
+    def pixel(x: Column) -> Column:
+        return F.concat(*[F.lpad(F.hex(c), 2, "0") for c in (x * 7 % 256, x, F.least(F.lit(255), x + 20))])
+
+    pixels = F.transform(F.transform("embedding", level), pixel)
+    one = emb.select("vec_id", F.to_binary(F.array_join(pixels, ""), F.lit("hex")).alias("data"))
+    return names.join(one, "vec_id").select("image", F.lit(8).alias("height"), F.lit(8).alias("width"), F.lit(3).alias("channels"), "data")
 
 
 def gray_images(spark: SparkSession, sf_dir: str, snapshots: DataFrame) -> DataFrame:
-    """Decoded gray images: image, height, width, pixels (array<int>, row-major)."""
-    emb = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    names = snapshot_images(snapshots).select("image", "vec_id").distinct()
-    return names.join(emb, "vec_id").select(
-        "image", F.lit(8).alias("height"), F.lit(8).alias("width"), gray_pixels(F.col("embedding")).alias("pixels")
-    )
+    """Decoded gray images: image, height, width, data (a byte for each pixel, row-major)."""
+    from chronotile.operators.raster import gray_images as decode
+
+    return decode(raster_images(spark, sf_dir, snapshots))
+
+
+def label_names(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(list(enumerate(LABELS)), "label int, label_name string")
+
+
+def labelled_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled image files (image struct<bytes,path>, label): the bytes are a PNG mark and the vector's text, every 17th has no
+    bytes and every 19th empty ones."""
+    v = F.col("vec_id")
+    data = F.when(v % 17 == 0, F.lit(None)).when(v % 19 == 0, F.lit(b"")).otherwise(
+        F.concat(F.unhex(F.lit("89504E470D0A1A0A")), v.cast("string").cast("binary")))
+    return table(spark, sf_dir, "embeddings").select(
+        F.struct(data.alias("bytes"), F.concat(F.lit("Forest_"), v.cast("string"), F.lit(".png")).alias("path")).alias("image"), "label")
 
 
 def model_answers(changes: DataFrame) -> DataFrame:

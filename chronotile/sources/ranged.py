@@ -4,10 +4,13 @@ The sink writes each task's rows as one Parquet file for each key range of ``wid
 all tasks are done, the commit writes a manifest that lists the files with their range, smallest and largest key and number
 of rows, under a temporary name, and moves it into place: readers see the old table or the new one, and files of failed or
 repeated tasks are never listed. The scan plans from the manifest alone: one partition for each range and about
-``rows_per_partition`` rows of its files. Filters on the key select ranges and files before any task starts; those and
-other simple comparisons go to the Parquet reader, which skips row groups by their statistics.
+``rows_per_partition`` rows of its files. Conditions on the key select ranges and files before any task starts; those and
+conditions on other columns go to the Parquet reader, which skips row groups by their statistics.
 
-Options: ``path``; sink: ``key`` (default ``id``), ``width``; scan: ``columns`` (comma list), ``rows_per_partition``. With
+Conditions are an argument of the read. ``pushFilters`` is not used: Spark 4.1 keeps one plan of partitions for each loaded
+table, so the filters of one query would also cut the rows of the next query over the same DataFrame.
+
+Options: ``path``; sink: ``key`` (default ``id``), ``width``; scan: ``where``, ``columns``, ``rows_per_partition``. With
 ``range_column`` the scan adds a column of that name: the first key of the row's range, null for null keys.
 """
 
@@ -15,7 +18,7 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -29,6 +32,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from chronotile.session import ship_package
 
+OPERATORS = ("==", ">", ">=", "<", "<=", "in", "null", "not null")
 FORMAT, MANIFEST, WIDTH, ROWS = "chronotile_ranges", "_manifest.json", 1 << 20, 1_000_000
 
 
@@ -54,22 +58,13 @@ class RangeReader(D.DataSourceReader):
         self.path, self.range_column = path, options.get("range_column")
         self.rows = int(options.get("rows_per_partition", ROWS))
         self.names = [f.name for f in schema.fields if f.name != self.range_column]
-        self.kinds = {f.name: f.dataType for f in schema.fields}
         found = _manifest(path)
+        self.kinds = {f.name: f.dataType for f in T.StructType.fromJson(json.loads(found["schema"])).fields}
         self.key, self.width, self.files = found["key"], found["width"], found["files"]
-        self.where: list[tuple[str, str, object]] = []
-
-    def pushFilters(self, filters: list[D.Filter]) -> Iterator[D.Filter]:
-        """Comparisons of stored whole-number and text columns are done here; Spark keeps the others."""
-        kinds = {D.EqualTo: "==", D.GreaterThan: ">", D.GreaterThanOrEqual: ">=", D.LessThan: "<", D.LessThanOrEqual: "<=", D.In: "in",
-                 D.IsNull: "null", D.IsNotNull: "not null"}
-        for f in filters:
-            name, op = getattr(f, "attribute", ()), kinds.get(type(f))
-            fits = len(name) == 1 and name[0] in self.names and isinstance(self.kinds[name[0]], (T.IntegralType, T.StringType))
-            if op and fits:
-                self.where.append((name[0], op, getattr(f, "value", None)))
-            else:
-                yield f
+        self.where = [tuple(x) for x in json.loads(options.get("where", "[]"))]
+        for name, op, _ in self.where:
+            if op not in OPERATORS or name not in self.kinds or not isinstance(self.kinds[name], (T.IntegralType, T.StringType)):
+                raise ValueError(f"no condition {op} on {name}")
 
     def _may_hold(self, file: dict) -> bool:
         lo, hi = file["min"], file["max"]
@@ -110,9 +105,9 @@ class RangeReader(D.DataSourceReader):
         if not partition.files:
             return
         store, at = _open(self.path)
-        kinds = to_arrow_schema(T.StructType([T.StructField(n, self.kinds[n]) for n in self.names]))
+        kinds = to_arrow_schema(T.StructType([T.StructField(n, t) for n, t in self.kinds.items()]))
         rows = ds.dataset([f"{at}/{n}" for n in partition.files], format="parquet", filesystem=store, schema=kinds)
-        for b in rows.to_batches(columns=self.names, filter=self._expression()):
+        for b in rows.to_batches(columns=self.names, filter=self._expression(), use_threads=False):
             if self.range_column:
                 b = b.append_column(self.range_column, pa.array([partition.start] * b.num_rows, pa.int64()))
             if b.num_rows:
@@ -210,7 +205,6 @@ class RangedFiles(D.DataSource):
 def _ready(spark: SparkSession) -> SparkSession:
     ship_package(spark)
     spark.dataSource.register(RangedFiles)
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     return spark
 
 
@@ -219,6 +213,10 @@ def write_ranges(rows: DataFrame, path: str, key: str = "id", width: int = WIDTH
     rows.write.format(FORMAT).mode(mode).option("key", key).option("width", width).save(path)
 
 
-def read_ranges(spark: SparkSession, path: str, **options) -> DataFrame:
-    return _ready(spark).read.format(FORMAT).options(**options).load(path)
+def read_ranges(spark: SparkSession, path: str, where: Sequence[tuple] = (), columns: Sequence[str] = (), range_column: str | None = None,
+                rows_per_partition: int = ROWS) -> DataFrame:
+    """Rows that meet all conditions (column, operator, value) of OPERATORS, on stored whole-number and text columns."""
+    given = {"where": json.dumps([list(x) + [None] * (3 - len(x)) for x in where]), "columns": ",".join(columns), "range_column": range_column,
+             "rows_per_partition": rows_per_partition}
+    return _ready(spark).read.format(FORMAT).options(**{k: v for k, v in given.items() if v is not None}).load(path)
 

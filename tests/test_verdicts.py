@@ -1,6 +1,3 @@
-import numpy as np
-
-from chronotile.operators.mask import _label_regions, cell_diff
 from chronotile.operators.verdicts import parse_verdicts
 
 
@@ -26,22 +23,3 @@ def test_parse_verdicts(spark):
     got = {r.event_id: (r.ai_is_real, r.ai_change_type, r.ai_cause_tr, r.ai_confidence) for r in parse_verdicts(df).collect()}
     for i, (text, want) in enumerate(EXPECTED):
         assert got[i] == want, text
-
-
-def test_regions_diagonal_and_area():
-    m = np.zeros((4, 4), dtype=bool)
-    m[0, 0] = m[1, 1] = True  # diagonal: two regions of one cell
-    assert len(_label_regions(m, 1)) == 2
-    m[2:, 2:] = True  # touches (1, 1) only diagonally
-    regs = _label_regions(m, 4)
-    assert regs == [{"x0": 2, "y0": 2, "x1": 4, "y1": 4, "area": 4}]
-
-
-def test_cell_diff_threshold_and_small_image(spark):
-    a = [100] * 16
-    b = [128] * 8 + [129] * 8  # mean diff 28 (not changed) on top cells, 29 on bottom
-    rows = [(1, 0, 0, 4, 4, a, 4, 4, b), (2, 0, 0, 1, 1, [0], 1, 1, [255])]
-    df = spark.createDataFrame(rows, "event_id long, tile_col int, tile_row int, ha int, wa int, a array<int>, hb int, wb int, b array<int>")
-    out = {r.event_id: r for r in cell_diff(df, 2, 28).collect()}
-    assert out[1].mask == [False, False, True, True]
-    assert out[2].mask == [] and out[2].cells_x == 0
