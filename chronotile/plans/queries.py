@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronotile.functions import geo
+from chronotile.functions.images import basename
+from chronotile.functions.zorder import in_ranges, z_ranges
 
 # The property keys of a map feature, in output order.
 FEATURE_KEYS = [
@@ -60,6 +62,8 @@ def split_types(text: str | None) -> list[str]:
 
 def in_viewport(changes: DataFrame, r: Range, types=None, from_date=None, to_date=None, typed_dates=False) -> DataFrame:
     min_col, max_col, min_row, max_row = r
+    if "zkey" in changes.columns:  # the stored table: ranges of its order select files and row groups
+        changes = changes.where(in_ranges(F.col("zkey"), z_ranges(*r)))
     return changes.where(
         F.col("tile_col").between(min_col, max_col)
         & F.col("tile_row").between(min_row, max_row)
@@ -142,6 +146,14 @@ def viewport_features(changes: DataFrame, r: Range, types=None, from_date=None,
     return sel.orderBy(*order_key(sel)).limit(limit_for(limit, p))
 
 
+def scan_viewports(changes: DataFrame, ranges: Sequence[Range], most: int = 64) -> DataFrame:
+    """The rows of a stored table that any of a few viewports can need, by key ranges; more than ``most`` viewports, or a table
+    without key, are read whole."""
+    if "zkey" not in changes.columns or len(ranges) > most:
+        return changes
+    return changes.where(in_ranges(F.col("zkey"), [x for r in ranges for x in z_ranges(*r, most=4)]))
+
+
 def viewports_top_features(changes: DataFrame, viewports: DataFrame, limit=None, p=None) -> DataFrame:
     """Top-N per viewport for a batch of viewports, in two steps: the N first rows of each share of a viewport (by a hash
     of the event id), then the N first of those, so that no task holds a whole viewport."""
@@ -164,6 +176,11 @@ def grid(changes: DataFrame, r: Range, cell: int, types=None, from_date=None, to
     g = sel.groupBy(
         F.floor(F.col("tile_col") / cell).cast("long").alias("gc"), F.floor(F.col("tile_row") / cell).cast("long").alias("gr")
     ).agg(F.count(F.lit(1)).alias("n"))
+    return block_corners(g, cell, zoom)
+
+
+def block_corners(g: DataFrame, cell: int, zoom: int = 16) -> DataFrame:
+    """Blocks (gc, gr, n) with the corners of their polygon."""
     col0, row0 = F.col("gc") * cell, F.col("gr") * cell
     col1, row1 = col0 + cell - 1, row0 + cell - 1
     return g.select(
@@ -227,8 +244,23 @@ def event_by_id(changes: DataFrame, event_id: int) -> DataFrame:
     return changes.where(F.col("event_id") == F.lit(event_id))
 
 
+def image_for_event(changes: DataFrame, images: DataFrame, event_id: int, side: str = "after", masks: DataFrame | None = None) -> DataFrame:
+    """(event_id, side, image, data) of one event: ``before``, ``mask``, or any other side for after; no row when the event, its
+    image or its mask is missing. The name, one value, goes into the scan as a literal, where bloom filters use it."""
+    if side == "mask":
+        if masks is None:
+            raise ValueError("masks are needed for a mask")
+        found = masks.where(F.col("event_id") == F.lit(event_id))
+        name = F.concat(F.lit("masks/"), F.col("event_id").cast("string"), F.lit(".png"))
+        return found.select("event_id", F.lit("mask").alias("side"), name.alias("image"), F.col("rgba").alias("data"))
+    side = side if side == "before" else "after"
+    row = event_by_id(changes, event_id).select(basename(f"{side}_image").alias("image")).first()
+    named = images.where(F.col("image") == F.lit(row["image"])) if row and row["image"] else images.limit(0)
+    return named.select(F.lit(event_id).cast("long").alias("event_id"), F.lit(side).alias("side"), "image", "data")
+
+
 def tile_events(changes: DataFrame, col: int, row: int) -> DataFrame:
-    return changes.where((F.col("tile_col") == col) & (F.col("tile_row") == row)).orderBy(
+    return in_viewport(changes, (col, col, row, row)).orderBy(
         F.col("to_date").asc_nulls_last(), F.col("event_id")
     )
 
@@ -237,15 +269,24 @@ def ai_confirmed(changes: DataFrame) -> DataFrame:
     return changes.where(F.col("ai_is_real") == F.lit(True))
 
 
+def choose_layer(zoom: int, count: int, p=None) -> str:
+    """"grid" when a block is larger than a tile or the rows are more than a map shows, else "features"."""
+    from chronotile.params import DEFAULT
+
+    return "grid" if zoom < 16 or count > (p or DEFAULT).max_features else "features"
+
+
 def map_layer(changes: DataFrame, r: Range, zoom: int, layer: str | None = None, p=None, types=None, from_date=None,
-              to_date=None) -> DataFrame:
-    """The map's layer ("grid" or "features") in one schema (layer, feature JSON). By default the zoom decides: the grid
-    when a block is larger than a tile. A caller that prefers the grid above some number of rows asks ``viewport_count``."""
+              to_date=None, count: int | None = None) -> DataFrame:
+    """The map's layer ("grid" or "features") in one schema (layer, feature JSON): the one asked for, else what ``choose_layer``
+    says of the zoom and the count (of ``viewport_count``; not counted if a block is larger than a tile)."""
     from chronotile.params import DEFAULT
 
     p = p or DEFAULT
     cell = max(1, 2 ** max(0, 16 - zoom))
-    layer = layer or ("grid" if cell > 1 else "features")
+    if layer is None and cell == 1 and count is None:
+        count = viewport_count(changes, r, types=types, from_date=from_date, to_date=to_date).first()["n"]
+    layer = layer or choose_layer(zoom, count or 0, p)
     if layer == "grid":
         g = grid(changes, r, cell, types, from_date, to_date)
         ring = geo.ring(F.col("west"), F.col("south"), F.col("east"), F.col("north"))

@@ -7,6 +7,7 @@ feature under test (a viewport, a point lookup), never a way to make the check c
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,7 +17,8 @@ from chronotile.params import FIXTURE
 from chronotile.plans import oracle as O
 from chronotile.plans import queries as Q
 from chronotile.plans import stages as S
-from chronotile.plans.store import stored, write_changes, write_pairs
+from chronotile.plans.pyramid import grid_from_pyramid
+from chronotile.plans.store import stored, write_pairs
 from chronotile.sources import fixtures as fx
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -58,7 +60,7 @@ FROM (
     ON e.tile_col BETWEEN v.min_col AND v.max_col AND e.tile_row BETWEEN v.min_row AND v.max_row)
 WHERE rank <= 4000""", "enriched", "viewports"))
 def q_viewport_features(spark, sf):
-    ch = S.enriched(spark, sf)
+    ch = Q.scan_viewports(S.served_changes(spark, sf), [v[1:] for v in fx.viewports()])
     top = Q.viewports_top_features(ch, Q.viewports_frame(spark, fx.viewports()), limit=None, p=FIXTURE)
     return R(top.select("viewport_id", "rank", "event_id", "tile_col", "tile_row", "importance", "change_type_tr",
                         "episode_id", "centroid_lon", "centroid_lat"))
@@ -71,7 +73,7 @@ FROM enriched e JOIN viewports v
 WHERE e.change_type_tr IN ({_types_sql()}) AND e.to_date >= '{DATE_FROM}' AND e.to_date <= '{DATE_TO}'
 GROUP BY v.viewport_id""", "enriched", "viewports"))
 def q_viewport_count(spark, sf):
-    ch = S.classified(spark, sf)
+    ch = Q.scan_viewports(S.served_changes(spark, sf), [v[1:] for v in fx.viewports()])
     sel = ch.where(Q.type_predicate(ch, TYPES) & Q.date_predicate(DATE_FROM, DATE_TO))
     tagged = Q.in_viewports(sel, Q.viewports_frame(spark, fx.viewports()))
     return tagged.groupBy("viewport_id").agg(F.count(F.lit(1)).alias("n"))
@@ -123,19 +125,36 @@ FROM ({base}) g""", "enriched")
 
 @register("grid", _grid_sql(16))
 def q_grid(spark, sf):
-    return R(Q.grid(S.changes(spark, sf), WORLD, 16))
+    return R(grid_from_pyramid(S.served_pyramid(spark, sf), WORLD, 12))
+
+
+EDGE = (37411, 39022, 24303, 25219)  # no block of any zoom ends at its sides
+
+
+def _zooms_sql() -> str:
+    one = f"""SELECT {{z}} AS zoom, CAST(tile_col // {{cell}} AS BIGINT) AS gc, CAST(tile_row // {{cell}} AS BIGINT) AS gr, count(*) AS n
+  FROM changes WHERE tile_col BETWEEN {EDGE[0]} AND {EDGE[1]} AND tile_row BETWEEN {EDGE[2]} AND {EDGE[3]} GROUP BY 2, 3"""
+    return O.build(" UNION ALL ".join(one.format(z=z, cell=2 ** (16 - z)) for z in range(17)), "changes")
+
+
+@register("grid_zooms", _zooms_sql())
+def q_grid_zooms(spark, sf):
+    """A viewport that cuts blocks, at every zoom, from the pyramid."""
+    levels = S.served_pyramid(spark, sf)
+    out = [grid_from_pyramid(levels, EDGE, z).select(F.lit(z).alias("zoom"), "gc", "gr", "n") for z in range(17)]
+    return reduce(lambda a, b: a.unionByName(b), out)
 
 
 @register("grid_density", _grid_sql(64, density=True))
 def q_grid_density(spark, sf):
-    return R(Q.grid_density(Q.grid(S.changes(spark, sf), WORLD, 64)))
+    return R(Q.grid_density(grid_from_pyramid(S.served_pyramid(spark, sf), WORLD, 10)))
 
 
 @register("event_by_id", O.build(f"""
 SELECT event_id, tile_col, tile_row, to_date, change_type_tr, round(importance, 9) AS importance, episode_id
 FROM enriched WHERE event_id = {POINT_EVENT}""", "enriched"))
 def q_event_by_id(spark, sf):
-    e = Q.event_by_id(S.enriched(spark, sf), POINT_EVENT)
+    e = Q.event_by_id(S.served_changes(spark, sf), POINT_EVENT)
     return R(e.select("event_id", "tile_col", "tile_row", "to_date", "change_type_tr", "importance", "episode_id"))
 
 
@@ -143,7 +162,7 @@ def q_event_by_id(spark, sf):
 SELECT event_id, to_date, from_date, episode_id, episode_index, episode_count
 FROM enriched WHERE tile_col = {POINT_TILE[0]} AND tile_row = {POINT_TILE[1]}""", "enriched"))
 def q_tile_events(spark, sf):
-    t = Q.tile_events(S.enriched(spark, sf), *POINT_TILE)
+    t = Q.tile_events(S.served_changes(spark, sf), *POINT_TILE)
     return t.select("event_id", "to_date", "from_date", "episode_id", "episode_index", "episode_count")
 
 
@@ -167,8 +186,7 @@ FROM enriched WHERE tile_col BETWEEN {fx.viewports()[0][1]} AND {fx.viewports()[
 ORDER BY enriched.importance DESC, event_id LIMIT 4000""", "enriched"))
 def q_served_viewport(spark, sf):
     """One viewport asked of the stored table, where the tile range reaches the Parquet scan."""
-    served = stored(S.enriched(spark, sf), "changes", write_changes)
-    top = Q.viewport_features(served, fx.viewports()[0][1:], p=FIXTURE)
+    top = Q.viewport_features(S.served_changes(spark, sf), fx.viewports()[0][1:], p=FIXTURE)
     return R(top.select("event_id", "tile_col", "tile_row", "to_date", "change_type_tr", "importance", "episode_id"))
 
 

@@ -164,6 +164,21 @@ def q_event_images(spark, sf):
     return b.union(a).join(img, "image_path").select("event_id", "side", "image", F.length("data").alias("n_bytes"))
 
 
+@register("image_for_event", O.build(f"""
+SELECT c.event_id, s.side, n.image, CASE WHEN n.ext = 'png' THEN '89504E470D0A1A0A' ELSE 'FFD8FFE0' END || hex(encode(n.vec_id::VARCHAR)) AS data
+FROM changes c CROSS JOIN (VALUES ('before'), ('after')) s(side)
+JOIN snapnames n ON n.image_path = CASE s.side WHEN 'before' THEN c.before_image ELSE c.after_image END
+WHERE c.event_id = {POINT_EVENT}
+UNION ALL
+SELECT event_id, 'mask', 'masks/' || event_id || '.png', string_agg(CASE WHEN changed THEN '0000FF96' ELSE '0000FF00' END, '' ORDER BY k)
+FROM celldiff1 WHERE event_id = {POINT_EVENT} AND event_id IN (SELECT event_id FROM regions) GROUP BY event_id""", "changes", "snapnames", "celldiff1", "regions"))
+def q_image_for_event(spark, sf):
+    ch, images = S.served_changes(spark, sf), S.served_images(spark, sf)
+    masks = MK.mask_overlay(Q.event_by_id(ch, POINT_EVENT), _gray(spark, sf), MASK_P)
+    rows = [Q.image_for_event(ch, images, POINT_EVENT, side, masks) for side in ("before", "after", "mask")]
+    return rows[0].union(rows[1]).union(rows[2]).select("event_id", "side", "image", F.hex("data").alias("data"))
+
+
 # ---------------------------------------------------------------- embeddings
 
 @register("unique_images", O.build(f"""
@@ -742,6 +757,32 @@ def q_map_layer(spark, sf):
                          F.get_json_object("feature", "$.properties.count").cast("long").alias("n")), 7)
 
 
+FEATURE = {**EXPORTED, "hotspot_id": "long", "mask_image": "string", "ai_is_real": "boolean", "ai_change_type": "string", "ai_cause_tr": "string",
+           "ai_confidence": "double"}
+
+
+def _feature_sql() -> str:
+    of = {"hotspot_id": "t.hotspot_id", "mask_image": "CASE WHEN m.has_regions THEN 'masks/' || m.event_id || '.png' ELSE '' END",
+          **{c: f"v.{c}" for c in FEATURE if c.startswith("ai_")}}
+    cols = [f"round({of.get(c, 'm.' + c)}, 9) AS {c}" if FEATURE[c] == "double" else f"{of.get(c, 'm.' + c)} AS {c}" for c in Q.FEATURE_KEYS]
+    v = fx.viewports()[0]
+    return f"""SELECT 'features' AS layer, 'Feature' AS type, CASE WHEN m.has_regions THEN m.mask_type ELSE 'Polygon' END AS geometry_type, {", ".join(cols)}
+FROM masked m JOIN hs_of_tile t USING (tile_col, tile_row) LEFT JOIN verdicts v USING (event_id)
+WHERE m.tile_col BETWEEN {v[1]} AND {v[2]} AND m.tile_row BETWEEN {v[3]} AND {v[4]}
+ORDER BY m.importance DESC, m.event_id LIMIT 4000"""
+
+
+@register("map_layer_features", O.build(_feature_sql(), "masked", "hs_of_tile", "verdicts"))
+def q_map_layer_features(spark, sf):
+    """The map's features at a zoom that shows them, read back: all property keys."""
+    judged = VD.apply_verdicts(HS.hotspots(_masked(spark, sf), HOT_P), _verdicts(spark, sf))
+    rows = Q.map_layer(judged, fx.viewports()[0][1:], 16, p=FIXTURE)
+    f = F.col("feature")
+    props = F.from_json(F.get_json_object(f, "$.properties"), ", ".join(f"{c} {FEATURE[c]}" for c in Q.FEATURE_KEYS))
+    out = rows.select("layer", F.get_json_object(f, "$.type").alias("type"), F.get_json_object(f, "$.geometry.type").alias("geometry_type"), props.alias("p"))
+    return R(out.select("layer", "type", "geometry_type", "p.*"))
+
+
 @register("pipeline_end_to_end", O.build("""
 SELECT m.event_id, m.before_image, m.after_image, round(m.dino_similarity, 9) AS dino_similarity, m.land_cover_from, m.land_cover_to,
   m.change_type_tr, m.change_type_en, CASE WHEN m.has_regions THEN m.mask_type ELSE '' END AS mask_type,

@@ -17,6 +17,7 @@ from chronotile.operators.landcover import classify_changes, probe_from_means, s
 from chronotile.operators.noise import noise_filter
 from chronotile.operators.pairs import build_pairs
 from chronotile.params import FIXTURE, Params
+from chronotile.plans.store import served, write_changes, write_named
 from chronotile.sources import fixtures as fx
 
 # The fixture probe (per-label mean vectors) turns dot products into logits with this factor.
@@ -76,6 +77,34 @@ def enriched(spark: SparkSession, sf: str, p: Params = FIXTURE) -> DataFrame:
     return importance(episodes(c), p)
 
 
+def _tables(spark: SparkSession, sf: str) -> list[DataFrame]:
+    return [fx.table(spark, sf, t) for t in ("orders", "embeddings")]
+
+
+def served_changes(spark: SparkSession, sf: str) -> DataFrame:
+    """The stored changes of the map queries: masked and enriched, in Z-order."""
+    from chronotile.operators.mask import mask_changes
+
+    def build() -> DataFrame:
+        mask_p = FIXTURE.with_(cell_size=1, diff_threshold=60, min_area=4)
+        return mask_changes(enriched(spark, sf), fx.gray_images(spark, sf, snapshots(spark, sf)), mask_p)
+
+    return served(_tables(spark, sf), "changes", build, write_changes)
+
+
+def served_pyramid(spark: SparkSession, sf: str) -> DataFrame:
+    from chronotile.plans.pyramid import pyramid, write_pyramid
+
+    return served(_tables(spark, sf), "pyramid", lambda: pyramid(served_changes(spark, sf)), write_pyramid)
+
+
+def served_images(spark: SparkSession, sf: str) -> DataFrame:
+    def build() -> DataFrame:
+        return fx.snapshot_images(snapshots(spark, sf)).select("image", "data")
+
+    return served(_tables(spark, sf), "images", build, write_named)
+
+
 def rounded(df: DataFrame, digits: int = 9) -> DataFrame:
     """Round every double column for engine-independent comparison (float results differ in the last ulp
     between the JVM and C math libraries)."""

@@ -1,8 +1,9 @@
-"""The served changes table (S9): Parquet laid out for the map queries.
+"""Stored tables of the map layer (S9): Parquet laid out for viewports, points and ids.
 
-Rows are range-partitioned and sorted by (tile_col, tile_row), so each file and row group covers a narrow tile range;
-the viewport predicate (``between`` on both columns) is pushed into the Parquet reader and skips row groups by their
-min/max statistics. Each step writes a new versioned path (Spark cannot overwrite a path it is reading).
+Changes carry the Z-order key of their tile (``zkey``) and are range-partitioned and sorted by it, so a viewport is a few
+key ranges whose comparisons reach the Parquet scan and skip files and row groups by their statistics. Bloom filters on the
+event id, and on image names, let a lookup skip the row groups that cannot hold it. Each write takes a new path (Spark cannot
+overwrite a path it is reading), and within a session a table is written once for each state of its input files.
 """
 
 from __future__ import annotations
@@ -11,16 +12,27 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from chronotile.functions.zorder import z_key
 from chronotile.session import ensure_checkpoint_dir
 
-SORT = ["tile_col", "tile_row", "to_date", "event_id"]
+Z = "zkey"
+SORT = [Z, "to_date", "event_id"]
 
 
-def write_changes(changes: DataFrame, path: str, files: int | None = None) -> None:
+def write_changes(changes: DataFrame, path: str, files: int | None = None, group_bytes: int | None = None) -> None:
     n = files or max(1, int(changes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    (changes.repartitionByRange(n, "tile_col", "tile_row").sortWithinPartitions(*SORT)
-     .write.mode("overwrite").parquet(path))
+    out = changes.withColumn(Z, z_key("tile_col", "tile_row")).repartitionByRange(n, *SORT).sortWithinPartitions(*SORT).write.mode("overwrite")
+    if group_bytes:
+        out = out.option("parquet.block.size", group_bytes)
+    out.option("parquet.bloom.filter.enabled#event_id", "true").parquet(path)
+
+
+def write_named(images: DataFrame, path: str) -> None:
+    """Images or masks by name or id; sorted within files, so that their bloom filters and statistics are narrow."""
+    key = "image" if "image" in images.columns else "event_id"
+    images.sortWithinPartitions(key).write.mode("overwrite").option(f"parquet.bloom.filter.enabled#{key}", "true").parquet(path)
 
 
 def write_pairs(pairs: DataFrame, path: str) -> None:
@@ -40,5 +52,30 @@ def stored(df: DataFrame, name: str, write: Callable[[DataFrame, str], None]) ->
     return read_changes(df.sparkSession, path)
 
 
+_WRITTEN: dict[tuple, str] = {}
+
+
+def _state(inputs: list[DataFrame]) -> tuple:
+    """Files of the inputs with their size and time: a row for each file."""
+    m = F.col("_metadata")
+    seen = []
+    for i in inputs:
+        files = i.select(m.file_path.alias("p"), m.file_size.alias("s"), m.file_modification_time.alias("t")).groupBy("p", "s", "t").count()
+        seen.append(files.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("p", "s", "t", "count"))).first())
+    return tuple(map(tuple, seen))
+
+
+def served(inputs: list[DataFrame], name: str, build: Callable[[], DataFrame], write: Callable[[DataFrame, str], None]) -> DataFrame:
+    """The stored table ``name`` over the given input tables: built and written at first use, read afterwards, built anew when a
+    file of the inputs has changed."""
+    spark = inputs[0].sparkSession
+    key = (spark.sparkContext.applicationId, name, _state(inputs))
+    if key not in _WRITTEN:
+        path = fresh_path(spark, name)
+        write(build(), path)
+        _WRITTEN[key] = path
+    return read_changes(spark, _WRITTEN[key])
+
+
 def read_changes(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
