@@ -783,18 +783,35 @@ def q_map_layer_features(spark, sf):
     return R(out.select("layer", "type", "geometry_type", "p.*"))
 
 
-@register("pipeline_end_to_end", O.build("""
+PIPELINE_SQL = O.build("""
 SELECT m.event_id, m.before_image, m.after_image, round(m.dino_similarity, 9) AS dino_similarity, m.land_cover_from, m.land_cover_to,
   m.change_type_tr, m.change_type_en, CASE WHEN m.has_regions THEN m.mask_type ELSE '' END AS mask_type,
   'Polygon' AS geometry_type, round(m.centroid_lon, 9) AS centroid_lon, round(m.centroid_lat, 9) AS centroid_lat, m.episode_id,
   m.episode_index, m.episode_count, round(m.importance, 9) AS importance, t.hotspot_id
-FROM masked m JOIN hs_of_tile t USING (tile_col, tile_row)""", "masked", "hs_of_tile"))
-def q_pipeline(spark, sf):
-    from chronotile.plans.pipeline import run_pipeline
+FROM masked m JOIN hs_of_tile t USING (tile_col, tile_row)""", "masked", "hs_of_tile")
+
 
-    out = run_pipeline(spark, sf)
+def _end_to_end(out):
     return R(out.select("event_id", "before_image", "after_image", "dino_similarity", "land_cover_from", "land_cover_to", "change_type_tr",
                         "change_type_en", F.coalesce(F.get_json_object("geometry_mask", "$.type"), F.lit("")).alias("mask_type"),
                         F.get_json_object("geometry", "$.type").alias("geometry_type"), "centroid_lon", "centroid_lat", "episode_id",
                         "episode_index", "episode_count", "importance", "hotspot_id"))
 
+
+@register("pipeline_end_to_end", PIPELINE_SQL)
+def q_pipeline(spark, sf):
+    from chronotile.plans.pipeline import run_pipeline
+
+    return _end_to_end(run_pipeline(spark, sf))
+
+
+@register("pipeline_tables", PIPELINE_SQL)
+def q_pipeline_tables(spark, sf):
+    """The same over a folder of stored tables, as a user has them; the events lie there by id range."""
+    from chronotile.plans.pipeline import fixture_tables, read_tables, run_tables
+
+    folder, t = fresh_path(spark, "tables"), fixture_tables(spark, sf)
+    write_ranges(t.events, f"{folder}/events", "id", RANGE)
+    for name in ("snapshots", "embeddings", "probe", "rasters"):
+        getattr(t, name).write.parquet(f"{folder}/{name}.parquet")
+    return _end_to_end(run_tables(read_tables(spark, folder), MASK_P, logit_scale=S.PROBE_LOGIT_SCALE))
