@@ -37,6 +37,12 @@ def fresh(df: DataFrame, base: str) -> str:
     return name
 
 
+def others(df: DataFrame, *results: str) -> list[str]:
+    """Columns of ``df`` that do not have the name of a result."""
+    taken = {r.lower() for r in results}
+    return [c for c in df.columns if c.lower() not in taken]
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column; null counts as empty. offsets has one entry more than there are rows."""
     if isinstance(column, pa.ChunkedArray):

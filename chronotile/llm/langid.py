@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chronotile.llm.common import prepare, segment_sums, slices, utf8
+from chronotile.llm.common import others, prepare, segment_sums, slices, utf8
 from chronotile.llm.lattice import LONG_UNIT, arc_shares, arc_weights, cut_units, expected_uses, forward, sparse_forward
 from chronotile.llm.sentencepiece_codec import MODEL, Shared, held, rank_weights, share_vocabulary
 
@@ -114,9 +114,10 @@ def log_likelihoods(vocab, raw: np.ndarray, offsets: np.ndarray, probs: np.ndarr
 
 
 def predict(docs: DataFrame, model: dict, text: str = "text", lang_pred: str = "lang_pred", score: str = "score") -> DataFrame:
-    """Add the predicted language and its posterior. Only the text is read."""
+    """Add (or replace) the predicted language and its posterior. Only the text is read."""
     spark = prepare(docs.sparkSession)
-    names, langs, vocab_of = docs.columns, model["langs"], model["shared"]
+    names, langs, vocab_of = others(docs, lang_pred, score), model["langs"], model["shared"]
+    docs = docs.select(*names)
     probs = spark.sparkContext.broadcast(model["probs"])
     fields = [*docs.schema.fields, T.StructField(lang_pred, T.StringType()), T.StructField(score, T.DoubleType())]
     if not langs:

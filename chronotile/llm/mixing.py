@@ -147,15 +147,16 @@ def take(docs: DataFrame, weights=WEIGHTS, most: int = MOST, seed: int = SEED) -
     prepare(docs.sparkSession)
     nth, n = fresh(docs, "mix_nth"), fresh(docs, "mix_copies")
     chosen = mix(docs, weights, most, seed).where(F.col("copies") > 0)
-    by = Window.partitionBy("k_id", "k_source", "k_size").orderBy(F.desc("copies"))
-    chosen = chosen.select(F.col("doc_id").alias("k_id"), F.col("source").alias("k_source"), F.col("size").alias("k_size"), "copies")
-    chosen = chosen.withColumn("k_nth", F.row_number().over(by)).withColumnRenamed("copies", n)
+    k_id, k_source, k_size, k_nth = (fresh(docs, c) for c in ("k_id", "k_source", "k_size", "k_nth"))
+    by = Window.partitionBy("doc_id", "source", "size").orderBy(F.desc("copies"))
+    chosen = chosen.withColumn(k_nth, F.row_number().over(by)).select(
+        F.col("doc_id").alias(k_id), F.col("source").alias(k_source), F.col("size").alias(k_size), k_nth, F.col("copies").alias(n))
     size = F.regexp_count(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
     s = fresh(docs, "mix_size")
     rows = docs.withColumn(s, size)
     same = Window.partitionBy(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col(s)).orderBy(F.xxhash64("text"))
     rows = rows.withColumn(nth, F.row_number().over(same))
-    on = (F.col("doc_id").cast("long").eqNullSafe(F.col("k_id")) & F.col("source").cast("string").eqNullSafe(F.col("k_source"))
-          & (F.col(s) == F.col("k_size")) & (F.col(nth) == F.col("k_nth")))
+    on = (F.col("doc_id").cast("long").eqNullSafe(F.col(k_id)) & F.col("source").cast("string").eqNullSafe(F.col(k_source))
+          & (F.col(s) == F.col(k_size)) & (F.col(nth) == F.col(k_nth)))
     out = rows.join(chosen, on).withColumn(nth, F.explode(F.sequence(F.lit(1).cast("long"), F.col(n))))
     return out.select(*docs.columns)

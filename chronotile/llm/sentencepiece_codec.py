@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chronotile.llm.common import fresh, mix64, prepare, segment_sums, slices, unit_interval, utf8
+from chronotile.llm.common import fresh, mix64, others, prepare, segment_sums, slices, unit_interval, utf8
 from chronotile.llm.lattice import (
     LONG_UNIT, Vocabulary, arc_shares, arc_weights, cut_units, forward, load_pieces, sparse_forward, spelled_bytes, utf8_width,
 )
@@ -182,10 +182,11 @@ def _lists(ids: np.ndarray, offsets: np.ndarray, null: np.ndarray) -> pa.Array:
 
 def encode(docs: DataFrame, model: str = MODEL, seed: int = SEED, alpha: float = ALPHA, text: str = "text",
            key: str = "doc_id", pieces: str = "piece_ids", log_prob: str = "log_prob") -> DataFrame:
-    """Add the sampled pieces (array of int) and the log chance of that segmentation among all of its text."""
+    """Add (or replace) the sampled pieces (array of int) and the log chance of that segmentation among all of its text."""
     spark = prepare(docs.sparkSession)
+    names = others(docs, pieces, log_prob)
+    docs = docs.select(*names)
     shared, hashed = share_vocabulary(spark, model), fresh(docs, "row_key")
-    names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = held(shared)
@@ -201,6 +202,17 @@ def encode(docs: DataFrame, model: str = MODEL, seed: int = SEED, alpha: float =
     return keyed.mapInArrow(run, T.StructType(fields))
 
 
+def _id_slices(batches: Iterator[pa.RecordBatch], pieces: str, limit: int = CODEC_BYTES) -> Iterator[pa.RecordBatch]:
+    """Cut Arrow batches so that each slice holds at most ``limit`` ids, or one row."""
+    for b in batches:
+        upto = np.cumsum(b.column(pieces).value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+        start = 0
+        while start < b.num_rows:
+            stop = max(start + 1, int(np.searchsorted(upto, (upto[start - 1] if start else 0) + limit, side="right")))
+            yield b.slice(start, stop - start)
+            start = stop
+
+
 def decode(encoded: DataFrame, model: str = MODEL, pieces: str = "piece_ids", text: str = "text") -> DataFrame:
     """Add (or replace) the text that the pieces spell; null pieces give null."""
     spark = prepare(encoded.sparkSession)
@@ -209,7 +221,7 @@ def decode(encoded: DataFrame, model: str = MODEL, pieces: str = "piece_ids", te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = held(shared)
-        for b in batches:
+        for b in _id_slices(batches, pieces):
             col = b.column(pieces)
             flat = col.flatten().to_numpy(zero_copy_only=False)
             sizes = np.array(col.value_lengths().fill_null(0))

@@ -254,12 +254,12 @@ def keep_one(docs: DataFrame, words: int = WORDS, max_bits: int = MAX_BITS) -> D
     """One row of each component: that with the smallest id (of its rows with that id, one; which one is fixed by its
     fingerprint, and rows equal in both id and fingerprint count as repeats). All columns are kept."""
     prepare(docs.sparkSession)
-    mark, fp_col = fresh(docs, "kept_id"), fresh(docs, "fp_of_row")
+    mark, fp_col, kept_fp = fresh(docs, "kept_id"), fresh(docs, "fp_of_row"), fresh(docs, "kept_fp")
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     own = fingerprints(own, words).select("doc_id", "fp").checkpoint(eager=True)
     named = _by_fingerprint(own, max_bits)
     kept = named.groupBy("component").agg(F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "fp")).alias("k"))
-    kept = kept.select(F.col("k.rep").alias(mark), F.col("k.fp").alias("kept_fp"))
+    kept = kept.select(F.col("k.rep").alias(mark), F.col("k.fp").alias(kept_fp))
     rows = fingerprints(docs, words, out=fp_col)
-    out = rows.join(kept, (rows[fp_col] == kept["kept_fp"]) & rows["doc_id"].cast("long").eqNullSafe(kept[mark]), "inner")
-    return out.drop(mark, "kept_fp").dropDuplicates(["doc_id", fp_col]).select(*docs.columns)
+    out = rows.join(kept, (rows[fp_col] == kept[kept_fp]) & rows["doc_id"].cast("long").eqNullSafe(kept[mark]), "inner")
+    return out.drop(mark, kept_fp).dropDuplicates(["doc_id", fp_col]).select(*docs.columns)
