@@ -2,15 +2,18 @@
 
 Each stage takes what its predecessor kept, written as Parquet and read again; all but the last return the columns of
 ``documents``. Stages: toxic documents go; of each near-duplicate group the document with the smallest id stays; personal
-data is replaced by its kind; documents are dropped or repeated to meet the sources' target weights; texts are encoded.
+data is replaced by its kind; documents are dropped or repeated to meet the sources' target weights; texts are encoded, and decoded
+again to show that nothing is lost.
 """
 
 from __future__ import annotations
 
 import os
 import sys
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
@@ -38,7 +41,11 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return sentencepiece_codec.encode(docs.select("doc_id", "lang", "source", "text")).drop("text")
+    """Pieces of every text, and whether they spell it again."""
+    coded = sentencepiece_codec.encode(docs.select("doc_id", "lang", "source", "text"))
+    back = sentencepiece_codec.decode(coded, text="decoded")
+    return back.select("doc_id", "lang", "source", "piece_ids", "log_prob", F.sha2("decoded", 256).alias("decoded_sha256"),
+                       F.col("decoded").eqNullSafe(F.col("text")).alias("lossless"))
 
 
 STAGES = [
@@ -51,12 +58,12 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each result is a Parquet folder under the shared checkpoint folder."""
+    """All stages over ``documents``; each result is a Parquet folder of this run under the shared checkpoint folder."""
     prepare(spark)
-    base = spark.sparkContext.getCheckpointDir()
+    base = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        out = f"{base}/pipeline-{name}"
+        out = f"{base}-{name}"
         stage(spark, docs, sf_dir).write.mode("overwrite").parquet(out)
         docs = spark.read.parquet(out)
     return docs
