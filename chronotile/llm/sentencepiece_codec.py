@@ -202,7 +202,7 @@ def encode(docs: DataFrame, model: str = MODEL, seed: int = SEED, alpha: float =
     return keyed.mapInArrow(run, T.StructType(fields))
 
 
-def _id_slices(batches: Iterator[pa.RecordBatch], pieces: str, limit: int = CODEC_BYTES) -> Iterator[pa.RecordBatch]:
+def _id_slices(batches: Iterator[pa.RecordBatch], pieces: str, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that each slice holds at most ``limit`` ids, or one row."""
     for b in batches:
         upto = np.cumsum(b.column(pieces).value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
