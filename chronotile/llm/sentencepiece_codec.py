@@ -180,11 +180,26 @@ def _lists(ids: np.ndarray, offsets: np.ndarray, null: np.ndarray) -> pa.Array:
     )
 
 
+def _spelled(vocab, ids: np.ndarray, at: np.ndarray, raw: np.ndarray, off: np.ndarray, most: int = 1 << 18) -> tuple[list[str], list[bool]]:
+    """(SHA-256 of what each text's pieces spell, whether that is the text), decoded some texts at a time."""
+    digests, same, start = [], [], 0
+    while start < len(at) - 1:
+        stop = max(start + 1, int(np.searchsorted(at, at[start] + most, side="right")) - 1)
+        data, ends = decode_ids(vocab, ids[at[start]:at[stop]], at[start:stop + 1] - at[start])
+        for k, i, j in zip(range(start, stop), ends[:-1], ends[1:]):
+            digests.append(hashlib.sha256(data[i:j]).hexdigest())
+            same.append(bytes(data[i:j]) == raw[off[k]:off[k + 1]].tobytes())
+        start = stop
+    return digests, same
+
+
 def encode(docs: DataFrame, model: str = MODEL, seed: int = SEED, alpha: float = ALPHA, text: str = "text",
-           key: str = "doc_id", pieces: str = "piece_ids", log_prob: str = "log_prob") -> DataFrame:
-    """Add (or replace) the sampled pieces (array of int) and the log chance of that segmentation among all of its text."""
+           key: str = "doc_id", pieces: str = "piece_ids", log_prob: str = "log_prob", verify: bool = False) -> DataFrame:
+    """Add (or replace) the sampled pieces (array of int) and the log chance of that segmentation among all of its text. With
+    ``verify`` the pieces are decoded in the same pass: decoded_sha256 and lossless, whether they spell the text."""
     spark = prepare(docs.sparkSession)
-    names = others(docs, pieces, log_prob)
+    checks = ["decoded_sha256", "lossless"] if verify else []
+    names = others(docs, pieces, log_prob, *checks)
     docs = docs.select(*names)
     shared, hashed = share_vocabulary(spark, model), fresh(docs, "row_key")
 
@@ -195,10 +210,14 @@ def encode(docs: DataFrame, model: str = MODEL, seed: int = SEED, alpha: float =
             ids, at, logs = sample_slice(vocab, raw, off, b.column(hashed).to_numpy(zero_copy_only=False), seed, alpha)
             null = np.asarray(b.column(text).is_null())
             cols = [b.column(c) for c in names] + [_lists(ids, at, null), pa.array(logs, mask=null)]
-            yield pa.RecordBatch.from_arrays(cols, names=[*names, pieces, log_prob])
+            if verify:
+                digests, same = _spelled(vocab, ids, at, raw, off)
+                cols += [pa.array(digests, pa.string(), mask=null), pa.array(same, pa.bool_())]
+            yield pa.RecordBatch.from_arrays(cols, names=[*names, pieces, log_prob, *checks])
 
     keyed = docs.withColumn(hashed, F.xxhash64(F.col(key)))
     fields = [*docs.schema.fields, T.StructField(pieces, T.ArrayType(T.IntegerType())), T.StructField(log_prob, T.DoubleType())]
+    fields += [T.StructField(c, t) for c, t in zip(checks, (T.StringType(), T.BooleanType()))]
     return keyed.mapInArrow(run, T.StructType(fields))
 
 
