@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from chronotile.functions.images import basename
 from chronotile.functions.vectors import cosine_fast
+from chronotile.operators.selection import exact_median
 
 
 def unique_images(pairs: DataFrame) -> DataFrame:
@@ -89,29 +90,14 @@ def pair_similarity(pairs: DataFrame, embeddings: DataFrame) -> DataFrame:
     return j.withColumn("dino_similarity", cosine_fast("_vb", "_va")).drop("_a", "_b", "_va", "_vb")
 
 
-def exact_median(values: DataFrame, col: str) -> DataFrame:
-    """Exact median of a numeric column without holding the column in one buffer: running counts over the distinct
-    values (equal values are one row), then the one or two middle values. One row: ``median``."""
-    from chronotile.operators.numbering import prefix_scan
-
-    v = values.select(F.col(col).alias("_v")).where(F.col("_v").isNotNull())
-    per = prefix_scan(v.groupBy("_v").agg(F.count(F.lit(1)).alias("_n")), ["_v"], sums={"_upto": F.col("_n")})
-    n = v.select(F.count(F.lit(1))).scalar()
-    held = lambda rank: F.max(F.when((F.col("_upto") >= rank) & (F.col("_upto") - F.col("_n") < rank), F.col("_v")))
-    lo, hi = F.floor((n + 1) / 2), F.floor(n / 2) + 1
-    return per.agg(((held(lo) + held(hi)) / 2).alias("median"))
-
-
 def similarity_stats(pairs: DataFrame, threshold: float) -> DataFrame:
-    """Mean, exact median and share below the threshold of non-null similarities (one row)."""
+    """Mean, exact median and share below the threshold of non-null similarities (one row; nulls when there is none)."""
     s = F.col("dino_similarity")
-    # the narrow column is read by three jobs (count, median, moments): materialise it once
+    # the narrow column is read by every pass of the selection and by the moments: materialise it once
     valid = pairs.where(s.isNotNull()).select("dino_similarity").checkpoint(eager=True)
-    stats = valid.agg(
+    return valid.agg(
         F.count(F.lit(1)).alias("n"),
         F.avg(s).alias("mean_similarity"),
+        F.lit(exact_median(valid, "dino_similarity")).cast("double").alias("median_similarity"),
         F.avg((s < threshold).cast("double")).alias("share_below"),
     )
-    med = exact_median(valid, "dino_similarity").select(F.col("median").alias("median_similarity"))
-    # the median is a one-row aggregate, attached as a scalar subquery
-    return stats.select("n", "mean_similarity", med.scalar().alias("median_similarity"), "share_below")

@@ -1,4 +1,4 @@
-"""Land-cover probe and change types.
+"""Land-cover scores and change types (X10, P20-P22, P36, J4); ``probe`` trains the probe.
 
 The probe is a linear head over stored image vectors. Its weights are bounded by
 ``classes x dim`` (10 x 64 here, 10 x 768 for large models), so they travel as literals inside the
@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 
 from chronotile.functions.images import basename
 from chronotile.params import Params
-from chronotile.sources.fixtures import LABELS
 
 # Land-cover label -> broad group.
 GROUP = {
@@ -104,40 +103,6 @@ def probe_from_means(labelled: DataFrame, dim: int | None = None, decimals: int
     return agg.select("label", "label_name", F.array(*[F.col(f"w{i}") for i in range(dim)]).alias("weights"))
 
 
-def train_probe(labelled: DataFrame, p: Params, features: str = "embedding"):
-    """Multinomial logistic regression on frozen vectors (pyspark.ml, L-BFGS, deterministic)."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.functions import array_to_vector
-
-    data = labelled.select(array_to_vector(F.col(features)).alias("features"), F.col("label").cast("double").alias("label"))
-    lr = LogisticRegression(family="multinomial", maxIter=p.probe_max_iter, regParam=0.0)
-    return lr.fit(data)
-
-
-def probe_weights(model, scale: float = 1.0) -> DataFrame:
-    """Weights table from a trained pyspark.ml model: label, label_name, weights, bias."""
-    from pyspark.sql import SparkSession
-
-    spark = SparkSession.getActiveSession()
-    mat = model.coefficientMatrix.toArray()
-    bias = model.interceptVector.toArray()
-    rows = [(i, LABELS[i] if i < len(LABELS) else str(i), [float(x) * scale for x in mat[i]], float(bias[i]) * scale)
-            for i in range(mat.shape[0])]
-    return spark.createDataFrame(rows, "label int, label_name string, weights array<double>, bias double")
-
-
-def probe_accuracy(model, labelled: DataFrame, features: str = "embedding") -> DataFrame:
-    """Accuracy of the probe on a labelled set (one row)."""
-    from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-    from pyspark.ml.functions import array_to_vector
-
-    data = labelled.select(array_to_vector(F.col(features)).alias("features"), F.col("label").cast("double").alias("label"))
-    pred = model.transform(data)
-    acc = MulticlassClassificationEvaluator(metricName="accuracy").evaluate(pred)
-    spark = labelled.sparkSession
-    return spark.createDataFrame([(float(acc), int(data.count()))], "accuracy double, n long")
-
-
 def score_images(vectors: DataFrame, probe: DataFrame, p: Params, logit_scale: float = 1.0,
                  vector_col: str = "embedding") -> DataFrame:
     """Softmax over ``logit_scale * (w . v + b)``; argmax (first index wins ties); below the confidence floor

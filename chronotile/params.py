@@ -30,7 +30,8 @@ class Params:
     k_default: int = 6
     max_features: int = 4000
     hard_limit: int = 20000
-    probe_max_iter: int = 100
+    probe_steps: int = 100
+    probe_rate: float = 4.0
 
     def with_(self, **kw) -> Params:
         return replace(self, **kw)

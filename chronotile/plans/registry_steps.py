@@ -12,6 +12,7 @@ from chronotile.operators import hotspots as HS
 from chronotile.operators import landcover as LC
 from chronotile.operators import mask as MK
 from chronotile.operators import pairs as PR
+from chronotile.operators import probe as PB
 from chronotile.operators import vectors as VC
 from chronotile.operators import verdicts as VD
 from chronotile.operators.episodes import episodes
@@ -291,17 +292,58 @@ def q_group_names(spark, sf):
     return S.classified(spark, sf).select("event_id", name("land_cover_from").alias("from_group"), name("land_cover_to").alias("to_group"))
 
 
-@register("train_probe")
+PROBE_P = FIXTURE.with_(probe_steps=20, probe_rate=8.0)
+TEST_SQL = "substr(md5(vec_id::VARCHAR), 1, 1) < '4'"
+
+
+def _probe_ctes() -> str:
+    """One table of weights for each step, from zero; ``px`` are the labelled vectors with a last component of 1."""
+    names = ", ".join(f"({i}, '{n}')" for i, n in enumerate(fx.LABELS))
+    whole = lambda v: f"CAST(floor(({v}) * 1048576 + 0.5) AS BIGINT)"
+    O.cte("px", [], f"""
+  SELECT e.vec_id, e.label, n.label_name, {TEST_SQL} AS test, list_append(list_transform(e.embedding, lambda v: v::DOUBLE), 1.0::DOUBLE) AS x
+  FROM embeddings e JOIN (VALUES {names}) n(label, label_name) USING (label) WHERE len(e.embedding) > 0""")
+    O.cte("pt", ["px"], "SELECT * FROM px WHERE NOT test")
+    O.cte("pw0", ["pt"], """
+  SELECT label, min(label_name) AS label_name, list_transform(range(max(len(x))), lambda i: 0.0::DOUBLE) AS w, sum(count(*)) OVER () AS n
+  FROM pt GROUP BY label""")
+    for k in range(PROBE_P.probe_steps):
+        O.cte(f"pw{k + 1}", [f"pw{k}", "pt"], f"""
+  SELECT w.label, w.label_name, list_transform(list_zip(w.w, g.g), lambda a: a[1] - {PROBE_P.probe_rate}::DOUBLE * (a[2]::DOUBLE / 1099511627776.0::DOUBLE / w.n::DOUBLE)) AS w, w.n
+  FROM pw{k} w JOIN (
+    SELECT label, list(s ORDER BY j) AS g FROM (
+      SELECT label, j, sum(miss * {whole('v')}) AS s FROM (
+        SELECT label, {whole('p / sum(p) OVER (PARTITION BY vec_id) - hit')} AS miss, unnest(x) AS v, generate_subscripts(x, 1) AS j FROM (
+          SELECT vec_id, label, hit, x, exp(z - max(z) OVER (PARTITION BY vec_id)) AS p FROM (
+            SELECT t.vec_id, w.label, CASE WHEN t.label = w.label THEN 1.0 ELSE 0.0 END::DOUBLE AS hit, t.x, list_dot_product(t.x, w.w) AS z
+            FROM pt t CROSS JOIN pw{k} w))) GROUP BY label, j) GROUP BY label) g USING (label)""", head=f"pw{k + 1}")
+    return f"pw{PROBE_P.probe_steps}"
+
+
+PROBE = _probe_ctes()
+
+
+def _trained(spark, sf):
+    rows = fx.labelled_vectors(spark, sf)
+    return PB.train_probe(rows.where(~PB.held_out("vec_id")), PROBE_P)
+
+
+@register("train_probe", O.build(f"""
+SELECT label, label_name, unnest(range(len(w))) AS position, round(unnest(w), 6) + 0.0 AS weight FROM {PROBE}""", PROBE))
 def q_train_probe(spark, sf):
-    model = LC.train_probe(fx.labelled_vectors(spark, sf), FIXTURE.with_(probe_max_iter=50))
-    return LC.probe_weights(model).select("label", "label_name", F.size("weights").alias("dim"), "bias")
+    """Every weight of the probe trained on three quarters of the labelled vectors; the last position is the bias."""
+    cells = F.posexplode(F.concat("weights", F.array("bias"))).alias("position", "weight")
+    return _trained(spark, sf).select("label", "label_name", cells).withColumn("weight", F.round("weight", 6) + 0.0)
 
 
-@register("probe_accuracy")
+@register("probe_accuracy", O.build(f"""
+SELECT count(*) FILTER (WHERE NOT test) AS train_rows, round(avg(hit) FILTER (WHERE NOT test), 9) AS train_accuracy,
+  count(*) FILTER (WHERE test) AS test_rows, round(avg(hit) FILTER (WHERE test), 9) AS test_accuracy
+FROM (SELECT px.vec_id, any_value(px.test) AS test,
+    CASE WHEN any_value(px.label) = first(w.label ORDER BY list_dot_product(px.x, w.w) DESC, w.label) THEN 1.0 ELSE 0.0 END AS hit
+  FROM px CROSS JOIN {PROBE} w GROUP BY px.vec_id)""", PROBE, "px"))
 def q_probe_accuracy(spark, sf):
-    lab = fx.labelled_vectors(spark, sf)
-    model = LC.train_probe(lab, FIXTURE.with_(probe_max_iter=50))
-    return LC.probe_accuracy(model, lab)
+    return R(PB.probe_accuracy(fx.labelled_vectors(spark, sf), _trained(spark, sf), PB.held_out("vec_id")))
 
 
 # ---------------------------------------------------------------- enrich
