@@ -25,6 +25,7 @@ from chronotile.operators.raster import gray_images
 from chronotile.operators.verdicts import apply_verdicts, drop_ai_false, parse_verdicts
 from chronotile.params import FIXTURE, Params
 from chronotile.plans import stages as S
+from chronotile.plans.metrics import StepMetrics, change_counts, enriched_counts
 from chronotile.sources import fixtures as fx
 from chronotile.sources.events import scan_change_events, validate_source
 from chronotile.sources.ranged import MANIFEST, read_ranges
@@ -73,8 +74,10 @@ def read_tables(spark: SparkSession, folder: str) -> Tables:
     return Tables(**{**found, "events": scan_change_events(found["events"])})
 
 
-def run_tables(t: Tables, p: Params, skip: Iterable[str] = (), logit_scale: float = 1.0) -> DataFrame:
-    """The enriched changes of the given tables. A step that lacks its table must be in ``skip``."""
+def run_tables(t: Tables, p: Params, skip: Iterable[str] = (), logit_scale: float = 1.0,
+               metrics: StepMetrics | None = None) -> DataFrame:
+    """The enriched changes of the given tables. A step that lacks its table must be in ``skip``. ``metrics`` observes the steps;
+    its values are complete once the result has been written."""
     skip = set(skip)
     unknown = skip - set(STEPS)
     if unknown:
@@ -82,17 +85,26 @@ def run_tables(t: Tables, p: Params, skip: Iterable[str] = (), logit_scale: floa
     for step, table in (("classify", t.probe), ("mask", t.rasters)):
         if step not in skip and table is None:
             raise ValueError(f"no table for the step {step}")
-    changes = noise_filter(pair_similarity(build_pairs(t.events, t.snapshots), t.embeddings), p)
+    pairs = build_pairs(t.events, t.snapshots)
+    if metrics:
+        pairs = metrics.observe("pairs", pairs, pairs=F.count(F.lit(1)))
+    changes = noise_filter(pair_similarity(pairs, t.embeddings), p)
     if "classify" not in skip:
         changes = classify_changes(changes, score_images(t.embeddings, t.probe, p, logit_scale=logit_scale))
     if "mask" not in skip:
+        # masks are joined back to the changes that they are made from: without a cut both joins and the scores run twice
+        changes = changes.checkpoint(eager=True)
         changes = mask_changes(changes, gray_images(t.rasters), p)
     if t.answers is not None:
         changes = apply_verdicts(changes, parse_verdicts(t.answers.select("event_id", F.col("text").cast("string").alias("text"))))
+    if metrics:
+        changes = metrics.observe("changes", changes, **change_counts(changes))
     if "enrich" not in skip:
         # the enrich input is reused by episodes, importance and hotspots: cut the lineage once
         base = S.with_tile_geometry(changes, p.zoom).checkpoint(eager=True)
         changes = hotspots(importance(episodes(base), p), p)
+        if metrics:
+            changes = metrics.observe("enriched", changes, **enriched_counts())
         if p.drop_ai_false and "ai_is_real" in changes.columns:
             changes = drop_ai_false(changes)
     return changes

@@ -3,6 +3,8 @@ vectors, exports). Imported by ``registry``; shares its dictionaries."""
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from chronotile.functions import geo
@@ -24,11 +26,12 @@ from chronotile.plans import export as EX
 from chronotile.plans import oracle as O
 from chronotile.plans import queries as Q
 from chronotile.plans import stages as S
-from chronotile.plans.registry import POINT_EVENT, register
+from chronotile.plans.registry import ORACLE, POINT_EVENT, register
 from chronotile.plans.store import fresh_path, stored, write_pairs
 from chronotile.sources import events as SE
 from chronotile.sources import fixtures as fx
 from chronotile.sources.ranged import read_ranges, write_ranges
+from chronotile.sources.versioned import VersionedTable
 
 R = S.rounded
 MASK_P = FIXTURE.with_(cell_size=1, diff_threshold=60, min_area=4)
@@ -39,6 +42,15 @@ K = 6
 REF_TILE = (37600, 24400)
 
 
+def millionths(vector: str):
+    """A digest of the vector's components in whole millionths."""
+    return F.md5(F.array_join(F.transform(vector, lambda x: F.floor(x.cast("double") * 1000000.0).cast("string")), ","))
+
+
+def millionths_sql(vector: str) -> str:
+    return f"md5(array_to_string(list_transform({vector}, lambda x: CAST(floor(x::DOUBLE * 1000000.0::DOUBLE) AS BIGINT)::VARCHAR), ','))"
+
+
 def _snap_images(spark, sf):
     return fx.snapshot_images(S.snapshots(spark, sf))
 
@@ -198,15 +210,20 @@ def q_images_to_embed(spark, sf):
 
 
 @register("embedding_cache_append", O.build(f"""
-SELECT DISTINCT n.image, 64 AS dim FROM snapnames n WHERE n.vec_id % 10 < 8
-UNION
-SELECT DISTINCT {O.basename('x')}, 64 FROM (SELECT before_image AS x FROM pairs UNION ALL SELECT after_image FROM pairs)
-WHERE x <> ''""", "pairs", "snapnames"))
+WITH used AS (SELECT DISTINCT {O.basename('x')} AS image FROM (SELECT before_image AS x FROM pairs UNION ALL SELECT after_image FROM pairs) WHERE x <> '')
+SELECT i.image, 'fixture' AS model, len(any_value(i.embedding)) AS dim, {millionths_sql('any_value(i.embedding)')} AS millionths,
+  CAST(CASE WHEN any_value(n.vec_id) % 10 < 8 THEN 1 ELSE 2 END AS INT) AS written_by
+FROM imgvec i JOIN snapnames n USING (image) LEFT JOIN used u USING (image)
+WHERE n.vec_id % 10 < 8 OR u.image IS NOT NULL GROUP BY i.image""", "pairs", "snapnames", "imgvec"))
 def q_cache_append(spark, sf):
-    cache = _cached(spark, sf)
-    todo = EM.images_to_embed(EM.unique_images(S.pairs(spark, sf)), cache)
-    new = todo.join(S.image_vectors(spark, sf), "image").select("image", "embedding", "dim")
-    return EM.embedding_cache_append(cache, new).select("image", "dim").distinct()
+    """A stored cache of vectors by image and model: the second write adds the images that it lacks, a third, of the same, nothing."""
+    cache = VersionedTable(spark, fresh_path(spark, "cache"), ["image", "model"])
+    by = lambda rows, n: rows.select("image", F.lit("fixture").alias("model"), "embedding", "dim", F.lit(n).alias("written_by"))
+    cache.append_new(by(_cached(spark, sf), 1), ("embed", 0))
+    wanted = EM.unique_images(S.pairs(spark, sf)).join(S.image_vectors(spark, sf), "image")
+    cache.append_new(by(wanted, 2), ("embed", 1))
+    cache.append_new(by(wanted, 3), ("embed", 2))
+    return cache.read().select("image", "model", "dim", millionths("embedding").alias("millionths"), "written_by")
 
 
 @register("embed_images", O.build(f"""
@@ -649,12 +666,15 @@ def _vectors(spark, sf):
 
 
 @register("vector_table", O.build(f"""
-SELECT m.event_id, len(v.embedding) AS dim, m.tile_col, m.tile_row, round(m.importance, 9) AS importance, m.episode_id,
-  m.has_regions AS has_mask
+SELECT m.event_id, len(v.embedding) AS dim, {millionths_sql('v.embedding')} AS millionths, m.tile_col, m.tile_row, round(m.importance, 9) AS importance,
+  m.episode_id, m.has_regions AS has_mask
 FROM masked m JOIN imgvec v ON v.image = CASE WHEN m.after_image <> '' THEN {O.basename('m.after_image')} END""", "masked", "imgvec"))
 def q_vector_table(spark, sf):
-    return R(_vectors(spark, sf).select("event_id", F.size("vector").alias("dim"), "tile_col", "tile_row", "importance",
-                                         "episode_id", "has_mask"))
+    """The stored table, replaced as a whole; nothing to write would raise."""
+    table = VersionedTable(spark, fresh_path(spark, "vectors"), ["event_id"])
+    table.replace(_vectors(spark, sf))
+    return R(table.read().select("event_id", F.size("vector").alias("dim"), millionths("vector").alias("millionths"), "tile_col", "tile_row",
+                                 "importance", "episode_id", "has_mask"))
 
 
 def _vt_sql() -> str:
@@ -783,6 +803,19 @@ SELECT (SELECT count(*) FROM pairs) AS pairs, count(*) AS changes,
   round(count(*) FILTER (WHERE land_cover_from <> '' AND land_cover_to <> '')::DOUBLE / greatest(count(*), 1), 9) AS labelled_share
 FROM masked JOIN hs_of_tile t USING (tile_col, tile_row) LEFT JOIN verdicts v USING (event_id)""", "masked", "pairs", "hs_of_tile", "verdicts"))
 def q_step_metrics(spark, sf):
+    """Observed while the pipeline's result is written; no step runs again to be counted."""
+    from chronotile.plans.metrics import StepMetrics
+    from chronotile.plans.pipeline import fixture_tables, run_tables
+
+    seen, t = StepMetrics(), fixture_tables(spark, sf)
+    out = run_tables(replace(t, answers=fx.model_answers(S.changes(spark, sf))), MASK_P, logit_scale=S.PROBE_LOGIT_SCALE, metrics=seen)
+    write_pairs(out, fresh_path(spark, "enriched"))
+    return R(seen.report(spark))
+
+
+@register("step_counts", ORACLE["step_metrics"])
+def q_step_counts(spark, sf):
+    """The same counts from the tables of the steps."""
     judged = VD.apply_verdicts(HS.hotspots(_masked(spark, sf), HOT_P), _verdicts(spark, sf))
     return R(EX.step_metrics(S.pairs(spark, sf), judged))
 

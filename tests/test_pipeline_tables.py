@@ -7,6 +7,7 @@ import tempfile
 import pytest
 
 from chronotile.params import DEFAULT
+from chronotile.plans.metrics import REPORT, StepMetrics
 from chronotile.plans.pipeline import Tables, read_tables, run_tables
 from chronotile.sources.ranged import write_ranges
 
@@ -65,6 +66,19 @@ def test_skipped_steps_need_no_tables(spark, folder):
     assert none.count() == 0 and {"hotspot_id", "geometry_mask", "ai_is_real"} <= set(none.columns)
 
 
+def test_metrics_of_one_run(spark, folder, tmp_path):
+    t, seen = read_tables(spark, folder), StepMetrics()
+    run_tables(t, DEFAULT, metrics=seen).write.parquet(str(tmp_path / "out"))
+    report = seen.report(spark)
+    assert list(report.first()) == [3, 2, 2, 2, 2, 2, 0, 1.0] and report.columns == [*REPORT, "labelled_share"]
+    seen = StepMetrics()
+    run_tables(Tables(t.events, t.snapshots, t.embeddings), DEFAULT, skip=("classify", "mask", "enrich"), metrics=seen).write.parquet(str(tmp_path / "bare"))
+    assert list(seen.report(spark).first()) == [3, 2, 0, 0, 0, 0, 0, 0.0]
+    none, seen = Tables(t.events.limit(0), t.snapshots, t.embeddings, t.probe, t.rasters), StepMetrics()
+    run_tables(none, DEFAULT, metrics=seen).write.parquet(str(tmp_path / "none"))
+    assert list(seen.report(spark).first()) == [0] * 7 + [0.0]
+
+
 def test_missing_tables_and_columns(spark, folder):
     with pytest.raises(ValueError, match="snapshots"):
         read_tables(spark, os.path.join(folder, "events.parquet"))
