@@ -345,6 +345,18 @@ def _trained(spark, sf):
     return PB.train_probe(rows.where(~PB.held_out("vec_id")), PROBE_P)
 
 
+@register("colocated_steps", O.build("""
+SELECT c.event_id, round(c.dino_similarity, 9) AS dino_similarity, c.land_cover_from, c.land_cover_to, c.change_type_tr, len(v.embedding) AS dim
+FROM classified c LEFT JOIN imgvec v ON v.image = CASE WHEN c.after_image <> '' THEN """ + O.basename("c.after_image") + " END", "classified", "imgvec"))
+def q_colocated_steps(spark, sf):
+    """Similarity, land cover and vectors of the changes, all from one image table in buckets of the image name."""
+    images = S.image_table(spark, sf)
+    near = noise_filter(EM.pair_similarity(S.pairs(spark, sf), images), FIXTURE)
+    out = LC.classify_changes(near, images).checkpoint(eager=True)
+    dims = VC.vector_table(out, images).select("event_id", F.size("vector").alias("dim"))
+    return R(out.join(dims, "event_id", "left").select("event_id", "dino_similarity", "land_cover_from", "land_cover_to", "change_type_tr", "dim"))
+
+
 @register("train_probe", O.build(f"""
 SELECT label, label_name, unnest(range(len(w))) AS position, round(unnest(w), 6) + 0.0 AS weight FROM {PROBE}""", PROBE))
 def q_train_probe(spark, sf):

@@ -17,7 +17,7 @@ from chronotile.operators.landcover import classify_changes, probe_from_means, s
 from chronotile.operators.noise import noise_filter
 from chronotile.operators.pairs import build_pairs
 from chronotile.params import FIXTURE, Params
-from chronotile.plans.store import served, write_changes, write_named
+from chronotile.plans.store import bucketed, served, write_changes, write_named
 from chronotile.sources import fixtures as fx
 
 # The fixture probe (per-label mean vectors) turns dot products into logits with this factor.
@@ -57,6 +57,14 @@ def image_scores(spark: SparkSession, sf: str, p: Params = FIXTURE) -> DataFrame
     return score_images(image_vectors(spark, sf), probe(spark, sf), p, logit_scale=PROBE_LOGIT_SCALE)
 
 
+def image_table(spark: SparkSession, sf: str, p: Params = FIXTURE) -> DataFrame:
+    """Every image once with its vector and land cover, in buckets of the image name: the stored side of the similarity, land-cover
+    and vector joins."""
+    vectors = image_vectors(spark, sf).select("image", "embedding").checkpoint(eager=True)
+    scores = score_images(vectors, probe(spark, sf), p, logit_scale=PROBE_LOGIT_SCALE)
+    return bucketed(vectors.join(scores, "image"), "images", "image")
+
+
 def classified(spark: SparkSession, sf: str, p: Params = FIXTURE) -> DataFrame:
     return classify_changes(changes(spark, sf, p), image_scores(spark, sf, p))
 

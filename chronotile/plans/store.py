@@ -52,6 +52,17 @@ def stored(df: DataFrame, name: str, write: Callable[[DataFrame, str], None]) ->
     return read_changes(df.sparkSession, path)
 
 
+def bucketed(rows: DataFrame, name: str, key: str, buckets: int | None = None) -> DataFrame:
+    """Write a table in buckets of ``key`` (one file each, sorted) and read it back: joins on the key take it as it lies, without an
+    exchange or a sort of its side. For keys that hardly repeat, such as image names: a hot key would be one file."""
+    spark = rows.sparkSession
+    n = buckets or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    table = f"chronotile_{name}_{uuid.uuid4().hex}"
+    out = rows.repartition(n, key).write.format("parquet").bucketBy(n, key).sortBy(key)
+    out.option("path", fresh_path(spark, name)).saveAsTable(table)
+    return spark.table(table)
+
+
 _WRITTEN: dict[tuple, str] = {}
 
 
