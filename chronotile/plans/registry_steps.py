@@ -737,15 +737,36 @@ def q_similar_batch(spark, sf):
 
 # ---------------------------------------------------------------- exports and metrics
 
-@register("export_geojson_features", O.build("""
-SELECT event_id, CASE WHEN has_regions THEN mask_type ELSE 'Polygon' END AS geometry_type,
-  round(importance, 9) AS importance, NULL::BOOLEAN AS ai_is_real FROM masked""", "masked"))
+def _corners_sql() -> str:
+    """West, south, east and north of the first box that is exported: of the first region, else of the tile."""
+    side = lambda name, box, tile: f"round(CASE WHEN m.has_regions THEN {box} ELSE {tile} END, 7) AS {name}"
+    lon, lat = O.col_to_lon, O.row_to_lat
+    return ", ".join([side("west", lon("r.tile_col + r.x0::DOUBLE / r.cells_x"), lon("m.tile_col")),
+                      side("south", lat("r.tile_row + r.y1::DOUBLE / r.cells_y"), lat("m.tile_row + 1")),
+                      side("east", lon("r.tile_col + r.x1::DOUBLE / r.cells_x"), lon("m.tile_col + 1")),
+                      side("north", lat("r.tile_row + r.y0::DOUBLE / r.cells_y"), lat("m.tile_row"))])
+
+
+def _corners(coordinates):
+    """The same from the text of a geometry's coordinates: points 0 and 2 of the first ring are its opposite corners."""
+    numbers = F.regexp_extract_all(coordinates, F.lit(r"(-?[0-9][0-9.eE+-]*)"))
+    return [F.round(numbers[i].cast("double"), 7).alias(c) for i, c in ((0, "west"), (1, "south"), (4, "east"), (5, "north"))]
+
+
+EXPORT_SQL = "FROM masked m LEFT JOIN regions r ON r.event_id = m.event_id AND r.region_index = 0"
+
+
+@register("export_geojson_features", O.build(f"""
+SELECT m.event_id, CASE WHEN has_regions THEN mask_type ELSE 'Polygon' END AS geometry_type, {_corners_sql()},
+  round(importance, 9) AS importance, NULL::BOOLEAN AS ai_is_real {EXPORT_SQL}""", "masked", "regions"))
 def q_export_geojson(spark, sf):
-    rows = EX.feature_rows(_masked(spark, sf))
-    f = F.col("feature")
-    return R(rows.select("event_id", F.get_json_object(f, "$.geometry.type").alias("geometry_type"),
-                         F.get_json_object(f, "$.properties.importance").cast("double").alias("importance"),
-                         F.get_json_object(f, "$.properties.ai_is_real").cast("boolean").alias("ai_is_real")))
+    """FeatureCollections written by the sink and read back."""
+    path, f = fresh_path(spark, "geojson"), F.col("feature")
+    EX.write_geojson(_masked(spark, sf), path)
+    return R(EX.read_features(spark, path).select(
+        F.get_json_object(f, "$.properties.event_id").cast("long").alias("event_id"), F.get_json_object(f, "$.geometry.type").alias("geometry_type"),
+        *_corners(F.get_json_object(f, "$.geometry.coordinates")), F.get_json_object(f, "$.properties.importance").cast("double").alias("importance"),
+        F.get_json_object(f, "$.properties.ai_is_real").cast("boolean").alias("ai_is_real")))
 
 
 EXPORTED = {
@@ -759,30 +780,33 @@ EXPORTED = {
 
 
 @register("export_ndjson", O.build(f"""
-SELECT 'Feature' AS type, CASE WHEN m.has_regions THEN m.mask_type ELSE 'Polygon' END AS geometry_type,
-  round(CASE WHEN m.has_regions THEN {O.col_to_lon('r.tile_col + r.x0::DOUBLE / r.cells_x')} ELSE {O.col_to_lon('m.tile_col')} END, 7) AS west,
-  round(CASE WHEN m.has_regions THEN {O.row_to_lat('r.tile_row + r.y1::DOUBLE / r.cells_y')} ELSE {O.row_to_lat('m.tile_row + 1')} END, 7) AS south,
+SELECT 'Feature' AS type, CASE WHEN m.has_regions THEN m.mask_type ELSE 'Polygon' END AS geometry_type, {_corners_sql()},
   {", ".join(f"round(m.{c}, 9) AS {c}" if t == "double" else f"m.{c}" for c, t in EXPORTED.items())}
-FROM masked m LEFT JOIN regions r ON r.event_id = m.event_id AND r.region_index = 0""", "masked", "regions"))
+{EXPORT_SQL}""", "masked", "regions"))
 def q_export_ndjson(spark, sf):
-    """The exported lines, read back: geometry type, first corner and properties."""
-    f = F.col("feature")
+    """The lines written by the sink, read back: geometry type, corners and properties."""
+    path, f = fresh_path(spark, "ndjson"), F.col("feature")
+    EX.write_ndjson(_masked(spark, sf), path)
     props = F.from_json(F.get_json_object(f, "$.properties"), ", ".join(f"{c} {t}" for c, t in EXPORTED.items()))
-    rows = EX.feature_rows(_masked(spark, sf)).select(
-        F.get_json_object(f, "$.type").alias("type"), F.get_json_object(f, "$.geometry.type").alias("geometry_type"),
-        F.get_json_object(f, "$.geometry.coordinates").alias("at"), props.alias("p"))
-    # the first number pair of a polygon or multipolygon is the south-west corner of its first box
-    first = F.split(F.regexp_extract("at", r"^[\[\s]*([^\]]+)\]", 1), ",")
-    corner = [F.round(F.trim(first[i]).cast("double"), 7).alias(c) for i, c in enumerate(("west", "south"))]
-    return rows.select("type", "geometry_type", *corner, *[F.round(f"p.{c}", 9).alias(c) if t == "double" else f"p.{c}" for c, t in EXPORTED.items()])
-
-
-@register("export_geoparquet", O.build("""
-SELECT m.event_id, CASE WHEN n.n > 1 THEN 9 + 93 * n.n ELSE 93 END AS wkb_bytes, CASE WHEN n.n > 1 THEN '06' ELSE '03' END AS wkb_type
-FROM masked m LEFT JOIN (SELECT event_id, count(*) AS n FROM regions GROUP BY 1) n USING (event_id)""", "masked", "regions"))
+    rows = EX.read_features(spark, path).select(F.get_json_object(f, "$.type").alias("type"), F.get_json_object(f, "$.geometry.type").alias("geometry_type"),
+                                                *_corners(F.get_json_object(f, "$.geometry.coordinates")), props.alias("p"))
+    return rows.select("type", "geometry_type", "west", "south", "east", "north",
+                       *[F.round(f"p.{c}", 9).alias(c) if t == "double" else f"p.{c}" for c, t in EXPORTED.items()])
+
+
+@register("export_geoparquet", O.build(f"""
+SELECT m.event_id, CASE WHEN n.n > 1 THEN 9 + 93 * n.n ELSE 93 END AS wkb_bytes, CASE WHEN n.n > 1 THEN 'MultiPolygon' ELSE 'Polygon' END AS geometry_type,
+  {_corners_sql()}, m.tile_col, m.tile_row, round(m.importance, 9) AS importance, m.episode_id, m.change_type_tr
+{EXPORT_SQL} LEFT JOIN (SELECT event_id, count(*) AS n FROM regions GROUP BY 1) n ON n.event_id = m.event_id""", "masked", "regions"))
 def q_export_geoparquet(spark, sf):
-    w = EX.with_wkb(_masked(spark, sf))
-    return w.select("event_id", F.length("geometry").cast("long").alias("wkb_bytes"), F.hex(F.substring("geometry", 2, 1)).alias("wkb_type"))
+    """GeoParquet written by the sink and read back, its geometry decoded."""
+    path = fresh_path(spark, "geoparquet")
+    EX.write_geoparquet(_masked(spark, sf), path)
+    sizes = spark.read.parquet(path).select("event_id", F.length("geometry").cast("long").alias("wkb_bytes"))
+    g = F.col("geometry")
+    back = EX.read_geoparquet(spark, path).select("event_id", F.get_json_object(g, "$.type").alias("geometry_type"), *_corners(F.get_json_object(g, "$.coordinates")),
+                                                  "tile_col", "tile_row", F.round("importance", 9).alias("importance"), "episode_id", "change_type_tr")
+    return back.join(sizes, "event_id")
 
 
 @register("summary", O.build("""
