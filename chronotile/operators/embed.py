@@ -71,11 +71,6 @@ def block_mean_embedder(height: int = 8, width: int = 8, block: int = 2) -> Call
     return make_predict_fn
 
 
-def embedding_cache_append(cache: DataFrame, new: DataFrame) -> DataFrame:
-    """Cache after appending new vectors; the sink writes only ``new`` in append mode."""
-    return cache.unionByName(new, allowMissingColumns=True)
-
-
 def pair_similarity(pairs: DataFrame, embeddings: DataFrame) -> DataFrame:
     """``dino_similarity`` = cosine of the before and after vectors; null when either is missing.
 
