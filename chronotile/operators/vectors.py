@@ -74,6 +74,9 @@ def _matrix(column: pd.Series) -> np.ndarray:
 #: Names in the result of a search between two blocks; q is the query's vector, c the candidate's.
 FOUND = "qvid long, qvid2 long, cvid long, cvid2 long, distance double"
 
+#: Blocks in a strip, the unit that the search sends to a task: with more, vectors are sent less often and a task holds more of them.
+STRIP = 8
+
 
 class Pivots:
     """At most ``most`` vectors (those of smallest hash) that part the distinct vectors into cells by nearest pivot, each with
@@ -84,11 +87,12 @@ class Pivots:
         self.vectors = np.array([r["vec"] for r in rows], dtype=np.float64)
 
     def assign(self, distinct: DataFrame, block: int) -> DataFrame:
-        """Add cell and sub: cells of more than ``block`` vectors are split by hash."""
+        """Add cell, sub and strip: cells of more than ``block`` vectors are split by hash into blocks, and blocks in a row of about
+        ``STRIP`` times ``block`` vectors are a strip."""
         held = distinct.sparkSession.sparkContext.broadcast(self.vectors)
 
         def run(batches):
-            for pdf in batches:
+            for pdf in _slices(batches):
                 d = _squared(_matrix(pdf["vec"]), held.value)
                 cell = d.argmin(axis=1)
                 yield pdf.assign(cell=cell.astype("int32"), radius=np.sqrt(d[np.arange(len(d)), cell]))
@@ -97,24 +101,51 @@ class Pivots:
         rows = distinct.mapInPandas(run, fields).checkpoint(eager=True)
         cells = rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("radius").alias("lo"), F.max("radius").alias("hi")).collect()
         self.cells = sorted((r["cell"], r["n"], r["lo"], r["hi"], -(-r["n"] // block)) for r in cells)
-        subs = F.create_map(*[F.lit(x) for c, *_, s in self.cells for x in (c, s)])
-        return rows.withColumn("sub", F.pmod("vid2", F.element_at(subs, F.col("cell"))).cast("int"))
+        self.subs = F.create_map(*[F.lit(x) for c, *_, s in self.cells for x in (c, s)])
+        before = np.cumsum([0, *[n for _, n, *_ in self.cells]])
+        self._start = F.create_map(*[F.lit(x) for (c, *_), b in zip(self.cells, before) for x in (c, int(b))])
+        self._size = F.create_map(*[F.lit(x) for c, n, _, _, s in self.cells for x in (c, n // s)])
+        self._strip = STRIP * block
+        rows = rows.withColumn("sub", F.pmod("vid2", F.element_at(self.subs, F.col("cell"))).cast("int"))
+        return rows.withColumn("strip", self.strip("cell", "sub"))
+
+    def strip(self, cell: str, sub: str):
+        cell = F.col(cell)
+        return F.floor((F.element_at(self._start, cell) + F.col(sub) * F.element_at(self._size, cell)) / self._strip).cast("int")
+
+    def held(self) -> tuple[np.ndarray, dict[int, tuple[float, float]]]:
+        return self.vectors, {c: (lo, hi) for c, _, lo, hi, _ in self.cells}
 
     def openings(self, rows: DataFrame) -> DataFrame:
-        """A row for each cell that can hold a vector nearer than a query's bound ``tau`` (squared), by the triangle
-        inequality: a member lies at least |distance to the pivot - its own radius| away. The query's cell is always one."""
-        held = rows.sparkSession.sparkContext.broadcast((self.vectors, np.array([[lo, hi] for _, _, lo, hi, _ in self.cells]), [c[0] for c in self.cells]))
+        """For each block (cell, sub) of queries the cells that some of them must look into (opened) and how many of them (n, in
+        parts): the cells that can hold a vector nearer than a query's bound ``tau`` (squared). The query's cell is always one."""
+        held = rows.sparkSession.sparkContext.broadcast(self.held())
 
         def run(batches):
-            pivots, radii, names = held.value
-            for pdf in batches:
+            pivots, radii = held.value
+            names = np.array(list(radii), dtype=np.int32)
+            lo, hi = np.array(list(radii.values())).T
+            for pdf in _slices(batches):
                 d = np.sqrt(_squared(_matrix(pdf["vec"]), pivots[names]))
-                least = np.maximum(0.0, np.maximum(d - radii[:, 1], radii[:, 0] - d))
-                open_ = least * (1 - 1e-9) - 1e-9 <= np.sqrt(pdf["tau"].to_numpy())[:, None]  # rounding opens a cell too many, never too few
-                q, c = np.nonzero(open_)
-                yield pdf.iloc[q].assign(opened=np.asarray(names, dtype="int32")[c])
+                open_ = _may_hold(d, lo, hi, pdf["tau"].to_numpy()[:, None])
+                for (cell, sub), at in pdf.groupby(["cell", "sub"]).indices.items():
+                    n = open_[at].sum(axis=0)
+                    yield pd.DataFrame({"cell": np.int32(cell), "sub": np.int32(sub), "opened": names[n > 0], "n": n[n > 0].astype("int64")})
+
+        return rows.select("vec", "tau", "cell", "sub").mapInPandas(run, "cell int, sub int, opened int, n long")
+
+
+def _slices(batches, most: int = 1024):
+    """Batches in pieces of at most ``most`` rows: what is computed for a piece meets every pivot."""
+    for pdf in batches:
+        for i in range(0, len(pdf), most):
+            yield pdf.iloc[i:i + most]
+
 
-        return rows.mapInPandas(run, T.StructType([*rows.schema.fields, T.StructField("opened", T.IntegerType())]))
+def _may_hold(d, lo, hi, tau):
+    """A cell's member lies at least |distance to the pivot - its own radius| away; rounding opens a cell too many, never too few."""
+    least = np.maximum(0.0, np.maximum(d - hi, lo - d))
+    return least * (1 - 1e-9) - 1e-9 <= np.sqrt(tau)
 
 
 def _bounds_fn(k: int):
@@ -127,17 +158,70 @@ def _bounds_fn(k: int):
     return fn
 
 
-def _search_fn(k: int):
+def _within(q: np.ndarray, c: np.ndarray, worst: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of q, row of c, squared distance) of the pairs at most ``worst`` apart, of which the k nearest of a query and all that are
+    as near are never lost. A matrix product with room for its rounding picks the pairs, ``_squared``'s sums decide them."""
+    qn, cn = (q * q).sum(axis=1), (c * c).sum(axis=1)
+    if not (np.isfinite(qn).all() and np.isfinite(cn).all()):
+        d = _squared(q, c)
+        qi, ci = np.nonzero(d <= worst[:, None])
+        return qi, ci, d[qi, ci]
+    near = q @ c.T
+    near *= -2.0
+    near += qn[:, None]
+    near += cn[None, :]
+    room = 1e-9 * (qn + cn.max())
+    most = worst + room
+    many = np.flatnonzero((near <= most[:, None]).sum(axis=1) > 4 * k)
+    if len(many) and len(c) > k:
+        most[many] = np.minimum(most[many], np.partition(near[many], k - 1, axis=1)[:, k - 1] + 2 * room[many])
+    qi, ci = np.nonzero(near <= most[:, None])
+    d = np.zeros(len(qi))
+    for j in range(q.shape[1]):
+        diff = q[qi, j] - c[ci, j]
+        d += diff * diff
+    keep = d <= worst[qi]
+    return qi[keep], ci[keep], d[keep]
+
+
+def _k_least(best: np.ndarray, row: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """The k least values of each row of ``best`` and of the values ``d`` that belong to it."""
+    k = best.shape[1]
+    order = np.lexsort((d, row))
+    row, d = row[order], d[order]
+    place = np.arange(len(row)) - np.searchsorted(row, row)
+    more = np.full(best.shape, np.inf)
+    first = place < k
+    more[row[first], place[first]] = d[first]
+    return np.partition(np.concatenate([best, more], axis=1), k - 1, axis=1)[:, :k]
+
+
+def _search_fn(k: int, held):
+    """Nearest vectors of a strip of queries in a strip of candidates, block by block; a query's bound sinks as it goes."""
+
     def fn(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        if q.empty or c.empty:
-            return pd.DataFrame({x.split()[0]: pd.Series([], dtype="int64" if "long" in x else "float64") for x in FOUND.split(", ")})
-        d = _squared(_matrix(q["vec"]), _matrix(c["vec"]))
-        worst = q["tau"].to_numpy()
-        if d.shape[1] > k:
-            worst = np.minimum(worst, np.partition(d, k - 1, axis=1)[:, k - 1])
-        qi, ci = np.nonzero(d <= worst[:, None])  # ties at the bound stay: the merge decides them by event id
-        return pd.DataFrame({"qvid": q["vid"].to_numpy()[qi], "qvid2": q["vid2"].to_numpy()[qi], "cvid": c["vid"].to_numpy()[ci],
-                             "cvid2": c["vid2"].to_numpy()[ci], "distance": d[qi, ci]})
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        if len(q) and len(c):
+            pivots, radii = held.value
+            qv, cv, tau = _matrix(q["vec"]), _matrix(c["vec"]), q["tau"].to_numpy()
+            blocks = c.groupby(["cell", "sub"]).indices.items()
+            for mine in q.groupby(["cell", "sub"]).indices.values():
+                worst, best, hits = tau[mine].copy(), np.full((len(mine), k), np.inf), []
+                for (cell, _), theirs in blocks:
+                    d = np.sqrt(_squared(qv[mine], pivots[cell:cell + 1]))[:, 0]
+                    look = np.flatnonzero(_may_hold(d, *radii[cell], worst))
+                    if not len(look):
+                        continue
+                    qi, ci, d = _within(qv[mine[look]], cv[theirs], worst[look], k)
+                    best = _k_least(best, look[qi], d)
+                    worst = np.minimum(worst, best.max(axis=1))
+                    hits.append((look[qi], theirs[ci], d))
+                for qi, ci, d in hits:
+                    keep = d <= worst[qi]  # ties at the bound stay: the merge decides them by event id
+                    out.append((mine[qi[keep]], ci[keep], d[keep]))
+        qi, ci, d = (np.concatenate(x) for x in zip(*out))
+        return pd.DataFrame({"qvid": q["vid"].to_numpy("int64")[qi], "qvid2": q["vid2"].to_numpy("int64")[qi], "cvid": c["vid"].to_numpy("int64")[ci],
+                             "cvid2": c["vid2"].to_numpy("int64")[ci], "distance": d})
 
     return fn
 
@@ -151,12 +235,13 @@ def _distinct(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _opened(distinct: DataFrame, k: int, block: int, most: int) -> tuple[DataFrame, DataFrame, Pivots]:
-    """(vectors with cell and sub, queries by opened cell with their bound, pivots): the first round bounds every vector's
+    """(vectors with cell, sub, strip and bound, cells opened by each block, pivots): the first round bounds every vector's
     k-th distance inside its own block, the second opens the cells that can improve it."""
     pivots = Pivots(distinct, distinct.count(), block, most)
-    placed = pivots.assign(distinct, block).checkpoint(eager=True)
+    placed = pivots.assign(distinct, block)
     bounded = placed.groupBy("cell", "sub").applyInPandas(_bounds_fn(k), T.StructType([*placed.schema.fields, T.StructField("tau", T.DoubleType())]))
-    return placed, pivots.openings(bounded.checkpoint(eager=True)), pivots
+    bounded = bounded.checkpoint(eager=True)
+    return bounded, pivots.openings(bounded).checkpoint(eager=True), pivots
 
 
 def similar_batch(vectors: DataFrame, k: int, block: int = 2048, pivots: int = 4096) -> DataFrame:
@@ -164,22 +249,28 @@ def similar_batch(vectors: DataFrame, k: int, block: int = 2048, pivots: int = 4
     as in ``similar_changes``). Rows without a vector take no part.
 
     Distinct vectors are parted by nearest pivot. Two rounds: each block (part of a cell, about ``block`` vectors) gives its
-    members an upper bound of their k-th distance; then a block of queries meets the blocks of a cell only if a lower
-    bound of some query beats its upper one. A task holds two blocks; no event pair list is built. Vectors without structure
-    open all cells, which costs what comparing all blocks costs."""
+    members an upper bound of their k-th distance; then a query meets the blocks of a cell only if that cell's lower
+    bound beats its upper one. A task holds two strips of blocks and computes two blocks at a time; no event pair list is built.
+    Vectors without structure open all cells, which compares all blocks."""
     members, distinct = _distinct(vectors)
     schema = "query_event_id long, rank int, event_id long, distance double"
     if distinct.isEmpty():
         return vectors.sparkSession.createDataFrame([], schema)
     placed, opened, piv = _opened(distinct, k, block, pivots)
-    opened = opened.select("vid", "vid2", "vec", "tau", F.col("cell").alias("qcell"), F.col("sub").alias("qsub"), F.col("opened").alias("cell")).checkpoint(eager=True)
-    subs = F.create_map(*[F.lit(x) for c, *_, s in piv.cells for x in (c, s)])
-    qside = opened.withColumn("sub", F.explode(F.sequence(F.lit(0), F.element_at(subs, F.col("cell")) - 1)))
-    meetings = opened.select(*[F.col(c).alias(c) for c in ("qcell", "qsub", "cell")]).distinct()
-    cside = placed.select("vid", "vid2", "vec", "cell", "sub").join(meetings, "cell")
-    keys = ["qcell", "qsub", "cell", "sub"]
-    search = _search_fn(k)
+    looks = opened.select(piv.strip("cell", "sub").alias("qstrip"), "opened").distinct()
+    looks = looks.withColumn("sub", F.explode(F.sequence(F.lit(0), F.element_at(piv.subs, F.col("opened")) - 1)))
+    meetings = looks.select("qstrip", piv.strip("opened", "sub").alias("cstrip")).distinct().checkpoint(eager=True)
+    # the work of two strips is the product of their rows, so their number, not their bytes, says how many tasks there are
+    n, keys = max(1, int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))), ["qstrip", "cstrip"]
+    cols = ["vid", "vid2", "vec", "cell", "sub"]
+    qside = placed.select(*cols, "tau", F.col("strip").alias("qstrip")).join(meetings, "qstrip").repartition(n, *keys)
+    others = [F.col(c).alias(c) for c in meetings.columns]
+    cside = placed.select(*[F.col(c).alias(c) for c in cols], F.col("strip").alias("cstrip")).join(meetings.select(*others), "cstrip").repartition(n, *keys)
+    search = _search_fn(k, vectors.sparkSession.sparkContext.broadcast(piv.held()))
     cand = qside.groupBy(*keys).cogroup(cside.groupBy(*keys)).applyInPandas(lambda q, c: search(q, c), FOUND)
+    # every vector has an event, so a query's k nearest vectors, and those as near as the last, hold its k nearest events
+    wv = Window.partitionBy("qvid", "qvid2").orderBy("distance")
+    cand = cand.withColumn("r", F.rank().over(wv)).where(F.col("r") <= k).drop("r")
     # each distinct vector contributes at most its k smallest event ids (a bounded top-k per group)
     wm = Window.partitionBy("vid", "vid2").orderBy("event_id")
     firsts = members.select("vid", "vid2", "event_id").withColumn("r", F.row_number().over(wm)).where(F.col("r") <= k)
@@ -201,5 +292,5 @@ def compared_share(vectors: DataFrame, k: int, block: int = 2048, pivots: int =
     size = F.create_map(*[F.lit(x) for c, n, *_ in piv.cells for x in (c, n)])
     first = placed.groupBy("cell", "sub").agg(F.count(F.lit(1)).alias("n")).select(F.sum(F.col("n") * F.col("n"))).scalar()
     every = placed.select(F.count(F.lit(1))).scalar()
-    pairs = opened.agg(F.sum(F.element_at(size, F.col("opened"))).alias("n")).select((F.col("n") + first).alias("pairs"))
+    pairs = opened.agg(F.sum(F.col("n") * F.element_at(size, F.col("opened"))).alias("n")).select((F.col("n") + first).alias("pairs"))
     return pairs.select(every.alias("vectors"), "pairs", (F.col("pairs") / (every * every)).alias("share"))

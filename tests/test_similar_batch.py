@@ -55,3 +55,29 @@ def test_one_cell_larger_than_a_block_and_fewer_vectors_than_k(spark):
     rows = spark.createDataFrame([(1, None), (2, [0.0]), (3, [1.0])], SCHEMA)
     assert [(r.query_event_id, r.event_id) for r in similar_batch(rows, 3).orderBy("query_event_id").collect()] == [(2, 3), (3, 2)]
     assert similar_batch(rows.limit(0), 3).count() == 0
+
+
+def test_cells_opened_by_a_batch_do_not_carry_its_vectors(spark):
+    """Rows out of the opening pass are blocks by cells, not queries by cells, and a query that opens all cells meets them all."""
+    from chronotile.operators.vectors import _distinct, _opened
+
+    rng = np.random.default_rng(10)
+    x = rng.normal(size=(600, 8)).astype(np.float32)
+    _, opened, piv = _opened(_distinct(frame(spark, range(600), x))[1], 5, 32, 20)
+    blocks = sum(s for *_, s in piv.cells)
+    assert "vec" not in opened.columns and opened.select("cell", "sub", "opened").distinct().count() <= blocks * len(piv.cells)
+    assert opened.where("opened = cell").agg({"n": "sum"}).first()[0] == 600
+
+
+def test_product_picks_what_exact_sums_pick():
+    from chronotile.operators.vectors import _squared, _within
+
+    rng = np.random.default_rng(11)
+    for q, c in ((rng.normal(size=(50, 6)), rng.normal(size=(70, 6))), (rng.integers(0, 3, (40, 3)) * 1.0 + 1e4, rng.integers(0, 3, (60, 3)) * 1.0 + 1e4),
+                 (np.array([[np.inf, 1.0], [0.0, 0.0]]), np.array([[1.0, 1.0], [0.0, 2.0]]))):
+        d = _squared(q, c)
+        for worst in (np.full(len(q), np.inf), np.sort(d, axis=1)[:, 1]):
+            got = set(zip(*(x.tolist() for x in _within(q, c, worst, 2))))
+            bound = np.minimum(worst, np.sort(d, axis=1)[:, 1])
+            want = {(i, j, d[i, j]) for i, j in zip(*(x.tolist() for x in np.nonzero(d <= bound[:, None])))}
+            assert want <= got and all(d[i, j] == v and v <= worst[i] for i, j, v in got)
