@@ -105,8 +105,9 @@ class VersionedTable:
         rest = [c for c in rows.columns if c not in self.keys]
         if not rest:
             return rows.distinct()
-        row, held = F.struct(*[F.col(f"`{c}`") for c in rest]), "_" + max(rows.columns, key=len)
-        picked = rows.groupBy(*self.keys).agg(F.max_by(row, F.struct(F.xxhash64(*[F.col(f"`{c}`") for c in rest]), F.to_json(row))).alias(held))
+        whole = [F.col(f"`{c}`") for c in rest]
+        row, held = F.struct(*whole), "_" + max(rows.columns, key=len)
+        picked = rows.groupBy(*self.keys).agg(F.max_by(row, F.struct(F.xxhash64(*whole), F.xxhash64(F.lit("chronotile"), *whole))).alias(held))
         return picked.select(*[F.col(c) if c in self.keys else F.col(f"`{held}`")[c].alias(c) for c in rows.columns])
 
     def _without(self, rows: DataFrame, other: DataFrame) -> DataFrame:
