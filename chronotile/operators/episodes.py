@@ -125,15 +125,17 @@ STATS_SCHEMA = T.StructType([
 ])
 
 
-def episodes(changes: DataFrame) -> DataFrame:
-    """Adds episode_id, episode_index, episode_count."""
+def episodes(changes: DataFrame, stored: bool = False) -> DataFrame:
+    """Adds episode_id, episode_index, episode_count. ``stored``: the rows are a checkpoint, which is not written once more."""
     from chronotile.session import ensure_checkpoint_dir
 
     ensure_checkpoint_dir(changes.sparkSession)
     base = changes.drop("episode_id", "episode_index", "episode_count")
     names = base.columns
     # event ids may repeat or be null, so rows are joined back by a key of their own, fixed by the checkpoint
-    base = base.withColumn("_row", F.monotonically_increasing_id()).checkpoint(eager=True)
+    base = base.withColumn("_row", F.monotonically_increasing_id())
+    if not stored:
+        base = base.checkpoint(eager=True)
     narrow = base.select(
         "_row", "event_id", "tile_col", "tile_row", "to_date",
         F.unix_micros(parse_ts("from_date")).cast("double").alias("_f"),

@@ -19,7 +19,8 @@ def _clip01(c: Column) -> Column:
     return F.least(F.greatest(c, F.lit(0.0)), F.lit(1.0))
 
 
-def importance_score(df: DataFrame, p: Params) -> Column:
+def importance_score(df: DataFrame, p: Params, dates: DataFrame | None = None) -> Column:
+    """``dates``: a stored table with the rows' ``to_date``, from which the bounds are taken instead of from the rows themselves."""
     w = p.weights
     dino = _clip01(F.coalesce(F.col("dino_similarity"), F.lit(1.0)))
     magnitude = F.lit(1.0) - dino
@@ -29,14 +30,14 @@ def importance_score(df: DataFrame, p: Params) -> Column:
     else:
         land = F.lit(0.0)
     to_ts = parse_ts("to_date")
-    t_min = df.select(F.min(to_ts)).scalar()
-    t_max = df.select(F.max(to_ts)).scalar()
+    bounds = (df if dates is None else dates).select(F.struct(F.min(to_ts).alias("lo"), F.max(to_ts).alias("hi"))).scalar()
+    t_min, t_max = bounds["lo"], bounds["hi"]
     span_s = F.greatest((F.unix_micros(t_max) - F.unix_micros(t_min)).cast("double") / 1e6, F.lit(1e-9))
     recency = F.when(to_ts.isNotNull(), (F.unix_micros(to_ts) - F.unix_micros(t_min)).cast("double") / 1e6 / span_s).otherwise(F.lit(0.0))
     score = F.lit(w.change_ratio) * ratio + F.lit(w.magnitude) * magnitude + F.lit(w.land_impact) * land + F.lit(w.recency) * recency
     return _clip01(score)
 
 
-def importance(changes: DataFrame, p: Params) -> DataFrame:
+def importance(changes: DataFrame, p: Params, dates: DataFrame | None = None) -> DataFrame:
     base = changes.drop("importance")
-    return base.withColumn("importance", importance_score(base, p))
+    return base.withColumn("importance", importance_score(base, p, dates))

@@ -144,9 +144,10 @@ def geometry_json(polygons: Column) -> Column:
     return F.when(F.size(polygons) == 0, F.lit("")).when(F.size(polygons) == 1, single).otherwise(multi)
 
 
-def mask_changes(changes: DataFrame, gray: DataFrame, p: Params) -> DataFrame:
-    """Changes with ``geometry_mask`` (GeoJSON text or '') and ``mask_image`` ('masks/{id}.png' or '')."""
-    d = mask_regions(cell_diff(image_pairs(changes, gray), p.cell_size, p.diff_threshold), p.min_area)
+def mask_changes(changes: DataFrame, gray: DataFrame, p: Params, of: DataFrame | None = None) -> DataFrame:
+    """Changes with ``geometry_mask`` (GeoJSON text or '') and ``mask_image`` ('masks/{id}.png' or ''). ``of``: a stored table of the
+    same events, tiles and images, which the masks are made from, so that what made ``changes`` does not run a second time."""
+    d = mask_regions(cell_diff(image_pairs(changes if of is None else of, gray), p.cell_size, p.diff_threshold), p.min_area)
     d = region_polygons(d, p.zoom)
     per_event = d.select(
         "event_id",

@@ -102,7 +102,7 @@ def run_tables(t: Tables, p: Params, skip: Iterable[str] = (), logit_scale: floa
     if "enrich" not in skip:
         # the enrich input is reused by episodes, importance and hotspots: cut the lineage once
         base = S.with_tile_geometry(changes, p.zoom).checkpoint(eager=True)
-        changes = hotspots(importance(episodes(base), p), p)
+        changes = hotspots(importance(episodes(base, stored=True), p, dates=base), p)
         if metrics:
             changes = metrics.observe("enriched", changes, **enriched_counts())
         if p.drop_ai_false and "ai_is_real" in changes.columns:
@@ -112,7 +112,7 @@ def run_tables(t: Tables, p: Params, skip: Iterable[str] = (), logit_scale: floa
 
 def fixture_tables(spark: SparkSession, sf: str) -> Tables:
     snaps = S.snapshots(spark, sf)
-    return Tables(S.events(spark, sf), snaps, S.image_vectors(spark, sf), S.probe(spark, sf), fx.raster_images(spark, sf, snaps))
+    return Tables(S.events(spark, sf), snaps, S.image_vectors(spark, sf, snaps), S.probe(spark, sf), fx.raster_images(spark, sf, snaps))
 
 
 def run_pipeline(spark: SparkSession, sf: str, p: Params = FIXTURE, skip: Iterable[str] = (),

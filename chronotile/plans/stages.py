@@ -6,6 +6,8 @@ reads the given tables and its work grows with them.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +20,7 @@ from chronotile.operators.noise import noise_filter
 from chronotile.operators.pairs import build_pairs
 from chronotile.params import FIXTURE, Params
 from chronotile.plans.store import bucketed, served, write_changes, write_named
+from chronotile.session import ensure_checkpoint_dir
 from chronotile.sources import fixtures as fx
 
 # The fixture probe (per-label mean vectors) turns dot products into logits with this factor.
@@ -29,32 +32,34 @@ def events(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def snapshots(spark: SparkSession, sf: str) -> DataFrame:
-    return fx.tile_snapshots(spark, sf, events(spark, sf))
+    """Stored once: every join with them or their images reads this table, and no condition moves below its distinct."""
+    ensure_checkpoint_dir(spark)
+    return fx.tile_snapshots(spark, sf).checkpoint(eager=True)
 
 
-def image_vectors(spark: SparkSession, sf: str) -> DataFrame:
-    return fx.image_embeddings(spark, sf, snapshots(spark, sf))
+def image_vectors(spark: SparkSession, sf: str, snaps: DataFrame | None = None) -> DataFrame:
+    return fx.image_embeddings(spark, sf, snapshots(spark, sf) if snaps is None else snaps)
 
 
-def pairs(spark: SparkSession, sf: str) -> DataFrame:
-    ev = events(spark, sf)
-    return build_pairs(ev, fx.tile_snapshots(spark, sf, ev))
+def pairs(spark: SparkSession, sf: str, snaps: DataFrame | None = None) -> DataFrame:
+    return build_pairs(events(spark, sf), snapshots(spark, sf) if snaps is None else snaps)
 
 
-def pairs_with_similarity(spark: SparkSession, sf: str) -> DataFrame:
-    return pair_similarity(pairs(spark, sf), image_vectors(spark, sf))
+def pairs_with_similarity(spark: SparkSession, sf: str, snaps: DataFrame | None = None) -> DataFrame:
+    snaps = snapshots(spark, sf) if snaps is None else snaps
+    return pair_similarity(pairs(spark, sf, snaps), image_vectors(spark, sf, snaps))
 
 
-def changes(spark: SparkSession, sf: str, p: Params = FIXTURE) -> DataFrame:
-    return noise_filter(pairs_with_similarity(spark, sf), p)
+def changes(spark: SparkSession, sf: str, p: Params = FIXTURE, snaps: DataFrame | None = None) -> DataFrame:
+    return noise_filter(pairs_with_similarity(spark, sf, snaps), p)
 
 
 def probe(spark: SparkSession, sf: str) -> DataFrame:
     return probe_from_means(fx.labelled_vectors(spark, sf))
 
 
-def image_scores(spark: SparkSession, sf: str, p: Params = FIXTURE) -> DataFrame:
-    return score_images(image_vectors(spark, sf), probe(spark, sf), p, logit_scale=PROBE_LOGIT_SCALE)
+def image_scores(spark: SparkSession, sf: str, p: Params = FIXTURE, snaps: DataFrame | None = None) -> DataFrame:
+    return score_images(image_vectors(spark, sf, snaps), probe(spark, sf), p, logit_scale=PROBE_LOGIT_SCALE)
 
 
 def image_table(spark: SparkSession, sf: str, p: Params = FIXTURE) -> DataFrame:
@@ -65,8 +70,9 @@ def image_table(spark: SparkSession, sf: str, p: Params = FIXTURE) -> DataFrame:
     return bucketed(vectors.join(scores, "image"), "images", "image")
 
 
-def classified(spark: SparkSession, sf: str, p: Params = FIXTURE) -> DataFrame:
-    return classify_changes(changes(spark, sf, p), image_scores(spark, sf, p))
+def classified(spark: SparkSession, sf: str, p: Params = FIXTURE, snaps: DataFrame | None = None) -> DataFrame:
+    snaps = snapshots(spark, sf) if snaps is None else snaps
+    return classify_changes(changes(spark, sf, p, snaps), image_scores(spark, sf, p, snaps))
 
 
 def with_tile_geometry(df: DataFrame, zoom: int = 16) -> DataFrame:
@@ -79,10 +85,42 @@ def with_tile_geometry(df: DataFrame, zoom: int = 16) -> DataFrame:
     )
 
 
+def _placed(df: DataFrame) -> DataFrame:
+    """``with_tile_geometry`` with its columns before those of the episodes."""
+    new = ["geometry", "centroid_lon", "centroid_lat"]
+    at = df.columns.index("episode_id")
+    return with_tile_geometry(df).select(*df.columns[:at], *new, *df.columns[at:])
+
+
+def _enriched(stored: DataFrame, p: Params) -> DataFrame:
+    """Episodes and importance of stored changes, yet without the geometry: a long text that only the finished row needs."""
+    return importance(episodes(stored, stored=True), p, dates=stored)
+
+
 def enriched(spark: SparkSession, sf: str, p: Params = FIXTURE) -> DataFrame:
     """Changes after classify + geometry + episodes + importance (the table the map queries serve)."""
-    c = with_tile_geometry(classified(spark, sf, p), p.zoom)
-    return importance(episodes(c), p)
+    return _placed(_enriched(classified(spark, sf, p).checkpoint(eager=True), p))
+
+
+@dataclass(frozen=True)
+class Masked:
+    """Masked and enriched changes (``rows``, without geometry), and the stored tables that they are made from."""
+
+    snapshots: DataFrame
+    changes: DataFrame
+    rows: DataFrame
+
+    @property
+    def whole(self) -> DataFrame:
+        return _placed(self.rows)
+
+
+def masked(spark: SparkSession, sf: str, mask_p: Params, p: Params = FIXTURE) -> Masked:
+    from chronotile.operators.mask import mask_changes
+
+    snaps = snapshots(spark, sf)
+    stored = classified(spark, sf, p, snaps).checkpoint(eager=True)
+    return Masked(snaps, stored, mask_changes(_enriched(stored, p), fx.gray_images(spark, sf, snaps), mask_p, of=stored))
 
 
 def _tables(spark: SparkSession, sf: str) -> list[DataFrame]:
@@ -91,13 +129,16 @@ def _tables(spark: SparkSession, sf: str) -> list[DataFrame]:
 
 def served_changes(spark: SparkSession, sf: str) -> DataFrame:
     """The stored changes of the map queries: masked and enriched, in Z-order."""
-    from chronotile.operators.mask import mask_changes
+    made = []
 
     def build() -> DataFrame:
-        mask_p = FIXTURE.with_(cell_size=1, diff_threshold=60, min_area=4)
-        return mask_changes(enriched(spark, sf), fx.gray_images(spark, sf, snapshots(spark, sf)), mask_p)
+        made.append(masked(spark, sf, FIXTURE.with_(cell_size=1, diff_threshold=60, min_area=4)))
+        return made[0].rows
+
+    def write(rows: DataFrame, path: str) -> None:
+        write_changes(rows, path, rows=made[0].changes.count(), widen=_placed)
 
-    return served(_tables(spark, sf), "changes", build, write_changes)
+    return served(_tables(spark, sf), "changes", build, write)
 
 
 def served_pyramid(spark: SparkSession, sf: str) -> DataFrame:

@@ -21,9 +21,18 @@ Z = "zkey"
 SORT = [Z, "to_date", "event_id"]
 
 
-def write_changes(changes: DataFrame, path: str, files: int | None = None, group_bytes: int | None = None) -> None:
-    n = files or max(1, int(changes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    out = changes.withColumn(Z, z_key("tile_col", "tile_row")).repartitionByRange(n, *SORT).sortWithinPartitions(*SORT).write.mode("overwrite")
+#: Rows of a file: what a task sorts does not grow with the table.
+FILE_ROWS = 100_000
+
+
+def write_changes(changes: DataFrame, path: str, files: int | None = None, group_bytes: int | None = None, rows: int = 0,
+                  widen: Callable[[DataFrame], DataFrame] | None = None) -> None:
+    """``rows``, if known, gives the number of files where there are many; ``widen`` adds columns of the row itself once it lies in its
+    place, so that they are neither moved nor sorted."""
+    n = files or max(1, int(changes.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // FILE_ROWS))
+    placed = changes.withColumn(Z, z_key("tile_col", "tile_row")).repartitionByRange(n, *SORT).sortWithinPartitions(*SORT)
+    placed = widen(placed.drop(Z)).withColumn(Z, z_key("tile_col", "tile_row")) if widen else placed
+    out = placed.write.mode("overwrite")
     if group_bytes:
         out = out.option("parquet.block.size", group_bytes)
     out.option("parquet.bloom.filter.enabled#event_id", "true").parquet(path)

@@ -37,14 +37,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _dstr(d: Column) -> Column:
-    return F.date_format(d, "yyyy-MM-dd")
+    return d.cast("string")
 
 
 def _release(s: Column) -> Column:
     return F.concat(F.lit("WB "), F.substring(s, 1, 4), F.lit("/"), F.substring(s, 6, 2))
 
 
-def change_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _dated_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, tile_col, tile_row and both days (d0, d1) of every event."""
     o = table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("k"), F.to_date("o_orderdate").alias("d0")
     )
@@ -55,13 +56,12 @@ def change_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     tile_col = F.when(scattered, 41500 + (k * 131) % 20011).otherwise(37600 + (c % 5) * 600 + (q * 37) % 121 - 60)
     tile_row = F.when(scattered, 20000 + (k * 57) % 9973).otherwise(24400 + F.floor(c / 5) * 240 + (q * 53) % 121 - 60)
     d1 = F.date_add(F.col("d0"), ((i * 13) % 400 + 20).cast("int"))
-    t = o.select(
-        "id",
-        tile_col.cast("int").alias("tile_col"),
-        tile_row.cast("int").alias("tile_row"),
-        _dstr(F.col("d0")).alias("s0"),
-        _dstr(d1).alias("s1"),
-    )
+    return o.select("id", tile_col.cast("int").alias("tile_col"), tile_row.cast("int").alias("tile_row"), "d0", d1.alias("d1"))
+
+
+def change_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = _dated_tiles(spark, sf_dir).select("id", "tile_col", "tile_row", _dstr(F.col("d0")).alias("s0"), _dstr(F.col("d1")).alias("s1"))
+    i = F.col("id")
     s0, s1 = F.col("s0"), F.col("s1")
     return t.select(
         "id",
@@ -79,15 +79,17 @@ def change_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tile_snapshots(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
-    """Snapshot identity table: release_id, tile_col, tile_row, vec_id, ext (unique on the key)."""
-    ev = events if events is not None else change_events(spark, sf_dir)
-    r = (
-        ev.select(F.col("from_release_id").alias("release_id"), "tile_col", "tile_row")
-        .union(ev.select(F.col("to_release_id").alias("release_id"), "tile_col", "tile_row"))
-        .distinct()
-    )
-    m = F.substring("release_id", 4, 4).cast("int") * 12 + F.substring("release_id", 9, 2).cast("int")
-    v = r.withColumn("m", m)
+    """Snapshot identity table: release_id, tile_col, tile_row, vec_id, ext (unique on the key). Without ``events`` those of all
+    events, told apart by the number of their month before any text is made."""
+    if events is None:
+        month = [F.year(d) * 12 + F.month(d) for d in ("d0", "d1")]
+        v = _dated_tiles(spark, sf_dir).select(F.explode(F.array(*month)).alias("m"), "tile_col", "tile_row").distinct()
+        text = F.to_date(F.make_date(F.floor((F.col("m") - 1) / 12).cast("int"), (F.col("m") - 1) % 12 + 1, F.lit(1))).cast("string")
+        v = v.withColumn("release_id", _release(text))
+    else:
+        sides = F.explode(F.array("from_release_id", "to_release_id")).alias("release_id")
+        r = events.select(sides, "tile_col", "tile_row").distinct()
+        v = r.withColumn("m", F.substring("release_id", 4, 4).cast("int") * 12 + F.substring("release_id", 9, 2).cast("int"))
     vector_ids = F.lit(table(spark, sf_dir, "embeddings").agg(F.max("vec_id")).first()[0] + 1)  # all vectors are used
     col, row, mm = F.col("tile_col"), F.col("tile_row"), F.col("m")
     return v.where((col + row + mm) % 23 != 0).select(
