@@ -2,13 +2,16 @@
 
 import json
 import os
+import pickle
 import tempfile
 
 import pytest
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from chronotile.operators.pairs import normalize_events
 from chronotile.sources.events import scan_change_events
-from chronotile.sources.ranged import MANIFEST, read_ranges, write_ranges
+from chronotile.sources.ranged import MANIFEST, PARTITIONS, PARTS, RangeReader, RangeWriter, read_ranges, write_ranges
 
 
 @pytest.fixture()
@@ -89,3 +92,53 @@ def test_events_with_missing_columns_and_null_ids(spark, path):
     got = normalize_events(scan_change_events(read_ranges(spark, path)))
     assert sorted((r.event_id, r.to_date, r.ssim_score, r.largest_run) for r in got.collect()) == [
         (-4, "2020-01-02T03:04:05.500000+00:00", 0.1, 0), (0, "", 0.0, 0), (2, "bad", 0.1, 0), (7, "2020-01-02T03:04:00", 0.5, 0)]
+
+
+def many(spark):
+    return spark.range(-50, 20000).selectExpr("if(id % 1000 = 7, null, id) id", "cast(id % 7 as int) c", "id * 2 twice")
+
+
+def test_many_ranges_share_files_and_partitions(spark, path):
+    rows = many(spark)
+    write_ranges(rows.repartition(3), path, width=8)  # 2,507 ranges, of which every task has most
+    with open(os.path.join(path, MANIFEST), encoding="utf-8") as f:
+        found = json.load(f)["files"]
+    assert len(found) == 3 and sum(x["rows"] for x in found) == 20050 and sum(len(x["parts"]) for x in found) <= 3 * 2 * PARTS
+    got = read_ranges(spark, path, range_column="first")
+    assert got.rdd.getNumPartitions() <= 2 * PARTITIONS
+    assert same(got, rows.selectExpr("*", "floor(id / 8) * 8 first"))
+    assert same(read_ranges(spark, path, columns=["twice"], range_column="first"), rows.selectExpr("twice", "floor(id / 8) * 8 first"))
+    for sql, where in (("id between 700 and 5000 and c = 3", [("id", ">=", 700), ("id", "<=", 5000), ("c", "==", 3)]), ("id is null", [("id", "null")]),
+                       ("id in (-50, 8, 19999)", [("id", "in", [-50, 8, 19999])]), ("id < -3", [("id", "<", -3)])):
+        assert same(read_ranges(spark, path, where), rows.where(sql))
+    assert read_ranges(spark, path, [("id", "in", [8, 9])]).rdd.getNumPartitions() <= 3
+    assert read_ranges(spark, path, rows_per_partition=100).rdd.getNumPartitions() >= 200
+    write_ranges(rows.where("id < 100"), path, width=8, mode="append")
+    assert same(read_ranges(spark, path), rows.union(rows.where("id < 100")))
+
+
+def test_a_task_is_not_sent_the_manifest(spark, path):
+    sizes = []
+    for n in (1, 30):
+        write_ranges(spark.range(n * 1000).repartition(n), path, width=8)
+        sizes.append(len(pickle.dumps(RangeReader(path, T.StructType([T.StructField("id", T.LongType())]), {}))))
+    assert sizes[0] == sizes[1]
+
+
+def test_rows_without_order_and_files_of_one_range(spark, path):
+    rows = many(spark).repartition(2)
+    ready = RangeWriter(path, rows.schema, True, {"width": 4000})
+    batches = rows.where("id is null or id < 9000").toArrow().cast(to_arrow_schema(rows.schema)).to_batches(max_chunksize=100)
+    ready.commit([ready.write(iter(batches))])  # not from write_ranges: a range that comes again begins a new file
+    assert same(read_ranges(spark, path), rows.where("id is null or id < 9000"))
+    write_ranges(rows.where("id between 4 and 7"), path, width=4)
+    at = os.path.join(path, MANIFEST)
+    with open(at, encoding="utf-8") as f:
+        found = json.load(f)
+    for x in found["files"]:  # as tables were listed before: a file of one range without parts
+        (x["start"], x["min"], x["max"], x["rows"]), = x.pop("parts")
+    with open(at, "w", encoding="utf-8") as f:
+        json.dump(found, f)
+    write_ranges(rows.where("id > 19990"), path, width=4, mode="append")
+    assert same(read_ranges(spark, path, [("id", "<", 19995)], range_column="first"),
+                rows.where("id between 4 and 7 or id between 19991 and 19994").selectExpr("*", "floor(id / 4) * 4 first"))
