@@ -35,20 +35,16 @@ def iso_text(x) -> Column:
     return F.when(s.isNull() | (s == ""), F.lit("")).when(canonical, s).when(ok, formatted).otherwise(s)
 
 
-def normalize_events(events: DataFrame, fallback_ids: bool = True) -> DataFrame:
-    """Raw change events -> typed rows: missing or falsy metrics become 0 / '', dates ISO text,
-    and an id that is null or 0 becomes the 0-based position in ``ORDER BY id`` (nulls first).
-
-    ``fallback_ids=False`` (streams, where a global position does not exist) keeps the id as it is."""
+def _typed(events: DataFrame) -> DataFrame:
+    """The columns of an event, typed; the id as it is."""
     ev = conform(events, EVENT_OPTIONAL)
-    bad_id = F.col("id").isNull() | (F.col("id") == 0)
     cols = []
     for name, (dtype, default) in EVENT_OPTIONAL.items():
         if name in ("from_date", "to_date", "detected_at"):
             cols.append(iso_text(F.col(name).cast("string")).alias(name))
         else:
             cols.append(F.coalesce(F.col(name).try_cast(dtype), F.lit(default).cast(dtype)).alias(name))
-    base = ev.select(
+    return ev.select(
         F.col("id").cast("long").alias("id"),
         F.col("tile_col").cast("int").alias("tile_col"),
         F.col("tile_row").cast("int").alias("tile_row"),
@@ -56,15 +52,26 @@ def normalize_events(events: DataFrame, fallback_ids: bool = True) -> DataFrame:
         F.col("to_release_id").cast("string").alias("to_release_id"),
         *cols,
     )
+
+
+def normalize_events(events: DataFrame, fallback_ids: bool = True, low: DataFrame | None = None) -> DataFrame:
+    """Raw change events -> typed rows: missing or falsy metrics become 0 / '', dates ISO text,
+    and an id that is null or 0 becomes the 0-based position in ``ORDER BY id`` (nulls first).
+
+    ``fallback_ids=False`` (streams, where a global position does not exist) keeps the id as it is. ``low``: the rows of ``events``
+    whose id is null or at most 0, from a source that selects them without a scan of the others."""
+    bad_id = F.col("id").isNull() | (F.col("id") == 0)
+    base = _typed(events)
     if not fallback_ids:
         return base.select(F.col("id").alias("event_id"), *[c for c in base.columns if c != "id"])
     good = base.where(~bad_id).withColumn("event_id", F.col("id"))
     # Rows needing a fallback id: their position = rows ordered before them. Only that (normally empty)
     # subset is numbered; rows with a negative id sort before 0, so they add a scalar offset.
-    bad = base.where(bad_id)
+    bad = (base if low is None else _typed(low)).where(bad_id)
     out_cols = ["event_id", *[c for c in base.columns if c != "id"]]
     # one pruned scan of the id column (the predicate reaches the Parquet reader) sizes both
-    seen = events.where(F.col("id").isNull() | (F.col("id") <= 0)).agg(F.count_if(bad_id).alias("bad"), F.count_if(F.col("id") < 0).alias("neg")).first()
+    few = (events if low is None else low).where(F.col("id").isNull() | (F.col("id") <= 0))
+    seen = few.agg(F.count_if(bad_id).alias("bad"), F.count_if(F.col("id") < 0).alias("neg")).first()
     if seen["bad"] == 0:
         return good.select(*out_cols)
     n_neg = F.lit(seen["neg"])
@@ -85,12 +92,12 @@ def _side(snaps: DataFrame, release_col: str, out: str) -> DataFrame:
     )
 
 
-def build_pairs(events: DataFrame, snapshots: DataFrame, fallback_ids: bool = True) -> DataFrame:
+def build_pairs(events: DataFrame, snapshots: DataFrame, fallback_ids: bool = True, low: DataFrame | None = None) -> DataFrame:
     """One row per event with ``before_image`` / ``after_image`` relative names ('' when the snapshot is missing).
 
     Two left equi-joins on (release, col, row). Image bytes never enter the pair table; the snapshot
-    side carries only the key and the extension (a few bytes per row)."""
-    ev = normalize_events(events, fallback_ids=fallback_ids)
+    side carries only the key and the extension (a few bytes per row). ``low`` as in ``normalize_events``."""
+    ev = normalize_events(events, fallback_ids=fallback_ids, low=low)
     snaps = snapshots.select("release_id", "tile_col", "tile_row", "ext")
     keys_before = ["from_release_id", "tile_col", "tile_row"]
     keys_after = ["to_release_id", "tile_col", "tile_row"]

@@ -12,6 +12,7 @@ from dataclasses import dataclass
 from py4j.java_gateway import java_import
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from chronotile.operators.embed import pair_similarity
 from chronotile.operators.episodes import episodes
@@ -38,7 +39,8 @@ class Tables:
     """The inputs of a run. ``events`` (id, tile_col, tile_row, from_release_id, to_release_id, optional columns), ``snapshots``
     (release_id, tile_col, tile_row, ext), ``embeddings`` (image, embedding); ``probe`` (label, label_name, weights[, bias]) for
     classify, ``rasters`` (image, height, width, channels, data) for mask, ``answers`` (event_id, text) of a model if there are
-    any."""
+    any. ``low_events``: these events and the rows of theirs whose id is null or at most 0, where their source selects them without
+    reading the others; it serves only as long as ``events`` is that table."""
 
     events: DataFrame
     snapshots: DataFrame
@@ -46,6 +48,10 @@ class Tables:
     probe: DataFrame | None = None
     rasters: DataFrame | None = None
     answers: DataFrame | None = None
+    low_events: tuple[DataFrame, DataFrame] | None = None
+
+
+STORED = tuple(x for x in Tables.__dataclass_fields__ if x != "low_events")
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -58,20 +64,28 @@ def read_tables(spark: SparkSession, folder: str) -> Tables:
     """The tables of a folder, each a Parquet file or folder ``<name>`` or ``<name>.parquet``; events may also be stored by key
     range. Required ones that are missing raise; the events' required columns are checked."""
 
+    ranged = {}
+
     def read(name: str) -> DataFrame | None:
         for path in (f"{folder}/{name}", f"{folder}/{name}.parquet"):
             if _exists(spark, f"{path}/{MANIFEST}"):
+                ranged[name] = path
                 return read_ranges(spark, path)
             if _exists(spark, path):
                 return spark.read.parquet(path)
         return None
 
-    found = {name: read(name) for name in Tables.__dataclass_fields__}
+    found = {name: read(name) for name in STORED}
     missing = [n for n in ("events", "snapshots", "embeddings") if found[n] is None]
     if missing:
         raise ValueError(f"tables missing in {folder}: {missing}")
     validate_source(found["events"], found["snapshots"])
-    return Tables(**{**found, "events": scan_change_events(found["events"])})
+    events, low = scan_change_events(found["events"]), None
+    if "events" in ranged and isinstance(events.schema["id"].dataType, T.IntegralType):
+        # the scan takes conditions as an argument only: those of a plan over it would read every file
+        some = [read_ranges(spark, ranged["events"], [where]) for where in (("id", "<=", 0), ("id", "null"))]
+        low = (events, scan_change_events(some[0].union(some[1])))
+    return Tables(**{**found, "events": events, "low_events": low})
 
 
 def run_tables(t: Tables, p: Params, skip: Iterable[str] = (), logit_scale: float = 1.0,
@@ -85,7 +99,8 @@ def run_tables(t: Tables, p: Params, skip: Iterable[str] = (), logit_scale: floa
     for step, table in (("classify", t.probe), ("mask", t.rasters)):
         if step not in skip and table is None:
             raise ValueError(f"no table for the step {step}")
-    pairs = build_pairs(t.events, t.snapshots)
+    low = t.low_events[1] if t.low_events and t.low_events[0] is t.events else None
+    pairs = build_pairs(t.events, t.snapshots, low=low)
     if metrics:
         pairs = metrics.observe("pairs", pairs, pairs=F.count(F.lit(1)))
     changes = noise_filter(pair_similarity(pairs, t.embeddings), p)

@@ -3,6 +3,7 @@
 import math
 import os
 import tempfile
+from dataclasses import replace
 
 import pytest
 
@@ -88,3 +89,21 @@ def test_missing_tables_and_columns(spark, folder):
         spark.read.parquet(f"{folder}/{name}.parquet").write.parquet(f"{at}/{name}")
     with pytest.raises(ValueError, match="required columns"):
         read_tables(spark, at)
+
+
+def test_missing_ids_are_selected_by_range(spark):
+    at = tempfile.mkdtemp(prefix="chronotile-user-")
+    snaps = spark.createDataFrame([("a", 9, 25100, "png")], "release_id string, tile_col int, tile_row int, ext string")
+    vectors = spark.createDataFrame([("9_25100_a.png", [1.0, 0.0])], "image string, embedding array<float>")
+    ev = spark.range(-3, 4000).selectExpr("if(id % 500 = 3, null, id) id", "cast(id as int) tile_col", "25100 tile_row", "'a' from_release_id",
+                                          "'b' to_release_id", "5 largest_run")
+    write_ranges(ev.repartition(2), f"{at}/events", "id", 2)
+    for name, rows in (("snapshots", snaps), ("embeddings", vectors)):
+        rows.write.parquet(f"{at}/{name}")
+    steps, ids = ("classify", "mask", "enrich"), lambda x: sorted(map(tuple, run_tables(x, DEFAULT, skip=steps).select("event_id", "tile_col").collect()))
+    got = read_tables(spark, at)
+    low = got.low_events[1]
+    assert low.count() == 3 + 1 + 8 and low.rdd.getNumPartitions() < 8 < got.events.rdd.getNumPartitions()
+    assert ids(got) == ids(Tables(ev, snaps, vectors)) and len(ids(got)) == 4003
+    some = replace(got, events=got.events.where("id is null or id > 2"))
+    assert ids(some) == ids(Tables(ev.where("id is null or id > 2"), snaps, vectors))
